@@ -5,7 +5,17 @@ Only VARIANT keeps a missing field, a null field and a wrongly typed field apart
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def once(df: DataFrame, name: str, expensive: Column) -> DataFrame:
+    """Add a column that is evaluated exactly once per row.
+
+    The optimizer copies a column's expression into every filter it pushes down. A
+    generator's output is not copied, so a parsed record is not parsed once per rule.
+    """
+    held = df.withColumn("_held", expensive)
+    return held.withColumn(name, F.explode_outer(F.array("_held"))).drop("_held")
 
 
 def at(v: Column, *path: str) -> Column:

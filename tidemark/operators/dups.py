@@ -107,9 +107,12 @@ def overused_openings(
 ) -> DataFrame:
     """Opening word sequences used more than ``max_uses`` times: (opening, uses)."""
     opening = text.first_words(F.coalesce(F.col(text_col), F.lit("")), n_words)
+    return overused(df.select(opening.alias("opening")), "opening", max_uses)
+
+
+def overused(df: DataFrame, opening: str, max_uses: int = vocab.OPENING_MAX_USES) -> DataFrame:
     return (
-        df.select(opening.alias("opening"))
-        .groupBy("opening")
+        df.groupBy(F.col(opening).alias("opening"))
         .agg(F.count(F.lit(1)).alias("uses"))
         .filter(F.col("uses") > max_uses)
     )

@@ -245,8 +245,8 @@ def _complete(rec: Column) -> Column:
     return out
 
 
-def check_records(records: DataFrame, declarative: bool = True) -> DataFrame:
-    """All violations of decoded records.
+def with_hits(records: DataFrame, declarative: bool = True) -> DataFrame:
+    """Add ``hits``: one struct per broken rule of a decoded record.
 
     A record that lacks a required field reports the missing fields and its schema
     violations, no other imperative rule.
@@ -255,18 +255,30 @@ def check_records(records: DataFrame, declarative: bool = True) -> DataFrame:
     hits = F.when(_complete(rec), _hits(imperative_rules(rec))).otherwise(_hits(missing_fields(rec)))
     if declarative:
         hits = F.concat(hits, _hits(declarative_rules(rec)))
-    carry = ["source_file", "line_num", "pos"]
-    found = records.select(*carry, V.text_at(rec, "id").alias("id"), F.explode(hits).alias("v"))
-    return found.select(*carry, "id", "v.*")
+    return V.once(records, "hits", hits)
+
+
+def is_valid(hits: str = "hits") -> Column:
+    return ~F.exists(F.col(hits), lambda h: h["kind"] == IMPERATIVE)
+
+
+def explode_hits(checked: DataFrame) -> DataFrame:
+    """One row per broken rule of rows that carry ``hits``."""
+    carry = ["source_file", "line_num", "pos", "id"]
+    # The outer form infers no filter on the list, which would evaluate it twice.
+    rows = checked.select(*carry, F.explode_outer("hits").alias("v"))
+    return rows.filter(F.col("v").isNotNull()).select(*carry, "v.*")
+
+
+def check_records(records: DataFrame, declarative: bool = True) -> DataFrame:
+    """All violations of decoded records."""
+    checked = with_hits(records, declarative).withColumn("id", V.text_at(F.col("rec"), "id"))
+    return explode_hits(checked)
 
 
 def flag_valid(records: DataFrame) -> DataFrame:
     """Add ``valid``: complete and no imperative rule broken."""
-    rec = F.col("rec")
-    broken = F.lit(False)
-    for r in imperative_rules(rec):
-        broken = broken | F.coalesce(r.broken, F.lit(False))
-    return records.withColumn("valid", _complete(rec) & ~broken)
+    return with_hits(records, declarative=False).withColumn("valid", is_valid()).drop("hits")
 
 
 def split_valid(rows: DataFrame, broken: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:

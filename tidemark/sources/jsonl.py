@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text
+from ..functions.variants import once
 
 #: One row per input split is joined back to the lines; above this it is not broadcast.
 MAX_BROADCAST_SPLITS = 1_000_000
@@ -89,12 +90,8 @@ def decode(lines: DataFrame) -> Decoded:
     Blank lines are dropped after numbering. Of repeated keys the last one wins.
     """
     raw = text.strip(F.col("value"))
-    parsed = (
-        lines.filter(text.has_text(F.col("value")))
-        .withColumn("raw", raw)
-        .drop("value")
-        .withColumn("rec", F.try_parse_json("raw"))
-    )
+    stripped = lines.filter(text.has_text(F.col("value"))).withColumn("raw", raw).drop("value")
+    parsed = once(stripped, "rec", F.try_parse_json("raw"))
     reason = (
         F.when(F.startswith("raw", F.lit("```")), "fence")
         .when(F.col("rec").isNull(), "json")
