@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import vocab
-from tidemark.functions import text
+from tidemark.functions import text, variants as V
 from tidemark.operators import dups, gates, profile, repair, rules
 from tidemark.plans.publish import typed_records
 from tidemark.plans.validate import validate
@@ -95,16 +95,16 @@ def record_lines(docs: DataFrame) -> DataFrame:
         .when(i % 53 == 52, F.lit(" \t "))
         .otherwise(line)
     )
-    return (
-        docs.withColumn("w", text.words(F.col("text")))
+    titled = (
+        V.once(docs, "w", text.words(F.col("text")))
         .withColumn("title", F.when(i % 29 == 0, F.lit("")).otherwise(F.array_join(first(F.lit(6)), " ")))
         .withColumn("slug", F.when(i % 31 == 0, F.lit("")).otherwise(text.slugify(F.array_join(first(F.lit(1)), " "))))
-        .select(
-            F.concat("source", F.lit(".jsonl")).alias("source_file"),
-            (i + 1).alias("line_num"),
-            i.alias("pos"),
-            value.alias("value"),
-        )
+    )
+    return V.once(titled, "value", value).select(
+        F.concat("source", F.lit(".jsonl")).alias("source_file"),
+        (i + 1).alias("line_num"),
+        i.alias("pos"),
+        "value",
     )
 
 
@@ -152,11 +152,9 @@ def json_fields(spark, folder):
         F.lit("events").alias("source_file"), F.col("event_id").alias("line_num"),
         F.col("event_id").alias("pos"), F.col("props").alias("value"),
     )
-    from tidemark.functions import variants as V
-
-    rec = F.col("rec")
+    rec = "rec"
     return jsonl.decode(events).records.select(
-        F.col("pos").alias("event_id"), F.try_variant_get(rec, "$.k", "long").alias("k"),
+        F.col("pos").alias("event_id"), V.long_at(rec, "k").alias("k"),
         V.is_integer(V.type_at(rec, "k")).alias("is_integer"),
     )
 
@@ -234,10 +232,8 @@ _OK = """ok AS (SELECT * FROM checked WHERE NOT (bad_id OR bad_category OR bad_d
 
 @query(f"WITH {REC}, {_VALID}, {_OK} SELECT doc_id AS pos, id, category, language FROM ok")
 def valid_records(spark, folder):
-    from tidemark.functions import variants as V
-
     flagged = rules.flag_valid(decoded(spark, folder).records).filter("valid")
-    return flagged.select("pos", *[V.text_at(F.col("rec"), f).alias(f) for f in ("id", "category", "language")])
+    return flagged.select("pos", *[V.text_at("rec", f).alias(f) for f in ("id", "category", "language")])
 
 
 @query(
@@ -258,8 +254,9 @@ def file_counters(spark, folder):
     UNION ALL SELECT doc_id, 'too_long', n FROM w WHERE n > 220"""
 )
 def word_count_violations(spark, folder):
+    counted = documents(spark, folder).select("doc_id", text.word_count(F.col("text")).alias("n"))
     found = rules.violations(
-        documents(spark, folder), rules.word_rules(F.col("text"), "text", "Text", *vocab.PROMPT_WORDS), "doc_id"
+        counted, rules.word_rules(F.col("n"), "text", "Text", *vocab.PROMPT_WORDS), "doc_id"
     )
     return found.select("doc_id", "rule", F.col("observed").cast("long").alias("words"))
 

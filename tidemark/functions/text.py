@@ -43,9 +43,14 @@ def first_words(c: Column, n: int = vocab.OPENING_WORDS) -> Column:
     return F.lower(F.regexp_replace(head, SPACES, " "))
 
 
+def cut_words(c: Column, n: int) -> Column:
+    """The first ``n`` words joined by one space."""
+    return F.array_join(F.slice(words(c), 1, n), " ")
+
+
 def truncate_words(c: Column, n: int) -> Column:
-    """The first ``n`` words joined by one space when there are more, else the text itself."""
-    return F.when(word_count(c) > n, F.array_join(F.slice(words(c), 1, n), " ")).otherwise(c)
+    """``cut_words`` when there are more than ``n`` words, else the text itself."""
+    return F.when(word_count(c) > n, cut_words(c, n)).otherwise(c)
 
 
 def first_sentence(c: Column, fallback_chars: int = vocab.SENTENCE_FALLBACK_CHARS) -> Column:
@@ -57,13 +62,13 @@ def first_sentence(c: Column, fallback_chars: int = vocab.SENTENCE_FALLBACK_CHAR
 
 def token_bag(c: Column, stopwords: Iterable[str] = vocab.STOPWORDS, min_chars: int = 3) -> Column:
     """Sorted, space-joined words without punctuation, digits, stopwords and short words."""
-    plain = F.regexp_replace(F.lower(c), f"(?U)[^\\p{{L}}\\p{{N}}_{_WS}]", " ")
-    plain = F.regexp_replace(plain, r"\p{Nd}+", " ")
+    # Everything but letters, underscores and non-decimal numerals separates words, so
+    # punctuation, digits and white space go in one split.
     kept = F.filter(
-        F.split(plain, SPACES),
+        F.split(F.lower(c), r"[^\p{L}\p{Nl}\p{No}_]+"),
         lambda w: (F.length(w) >= min_chars) & ~w.isin(*stopwords),
     )
-    return F.array_join(F.array_sort(kept), " ")
+    return F.array_join(F.sort_array(kept), " ")
 
 
 def fingerprint(c: Column, stopwords: Iterable[str] = vocab.STOPWORDS) -> Column:
@@ -117,8 +122,3 @@ def haystack(scalars: Iterable[Column], lists: Iterable[Column]) -> Column:
     """Lower-cased text that free-text search looks into. Empty scalars keep their slot."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in scalars]
     return F.lower(F.concat_ws(" ", *parts, *lists))
-
-
-def split_bounded(c: Column, n: int) -> Column:
-    """The first ``n`` characters (a display helper for reports)."""
-    return F.left(c, F.lit(n))

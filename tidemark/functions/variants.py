@@ -18,26 +18,46 @@ def once(df: DataFrame, name: str, expensive: Column) -> DataFrame:
     return held.withColumn(name, F.explode_outer(F.array("_held"))).drop("_held")
 
 
-def at(v: Column, *path: str) -> Column:
-    """Sub-variant, SQL NULL when the path is missing."""
-    return F.try_variant_get(v, "$" + "".join(f".{p}" for p in path), "variant")
+def _path(path: tuple[str, ...]) -> str:
+    return "'$" + "".join(f".{p}" for p in path) + "'"
 
 
-def text_at(v: Column, *path: str) -> Column:
-    return F.try_variant_get(v, "$" + "".join(f".{p}" for p in path), "string")
+def _get(v: str, path: tuple[str, ...], type_name: str) -> str:
+    return f"try_variant_get({v}, {_path(path)}, '{type_name}')"
 
 
-def strings_at(v: Column, *path: str) -> Column:
-    return F.try_variant_get(v, "$" + "".join(f".{p}" for p in path), "array<string>")
+def at(v: str, *path: str) -> Column:
+    """Sub-variant of column ``v``, SQL NULL when the path is missing."""
+    return F.expr(_get(v, path, "variant"))
 
 
-def items_at(v: Column, *path: str) -> Column:
-    return F.try_variant_get(v, "$" + "".join(f".{p}" for p in path), "array<variant>")
+def text_at(v: str, *path: str) -> Column:
+    return F.expr(_get(v, path, "string"))
 
 
-def type_at(v: Column, *path: str) -> Column:
+def long_at(v: str, *path: str) -> Column:
+    return F.expr(_get(v, path, "long"))
+
+
+def strings_at(v: str, *path: str) -> Column:
+    return F.expr(_get(v, path, "array<string>"))
+
+
+def items_at(v: str, *path: str) -> Column:
+    return F.expr(_get(v, path, "array<variant>"))
+
+
+def struct_at(v: str, fields: str, *path: str) -> Column:
+    return F.expr(_get(v, path, f"struct<{fields}>"))
+
+
+def map_at(v: str, *path: str) -> Column:
+    return F.expr(_get(v, path, "map<string,variant>"))
+
+
+def type_at(v: str, *path: str) -> Column:
     """Type name such as STRING, BIGINT, VOID, ARRAY<...>; NULL when missing."""
-    return F.schema_of_variant(at(v, *path))
+    return F.expr(f"schema_of_variant({_get(v, path, 'variant')})")
 
 
 def is_string(t: Column) -> Column:
@@ -56,16 +76,67 @@ def is_object(t: Column) -> Column:
     return t.startswith("OBJECT<")
 
 
-def truthy_text(v: Column, *path: str) -> Column:
-    """Text of a field, NULL for anything empty: missing, null, '', 0, false, [] and {}."""
-    text = text_at(v, *path)
+def truthy(kind: Column, text: Column) -> Column:
+    """The text, NULL for anything empty: missing, null, '', 0, false, [] and {}."""
     empties = ["0", "0.0", "false", "[]", "{}"]
     return F.when(
-        type_at(v, *path) == "STRING", F.nullif(text, F.lit(""))
+        kind == "STRING", F.nullif(text, F.lit(""))
     ).otherwise(F.when(~text.isin(*empties), text))
 
 
-def key_count(v: Column, *path: str) -> Column:
+def key_count(v: str, *path: str) -> Column:
     """Number of keys of an object field, NULL when it is not an object."""
-    m = F.try_variant_get(v, "$" + "".join(f".{p}" for p in path), "map<string,variant>")
-    return F.when(m.isNotNull(), F.size(m))
+    return F.expr(f"cardinality({_get(v, path, 'map<string,variant>')})")
+
+
+class Facts:
+    """Facts about a record that several expressions need, each computed once.
+
+    Asking for a fact gives a column to use in later expressions; ``measure`` adds all
+    facts that were asked for to the DataFrame in one projection.
+    """
+
+    def __init__(self, rec: str = "rec") -> None:
+        self._rec = rec
+        self._columns: dict[str, Column] = {}
+
+    def add(self, name: str, c: Column) -> Column:
+        self._columns.setdefault(f"_f_{name}", c)
+        return F.col(f"_f_{name}")
+
+    def _known(self, name: str, make) -> Column:
+        if f"_f_{name}" not in self._columns:
+            self._columns[f"_f_{name}"] = make()
+        return F.col(f"_f_{name}")
+
+    def type(self, *path: str) -> Column:
+        return self._known("type_" + "_".join(path), lambda: type_at(self._rec, *path))
+
+    def text(self, *path: str) -> Column:
+        return self._known("text_" + "_".join(path), lambda: text_at(self._rec, *path))
+
+    def raw_text(self, *path: str) -> Column:
+        """Text for use inside another fact."""
+        return text_at(self._rec, *path)
+
+    def long(self, *path: str) -> Column:
+        return self._known("long_" + "_".join(path), lambda: long_at(self._rec, *path))
+
+    def strings(self, *path: str) -> Column:
+        return self._known("list_" + "_".join(path), lambda: strings_at(self._rec, *path))
+
+    def keys(self, *path: str) -> Column:
+        return self._known("keys_" + "_".join(path), lambda: key_count(self._rec, *path))
+
+    def truthy(self, *path: str) -> Column:
+        return truthy(self.type(*path), self.text(*path))
+
+    @property
+    def names(self) -> list[str]:
+        return list(self._columns)
+
+    def measure(self, df: DataFrame) -> DataFrame:
+        return df.withColumns(self._columns)
+
+    def drop(self, df: DataFrame) -> DataFrame:
+        return df.drop(*self._columns)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import lists, text, variants as V
+from ..session import cut_lineage
 from .ordering import dense_buckets
 from .uniquify import record_numbers, unique_slugs, unique_titles
 
@@ -48,44 +49,43 @@ def map_enum_by_table(
     )
 
 
-def complete_scores(rec: Column, field: str, defaults: Mapping[str, int]) -> Column:
+def complete_scores(facts: V.Facts, field: str, defaults: Mapping[str, int]) -> Column:
     """Struct of whole numbers in range; anything else becomes the default."""
-    low, high = vocab.SCORE_RANGE
 
     def score(key: str, default: int) -> Column:
-        value = F.try_variant_get(rec, f"$.{field}.{key}", "long")
-        good = V.is_integer(V.type_at(rec, field, key)) & value.between(low, high)
+        value = facts.long(field, key)
+        good = V.is_integer(facts.type(field, key)) & value.between(*vocab.SCORE_RANGE)
         return F.when(good, value).otherwise(F.lit(default)).cast("int").alias(key)
 
     return F.struct(*[score(k, d) for k, d in defaults.items()])
 
 
-def complete_object(rec: Column, field: str, defaults: Mapping[str, object]) -> Column:
+def complete_object(facts: V.Facts, field: str, defaults: Mapping[str, object]) -> Column:
     """Struct with all keys: empty texts and empty or wrongly typed lists get defaults."""
     parts = []
     for key, default in defaults.items():
         if isinstance(default, list):
-            part = lists.non_empty_or(V.strings_at(rec, field, key), default)
+            part = lists.non_empty_or(facts.strings(field, key), default)
         else:
-            part = F.coalesce(V.truthy_text(rec, field, key), F.lit(default))
+            part = F.coalesce(facts.truthy(field, key), F.lit(default))
         parts.append(part.alias(key))
     return F.struct(*parts)
 
 
-def _object_changed(rec: Column, field: str, defaults: Mapping[str, object]) -> Column:
+def _object_changed(facts: V.Facts, field: str, defaults: Mapping[str, object]) -> Column:
     """True unless the object already has exactly these keys with usable values."""
-    usable = F.coalesce(V.key_count(rec, field) == len(defaults), F.lit(False))
-    low, high = vocab.SCORE_RANGE
+    usable = F.coalesce(facts.keys(field) == len(defaults), F.lit(False))
     for key, default in defaults.items():
         if isinstance(default, list):
-            good = F.size(V.strings_at(rec, field, key)) > 0
+            good = F.size(facts.strings(field, key)) > 0
         elif isinstance(default, int):
-            number = F.try_variant_get(rec, f"$.{field}.{key}", "double")
-            kind = V.type_at(rec, field, key)
-            same = (kind.startswith("DECIMAL") | (kind == "DOUBLE")) & (number == default)
-            good = (V.is_integer(kind) & number.between(low, high)) | same
+            kind = facts.type(field, key)
+            # A fraction equal to the default is replaced by an equal number: no change.
+            fraction = kind.startswith("DECIMAL") | (kind == "DOUBLE")
+            same = fraction & (facts.text(field, key).cast("double") == default)
+            good = (V.is_integer(kind) & facts.long(field, key).between(*vocab.SCORE_RANGE)) | same
         else:
-            good = V.truthy_text(rec, field, key).isNotNull()
+            good = facts.truthy(field, key).isNotNull()
         usable = usable & F.coalesce(good, F.lit(False))
     return ~usable
 
@@ -129,18 +129,36 @@ def normalise_tags(tags: Column, category: Column) -> Column:
     return F.when(F.size(clean) == 0, tags).otherwise(padded)
 
 
-def repair_text(c: Column, bounds: tuple[int, int] = vocab.PROMPT_WORDS, padding: str = vocab.PROMPT_PADDING) -> Column:
-    """Append the padding once to short text, then keep at most the maximum of words."""
+def repair_text(
+    c: Column,
+    bounds: tuple[int, int] = vocab.PROMPT_WORDS,
+    padding: str = vocab.PROMPT_PADDING,
+    n_words: Column | None = None,
+) -> Column:
+    """Append the padding once to short text, then keep at most the maximum of words.
+
+    ``n_words`` is the number of words when it is already known.
+    """
     low, high = bounds
-    padded = F.when(text.word_count(c) < low, F.concat(c, F.lit(padding))).otherwise(c)
-    return text.truncate_words(padded, high)
+    n = text.word_count(c) if n_words is None else n_words
+    return (
+        F.when(n < low, text.truncate_words(F.concat(c, F.lit(padding)), high))
+        .when(n > high, text.cut_words(c, high))
+        .otherwise(c)
+    )
 
 
 def repair_secondary_text(
-    c: Column, maximum: int = vocab.NEGATIVE_WORDS_MAX, default: str = vocab.NEGATIVE_PROMPT_DEFAULT
+    c: Column,
+    maximum: int = vocab.NEGATIVE_WORDS_MAX,
+    default: str = vocab.NEGATIVE_PROMPT_DEFAULT,
+    n_words: Column | None = None,
 ) -> Column:
-    return F.when(F.coalesce(c, F.lit("")) == "", F.lit(default)).otherwise(
-        text.truncate_words(c, maximum)
+    n = text.word_count(c) if n_words is None else n_words
+    return (
+        F.when(F.coalesce(c, F.lit("")) == "", F.lit(default))
+        .when(n > maximum, text.cut_words(c, maximum))
+        .otherwise(c)
     )
 
 
@@ -172,16 +190,28 @@ def repair_fields(records: DataFrame) -> DataFrame:
     ``repairs`` lists the rules that changed the row. Tag normalisation alone is not
     a repair. Top-level fields outside the record shape are kept in ``extra``.
     """
-    rec = F.col("rec")
-    start = records.select(
+    rec = "rec"
+    facts = V.Facts(rec)
+    objects = {
+        f: (complete_scores if f == "quality" else complete_object)(facts, f, d).alias(f)
+        for f, d in _OBJECTS.items()
+    }
+    objects_changed = {f: _object_changed(facts, f, d) for f, d in _OBJECTS.items()}
+    falsy = ("version", "industry", "created_by_agent", "batch")
+    scalars = {f"_{f}": facts.truthy(f) for f in falsy}
+    prompt = facts.add("prompt", F.coalesce(V.text_at(rec, "prompt"), F.lit("")))
+    negative = facts.add("negative", F.coalesce(V.text_at(rec, "negative_prompt"), F.lit("")))
+    start = facts.measure(records).select(
         "source_file",
         "line_num",
         "pos",
         "rec",
+        *facts.names,
+        text.word_count(prompt).alias("_words"),
+        text.word_count(negative).alias("_negative_words"),
+        *[c.alias(name) for name, c in scalars.items()],
         *[F.coalesce(V.text_at(rec, f), F.lit("")).alias(f"_{f}") for f in _ENUMS],
-        *[V.truthy_text(rec, f).alias(f"_{f}") for f in ("version", "industry", "created_by_agent", "batch")],
         V.text_at(rec, "subcategory").alias("_subcategory"),
-        *[F.coalesce(V.text_at(rec, f), F.lit("")).alias(f"_{f}") for f in ("prompt", "negative_prompt")],
         F.when(V.is_array(V.type_at(rec, "tags")), V.strings_at(rec, "tags")).alias("_tags"),
         V.strings_at(rec, "acceptance_criteria").alias("_criteria"),
         V.text_at(rec, "id").alias("id"),
@@ -195,19 +225,15 @@ def repair_fields(records: DataFrame) -> DataFrame:
     subcategory = F.coalesce("_subcategory", F.lit(vocab.SUBCATEGORY_DEFAULT))
     merged = enums.withColumn("_merged", merge_tags(tags, category, subcategory, difficulty))
 
-    low, high = vocab.PROMPT_WORDS
-    words = text.word_count(F.col("_prompt"))
-    pad_words = len(vocab.PROMPT_PADDING.split())
     n_criteria = F.coalesce(F.size("_criteria"), F.lit(0))
     n_tags = F.coalesce(F.size("_tags"), F.lit(0))
     fired = {
         **{f: ~F.col(f"_{f}").isin(*args[0]) for f, args in _ENUMS.items()},
-        **{f: _object_changed(rec, f, d) for f, d in _OBJECTS.items()},
+        **objects_changed,
         "acceptance_criteria": ~n_criteria.between(*vocab.CRITERIA_ITEMS),
         "tags": ~n_tags.between(*vocab.TAG_ITEMS),
-        "prompt": (words < low) | (words > high),
-        "negative_prompt": (text.word_count(F.col("_negative_prompt")) > vocab.NEGATIVE_WORDS_MAX)
-        | (F.col("_negative_prompt") == ""),
+        "prompt": ~F.col("_words").between(*vocab.PROMPT_WORDS),
+        "negative_prompt": (F.col("_negative_words") > vocab.NEGATIVE_WORDS_MAX) | (negative == ""),
         "version": F.col("_version").isNull(),
         "subcategory": F.coalesce("_subcategory", F.lit("")) == "",
         "industry": F.col("_industry").isNull(),
@@ -217,7 +243,7 @@ def repair_fields(records: DataFrame) -> DataFrame:
         "title": F.coalesce("_title", F.lit("")) == "",
     }
     known = F.lit(list(vocab.RECORD_FIELDS))
-    everything = F.try_variant_get(rec, "$", "map<string,variant>")
+    everything = V.map_at(rec)
     return merged.select(
         "source_file",
         "line_num",
@@ -233,16 +259,16 @@ def repair_fields(records: DataFrame) -> DataFrame:
         "audience",
         "use_case",
         F.coalesce("_industry", F.lit(vocab.INDUSTRY_DEFAULT)).alias("industry"),
-        complete_object(rec, "style", vocab.STYLE_DEFAULTS).alias("style"),
-        complete_object(rec, "tech_stack", vocab.TECH_DEFAULTS).alias("tech_stack"),
-        repair_text(F.col("_prompt")).alias("prompt"),
-        repair_secondary_text(F.col("_negative_prompt")).alias("negative_prompt"),
+        objects["style"],
+        objects["tech_stack"],
+        repair_text(prompt, n_words=F.col("_words")).alias("prompt"),
+        repair_secondary_text(negative, n_words=F.col("_negative_words")).alias("negative_prompt"),
         repair_list(F.col("_criteria"), vocab.CRITERIA_DEFAULTS, vocab.CRITERIA_ITEMS[1]).alias(
             "acceptance_criteria"
         ),
         normalise_tags(F.col("_merged"), category).alias("tags"),
-        complete_object(rec, "website_card", vocab.CARD_DEFAULTS).alias("website_card"),
-        complete_scores(rec, "quality", vocab.SCORE_DEFAULTS).alias("quality"),
+        objects["website_card"],
+        objects["quality"],
         F.coalesce("_created_by_agent", F.concat(category, F.lit(vocab.AGENT_SUFFIX))).alias(
             "created_by_agent"
         ),
@@ -255,17 +281,20 @@ def repair_fields(records: DataFrame) -> DataFrame:
 def repair_records(records: DataFrame) -> DataFrame:
     """Repaired records with unique slugs and titles, in the shape of the input rows.
 
-    Names are settled on narrow rows; only names that differ are joined back.
+    Names are settled on narrow rows that are kept in the shared folder, so records
+    are parsed twice: for their names and for the result. Only names that change are
+    joined back.
     """
     fields = repair_fields(records)
     buckets = dense_buckets()  # pos counts lines
-    slugs = unique_slugs(fields, "slug", "pos", buckets).filter("name <> final_name").select(
+    names = cut_lineage(fields.select("pos", "slug", "title"))
+    slugs = unique_slugs(names, "slug", "pos", buckets).filter("name <> final_name").select(
         "pos", F.col("final_name").alias("_new_slug")
     )
-    numbered = fields.select("pos", "title").join(record_numbers(fields, "pos", buckets), "pos")
+    numbered = names.join(record_numbers(names, "pos", buckets), "pos")
     titles = (
         unique_titles(numbered, "title", "pos", "number", buckets)
-        .join(fields.select("pos", "title"), "pos")
+        .join(names.select("pos", "title"), "pos")
         .filter(~F.equal_null(F.col("title"), F.col("final_name")))
         .select("pos", F.col("final_name").alias("_new_title"))
     )

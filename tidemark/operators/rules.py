@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
@@ -33,39 +35,22 @@ class Rule:
     kind: str = IMPERATIVE
     shows_observed: bool = True
 
-    def as_struct(self) -> Column:
-        seen = self.observed.cast("string")
-        detail = F.lit(self.before)
-        if self.shows_observed:
-            detail = F.concat(detail, F.coalesce(seen, F.lit("None")), F.lit(self.after))
-        return F.when(
-            self.broken,
-            F.struct(
-                F.lit(self.name).alias("rule"),
-                F.lit(self.kind).alias("kind"),
-                F.lit(self.field).alias("field"),
-                seen.alias("observed"),
-                detail.alias("detail"),
-            ),
-        )
-
 
-def missing_fields(rec: Column, fields: Sequence[str] = vocab.RECORD_FIELDS) -> list[Rule]:
+def missing_fields(facts: V.Facts, fields: Sequence[str] = vocab.RECORD_FIELDS) -> list[Rule]:
     return [
-        Rule("missing_field", f, V.at(rec, f).isNull(), F.lit(None), f"Missing required field: '{f}'", shows_observed=False)
+        Rule("missing_field", f, facts.type(f).isNull(), F.lit(None), f"Missing required field: '{f}'", shows_observed=False)
         for f in fields
     ]
 
 
 def word_rules(
-    c: Column,
+    n: Column,
     field: str,
     label: str,
     minimum: int | None = None,
     maximum: int | None = None,
 ) -> list[Rule]:
-    """Word count limits of a text column."""
-    n = text.word_count(c)
+    """Limits of a column that holds a number of words."""
     out = []
     if minimum is not None:
         out.append(Rule("too_short", field, n < minimum, n, f"{label} too short: ", f" words (min {minimum})"))
@@ -87,10 +72,10 @@ def enum_rule(value: Column, field: str, valid: Sequence[str]) -> Rule:
     return Rule("invalid_value", field, ~ok, value, f"Invalid {field}: '", "'")
 
 
-def imperative_rules(rec: Column) -> list[Rule]:
+def imperative_rules(facts: V.Facts) -> list[Rule]:
     """Rules beyond presence; they apply only to records with all fields."""
     rules = []
-    id_type, id_text = V.type_at(rec, "id"), V.text_at(rec, "id")
+    id_type, id_text = facts.type("id"), facts.text("id")
     well_formed = F.startswith(id_text, F.lit(vocab.ID_PREFIX)) & (F.length(id_text) == vocab.ID_LENGTH)
     rules.append(
         Rule(
@@ -102,7 +87,7 @@ def imperative_rules(rec: Column) -> list[Rule]:
         ("category", vocab.CATEGORIES), ("difficulty", vocab.DIFFICULTIES),
         ("language", vocab.LANGUAGES), ("audience", vocab.AUDIENCES), ("use_case", vocab.USE_CASES),
     )
-    rules += [enum_rule(V.text_at(rec, f), f, valid) for f, valid in enums]
+    rules += [enum_rule(facts.text(f), f, valid) for f, valid in enums]
 
     wrong = {
         "prompt": V.is_string, "negative_prompt": V.is_string,
@@ -110,7 +95,7 @@ def imperative_rules(rec: Column) -> list[Rule]:
         "style": V.is_object, "tech_stack": V.is_object,
         "quality": V.is_object, "website_card": V.is_object,
     }
-    types = {f: V.type_at(rec, f) for f in wrong}
+    types = {f: facts.type(f) for f in wrong}
     right = {f: check(types[f]) for f, check in wrong.items()}
     rules += [
         Rule("invalid_type", f, ~right[f], types[f], f"Invalid type of '{f}': ") for f in wrong
@@ -122,15 +107,15 @@ def imperative_rules(rec: Column) -> list[Rule]:
     for parent, keys in nested:
         rules += [
             Rule(
-                "missing_key", f"{parent}.{k}", right[parent] & V.at(rec, parent, k).isNull(),
+                "missing_key", f"{parent}.{k}", right[parent] & facts.type(parent, k).isNull(),
                 F.lit(None), f"Missing {parent} field: '{k}'", shows_observed=False,
             )
             for k in keys
         ]
     low, high = vocab.SCORE_RANGE
     for k in vocab.SCORE_FIELDS:
-        score, kind = V.text_at(rec, "quality", k), V.type_at(rec, "quality", k)
-        in_range = F.try_variant_get(rec, f"$.quality.{k}", "long").between(low, high)
+        score, kind = facts.text("quality", k), facts.type("quality", k)
+        in_range = facts.long("quality", k).between(low, high)
         good = V.is_integer(kind) & F.coalesce(in_range, F.lit(False))
         rules.append(
             Rule(
@@ -138,15 +123,19 @@ def imperative_rules(rec: Column) -> list[Rule]:
                 f"Invalid quality score for '{k}': ",
             )
         )
-    prompt = F.when(right["prompt"], V.text_at(rec, "prompt"))
-    negative = F.when(right["negative_prompt"], V.text_at(rec, "negative_prompt"))
-    rules += word_rules(prompt, "prompt", "Prompt", *vocab.PROMPT_WORDS)
-    rules += word_rules(negative, "negative_prompt", "Negative prompt", maximum=vocab.NEGATIVE_WORDS_MAX)
+    words = {
+        f: F.when(right[f], facts.add(f"words_{f}", text.word_count(facts.raw_text(f))))
+        for f in ("prompt", "negative_prompt")
+    }
+    rules += word_rules(words["prompt"], "prompt", "Prompt", *vocab.PROMPT_WORDS)
+    rules += word_rules(
+        words["negative_prompt"], "negative_prompt", "Negative prompt", maximum=vocab.NEGATIVE_WORDS_MAX
+    )
     for f, label, bounds in (
         ("acceptance_criteria", "acceptance criteria", vocab.CRITERIA_ITEMS),
         ("tags", "tags", vocab.TAG_ITEMS),
     ):
-        items = V.items_at(rec, f)
+        items = facts.strings(f)
         rules += size_rules(F.when(items.isNotNull(), F.size(items)), f, label, bounds)
     return rules
 
@@ -158,8 +147,15 @@ def pattern_rule(value: Column, field: str, pattern: str) -> Rule:
     )
 
 
-def length_rules(value: Column, field: str, minimum: int | None = None, maximum: int | None = None) -> list[Rule]:
-    n, out = F.length(value), []
+def length_rules(
+    value: Column,
+    field: str,
+    minimum: int | None = None,
+    maximum: int | None = None,
+    measured: bool = False,
+) -> list[Rule]:
+    """Limits of the characters of a text, or of a length that is already ``measured``."""
+    n, out = value if measured else F.length(value), []
     if minimum is not None:
         out.append(Rule("min_length", field, n < minimum, n, f"'{field}' has too few characters: ", kind=DECLARATIVE))
     if maximum is not None:
@@ -173,8 +169,8 @@ def item_rule(name: str, items: Column, field: str, good) -> Rule:
     return Rule(name, field, F.size(bad) > 0, F.get(bad, 0), f"'{field}' has a bad item: '", "'", DECLARATIVE)
 
 
-def type_rule(rec: Column, path: tuple[str, ...], wanted: str) -> Rule:
-    kind = V.type_at(rec, *path)
+def type_rule(facts: V.Facts, path: tuple[str, ...], wanted: str) -> Rule:
+    kind = facts.type(*path)
     ok = {
         "string": kind == "STRING",
         "integer": kind == "BIGINT",
@@ -184,11 +180,11 @@ def type_rule(rec: Column, path: tuple[str, ...], wanted: str) -> Rule:
     return Rule("type", ".".join(path), kind.isNotNull() & ~ok, kind, f"'{'.'.join(path)}' has type ", kind=DECLARATIVE)
 
 
-def declarative_rules(rec: Column) -> list[Rule]:
+def declarative_rules(facts: V.Facts) -> list[Rule]:
     """Patterns, lengths, item rules and types of the record schema. Absent fields pass."""
 
     def string(*path: str) -> Column:
-        return F.when(V.type_at(rec, *path) == "STRING", V.text_at(rec, *path))
+        return F.when(facts.type(*path) == "STRING", facts.text(*path))
 
     rules = [
         pattern_rule(string("id"), "id", vocab.ID_PATTERN),
@@ -197,10 +193,13 @@ def declarative_rules(rec: Column) -> list[Rule]:
         *length_rules(string("subcategory"), "subcategory", 1),
         *length_rules(string("title"), "title", 10, 120),
         *length_rules(string("industry"), "industry", 1),
-        *length_rules(string("prompt"), "prompt", 50),
-        item_rule("item_pattern", V.strings_at(rec, "tags"), "tags", lambda t: t.rlike(vocab.KEBAB_PATTERN)),
+        *length_rules(
+            F.when(facts.type("prompt") == "STRING", facts.add("length_prompt", F.length(facts.raw_text("prompt")))),
+            "prompt", 50, measured=True,
+        ),
+        item_rule("item_pattern", facts.strings("tags"), "tags", lambda t: t.rlike(vocab.KEBAB_PATTERN)),
         item_rule(
-            "item_min_length", V.strings_at(rec, "acceptance_criteria"), "acceptance_criteria",
+            "item_min_length", facts.strings("acceptance_criteria"), "acceptance_criteria",
             lambda c: F.length(c) >= 10,
         ),
     ]
@@ -213,20 +212,55 @@ def declarative_rules(rec: Column) -> list[Rule]:
     string_lists = ("acceptance_criteria", "tags")
     for f in vocab.RECORD_FIELDS:
         wanted = "object" if f in objects else "strings" if f in string_lists else "string"
-        rules.append(type_rule(rec, (f,), wanted))
+        rules.append(type_rule(facts, (f,), wanted))
     for parent, keys in (
         ("style", vocab.STYLE_FIELDS), ("tech_stack", vocab.TECH_FIELDS),
         ("website_card", vocab.CARD_FIELDS),
     ):
         for k in keys:
             wanted = "strings" if k in ("optional_libraries", "search_keywords") else "string"
-            rules.append(type_rule(rec, (parent, k), wanted))
-    rules += [type_rule(rec, ("quality", k), "integer") for k in vocab.SCORE_FIELDS]
+            rules.append(type_rule(facts, (parent, k), wanted))
+    rules += [type_rule(facts, ("quality", k), "integer") for k in vocab.SCORE_FIELDS]
     return rules
 
 
 def _hits(rules: Sequence[Rule]) -> Column:
-    return F.array_compact(F.array(*[r.as_struct() for r in rules]))
+    """Broken rules as structs (rule, kind, field, observed, detail).
+
+    The row-wise part only yields the number of the rule and what was observed; the
+    fixed texts are looked up afterwards, for broken rules only.
+    """
+
+    def quoted(s: str) -> str:
+        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    texts = ", ".join(
+        f"named_struct('rule', {quoted(r.name)}, 'kind', {quoted(r.kind)}, 'field', {quoted(r.field)}, "
+        f"'before', {quoted(r.before)}, 'after', {quoted(r.after)}, 'shown', {str(r.shows_observed).lower()})"
+        for r in rules
+    )
+    broken = F.array_compact(
+        F.array(
+            *[
+                F.when(r.broken, F.struct(F.lit(i).alias("i"), r.observed.cast("string").alias("observed")))
+                for i, r in enumerate(rules)
+            ]
+        )
+    )
+    table = F.expr(f"array({texts})")
+
+    def described(hit: Column) -> Column:
+        t = F.get(table, hit["i"])
+        seen = F.when(t["shown"], F.coalesce(hit["observed"], F.lit("None"))).otherwise("")
+        return F.struct(
+            t["rule"].alias("rule"),
+            t["kind"].alias("kind"),
+            t["field"].alias("field"),
+            hit["observed"].alias("observed"),
+            F.concat(t["before"], seen, t["after"]).alias("detail"),
+        )
+
+    return F.transform(broken, described)
 
 
 def violations(df: DataFrame, rules: Sequence[Rule], *carry: str, only_if: Column | None = None) -> DataFrame:
@@ -237,8 +271,8 @@ def violations(df: DataFrame, rules: Sequence[Rule], *carry: str, only_if: Colum
     return df.select(*carry, F.explode(hits).alias("v")).select(*carry, "v.*")
 
 
-def _complete(rec: Column) -> Column:
-    present = [V.at(rec, f).isNotNull() for f in vocab.RECORD_FIELDS]
+def _complete(facts: V.Facts) -> Column:
+    present = [facts.type(f).isNotNull() for f in vocab.RECORD_FIELDS]
     out = present[0]
     for p in present[1:]:
         out = out & p
@@ -251,11 +285,19 @@ def with_hits(records: DataFrame, declarative: bool = True) -> DataFrame:
     A record that lacks a required field reports the missing fields and its schema
     violations, no other imperative rule.
     """
-    rec = F.col("rec")
-    hits = F.when(_complete(rec), _hits(imperative_rules(rec))).otherwise(_hits(missing_fields(rec)))
+    facts, hits = _record_checks(declarative, SparkContext._gateway)
+    return facts.drop(V.once(facts.measure(records), "hits", hits))
+
+
+@lru_cache(maxsize=4)
+def _record_checks(declarative: bool, gateway: object) -> tuple[V.Facts, Column]:
+    """Facts and broken rules as columns. Building them takes thousands of calls into
+    the JVM, so they are kept; a new JVM (``gateway``) builds its own."""
+    facts = V.Facts("rec")
+    hits = F.when(_complete(facts), _hits(imperative_rules(facts))).otherwise(_hits(missing_fields(facts)))
     if declarative:
-        hits = F.concat(hits, _hits(declarative_rules(rec)))
-    return V.once(records, "hits", hits)
+        hits = F.concat(hits, _hits(declarative_rules(facts)))
+    return facts, hits
 
 
 def is_valid(hits: str = "hits") -> Column:
@@ -272,7 +314,7 @@ def explode_hits(checked: DataFrame) -> DataFrame:
 
 def check_records(records: DataFrame, declarative: bool = True) -> DataFrame:
     """All violations of decoded records."""
-    checked = with_hits(records, declarative).withColumn("id", V.text_at(F.col("rec"), "id"))
+    checked = with_hits(records, declarative).withColumn("id", V.text_at("rec", "id"))
     return explode_hits(checked)
 
 

@@ -54,7 +54,7 @@ class Duplicates:
 
 def record_frame(decoded: jsonl.Decoded) -> DataFrame:
     """Fields the analysis needs; missing texts are empty, a missing id is made from the line."""
-    rec = F.col("rec")
+    rec = "rec"
     empty = F.lit("")
     return decoded.records.select(
         "pos",

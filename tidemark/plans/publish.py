@@ -17,7 +17,7 @@ STRINGS = (
 
 def typed_records(decoded: jsonl.Decoded) -> DataFrame:
     """Records as typed columns, nothing repaired; wrongly typed parts are null."""
-    rec = F.col("rec")
+    rec = "rec"
     style = ", ".join(f"{k} string" for k in vocab.STYLE_FIELDS)
     tech = "framework string, language string, styling string, animation string, optional_libraries array<string>"
     card = "headline string, summary string, preview_label string, search_keywords array<string>"
@@ -28,7 +28,7 @@ def typed_records(decoded: jsonl.Decoded) -> DataFrame:
         "pos",
         *[V.text_at(rec, f).alias(f) for f in STRINGS],
         *[V.strings_at(rec, f).alias(f) for f in ("acceptance_criteria", "tags")],
-        *[F.try_variant_get(rec, f"$.{f}", f"struct<{fields}>").alias(f) for f, fields in objects.items()],
+        *[V.struct_at(rec, fields, f).alias(f) for f, fields in objects.items()],
     )
 
 

@@ -20,7 +20,7 @@ KEYS = {"id": "ID", "slug": "slug", "title": "title"}
 
 def check_lines(decoded: jsonl.Decoded) -> DataFrame:
     """Outcome per line: place, reason if unreadable, broken rules, keys, facets, opening."""
-    rec = F.col("rec")
+    rec = "rec"
     fields = ("id", "slug", "title", "category", "difficulty", "language")
     readable = rules.with_hits(decoded.records).select(
         "source_file", "line_num", "pos", F.lit(None).cast("string").alias("reason"), "hits",

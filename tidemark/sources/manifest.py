@@ -28,11 +28,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_categories(manifest: DataFrame) -> DataFrame:
     """(category, file, expected) of each listed category."""
-    entry = F.explode(V.items_at(F.col("rec"), "categories")).alias("e")
+    entry = F.explode(V.items_at("rec", "categories")).alias("e")
     return manifest.select(entry).select(
-        V.text_at(F.col("e"), "category").alias("category"),
-        V.text_at(F.col("e"), "file").alias("file"),
-        F.try_variant_get("e", "$.count", "long").alias("expected"),
+        V.text_at("e", "category").alias("category"),
+        V.text_at("e", "file").alias("file"),
+        V.long_at("e", "count").alias("expected"),
     )
 
 
@@ -45,7 +45,7 @@ def _missing(rec, field: str, *path: str) -> Rule:
 
 def _minimum(rec, path: tuple[str, ...], minimum: int) -> list[Rule]:
     name = ".".join(path)
-    kind, value = V.type_at(rec, *path), F.try_variant_get(rec, "$." + name, "long")
+    kind, value = V.type_at(rec, *path), V.long_at(rec, *path)
     return [
         Rule("type", name, kind.isNotNull() & (kind != "BIGINT"), kind, f"'{name}' has type ", kind=DECLARATIVE),
         Rule("minimum", name, (kind == "BIGINT") & (value < minimum), value, f"'{name}' is below its minimum: ", kind=DECLARATIVE),
@@ -54,7 +54,7 @@ def _minimum(rec, path: tuple[str, ...], minimum: int) -> list[Rule]:
 
 def check_manifest(manifest: DataFrame, min_total: int = vocab.MIN_TOTAL, min_count: int = vocab.MIN_PER_CATEGORY) -> DataFrame:
     """(entry, rule, kind, field, observed, detail); ``entry`` is null for top-level rules."""
-    rec = F.col("rec")
+    rec = "rec"
     top = [_missing(rec, f) for f in MANIFEST_FIELDS]
     top += _minimum(rec, ("total_prompts",), min_total)
     for f in ("dataset_name", "version", "format", "schema", "created_for"):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions import text
+from ..functions import text, variants as V
 from ..operators import rules
 from ..sources.jsonl import decode
 
@@ -29,23 +29,33 @@ def arriving_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") ->
     )
 
 
+def checked_lines(lines: DataFrame) -> DataFrame:
+    """Lines with their reason if unreadable, else with the rules they break."""
+    checked = rules.with_hits(decode(lines).lines)
+    return checked.select(
+        "source_file", "line_num", "pos", "reason", "raw",
+        V.text_at("rec", "id").alias("id"),
+        F.when(F.col("reason").isNull(), F.col("hits")).alias("hits"),
+    )
+
+
 def validated_sink(lines: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
     """Route arriving lines to valid records, violations and quarantine tables."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        # Parsed and checked once; the three tables are written from the outcome.
+        outcome = checked_lines(batch).persist()
         try:
-            decoded = decode(batch)
-            flagged = rules.flag_valid(decoded.records)
+            readable = outcome.filter(F.col("reason").isNull())
             parts = {
-                "valid": flagged.filter("valid").select("source_file", "raw"),
-                "violations": rules.check_records(decoded.records).drop("line_num", "pos"),
-                "quarantine": decoded.quarantine.drop("line_num", "pos"),
+                "valid": readable.filter(rules.is_valid()).select("source_file", "raw"),
+                "violations": rules.explode_hits(readable).drop("line_num", "pos"),
+                "quarantine": outcome.filter(F.col("reason").isNotNull()).select("source_file", "reason", "raw"),
             }
             for name, part in parts.items():
                 part.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
         finally:
-            batch.unpersist()
+            outcome.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
