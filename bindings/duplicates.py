@@ -68,6 +68,15 @@ def title_groups(spark, folder):
     return dups.groups(rows).select(F.col("key").alias("title"), "n", F.col("first_pos").alias("first_key"))
 
 
+@query(
+    """SELECT p_name AS title, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1
+    ORDER BY n DESC, min(p_partkey) LIMIT 10"""
+)
+def largest_title_groups(spark, folder):
+    rows = dups.keyed(part(spark, folder), F.col("p_name"), "p_partkey", "p_partkey")
+    return dups.largest(dups.groups(rows)).select(F.col("key").alias("title"), "n")
+
+
 @query(
     f"""SELECT {q.slug("p_name || '/' || p_brand")} AS slug, count(*) AS n, min(p_partkey) AS first_key
     FROM part GROUP BY 1 HAVING count(*) > 1"""

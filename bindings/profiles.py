@@ -169,6 +169,39 @@ def manifest_reconciliation(spark, folder):
     return manifest.reconcile(expected, actual)
 
 
+@query(
+    """WITH c AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) - 1 AS i FROM documents GROUP BY source)
+    SELECT CAST(NULL AS INT) AS entry, 'invalid_value' AS rule, 'format' AS field, 'Invalid format: ''csv''' AS detail
+    UNION ALL SELECT NULL, 'missing_field', 'created_for', 'Missing required field: ''created_for'''
+    UNION ALL SELECT NULL, 'type', 'quality_gates.schema_valid', '''quality_gates.schema_valid'' has type STRING'
+    UNION ALL SELECT NULL, 'minimum', 'total_prompts', '''total_prompts'' is below its minimum: ' || (SELECT sum(n) FROM c)
+    UNION ALL SELECT CAST(i AS INT), 'minimum', 'count', '''count'' is below its minimum: ' || n FROM c WHERE source < 'src15'
+    UNION ALL SELECT CAST(i AS INT), 'missing_field', 'file', 'Missing required field: ''file''' FROM c WHERE source = 'src7'"""
+)
+def manifest_rules(spark, folder):
+    """Rules over a manifest made from the counts per source, with some faults put in."""
+    per_source = profile.count_by(_table(spark, folder, "documents"), "source")
+    many = 10**9
+    entry = F.struct(
+        F.col("key").alias("category"),
+        F.when(F.col("key") != "src7", F.concat("key", F.lit(".jsonl"))).alias("file"),
+        F.when(F.col("key") < "src15", F.col("n")).otherwise(F.col("n") + 10 * many).alias("count"),
+    )
+    gates = F.struct(
+        *[(F.lit("yes") if g == "schema_valid" else F.lit(True)).alias(g) for g in manifest.GATES]
+    )
+    # One entry per category: the list is as long as the category dimension.
+    totals = per_source.agg(
+        F.sum("n").alias("total_prompts"), F.array_sort(F.collect_list(entry)).alias("categories")
+    )
+    body = F.struct(
+        F.lit("documents").alias("dataset_name"), F.lit("1").alias("version"), "total_prompts", "categories",
+        F.lit("csv").alias("format"), F.lit("records").alias("schema"), gates.alias("quality_gates"),
+    )
+    made = totals.select(F.try_parse_json(F.to_json(body)).alias("rec"))
+    return manifest.check_manifest(made, many, many).select("entry", "rule", "field", "detail")
+
+
 @query(
     """SELECT r.r_name AS label, n.n_name AS key, count(c_custkey) AS n
     FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey

@@ -26,11 +26,6 @@ def keyed(df: DataFrame, key: Column, pos: str, id: str, *carry: str) -> DataFra
     )
 
 
-def id_or_line(id: str = "id", line: str = "line_num") -> Column:
-    """Record id; a record without one is named after its line."""
-    return F.coalesce(F.col(id), F.concat(F.lit("unknown_"), F.col(line).cast("string")))
-
-
 def key_columns(spec: RecordSpec) -> dict[str, Column]:
     """The four duplicate keys of a record."""
     return {
@@ -74,6 +69,11 @@ def group_heads(rows: DataFrame, k: int, minimum: int = 2) -> DataFrame:
     )
 
 
+def largest(found: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` largest groups; ties go to the key seen first."""
+    return found.orderBy(F.col("n").desc(), "first_pos").limit(n)
+
+
 def later_occurrences(rows: DataFrame) -> DataFrame:
     """Rows whose key was seen earlier, with the position of the first sighting."""
     return members(rows).filter(F.col("pos") > F.col("first_pos"))

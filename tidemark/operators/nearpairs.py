@@ -141,7 +141,8 @@ def candidate_pairs(
     """Pairs inside the window that may pass, each unordered id pair at its first meeting."""
     rows = numbered(df, spec, window, buckets)
     if not spec.unique_ids:
-        rows = _flag_repeated_ids(rows)
+        # Read four times below; texts are tokenised once.
+        rows = _flag_repeated_ids(cut_lineage(rows))
     in_window = (F.col("r.rn") > F.col("l.rn")) & (F.col("r.rn") <= F.col("l.rn") + window)
     passes = _may_pass(threshold)
     pair = [

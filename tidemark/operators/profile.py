@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
-from ..functions import text
 
 
 def count_by(df: DataFrame, key: str | Column, name: str = "key") -> DataFrame:
@@ -72,7 +71,8 @@ def category_dimension(df: DataFrame, category: str, subcategory: str, labels: D
     """(key, label, n, subcategories): the label falls back to the key.
 
     Subcategories are deduplicated before they are collected, so the list is as long
-    as the number of distinct values, not of rows.
+    as the number of distinct values, not of rows. A column with very many values
+    belongs in ``facet_counts(..., by=[category])``, which stays in long form.
     """
     per_value = df.groupBy(F.col(category).alias("key"), F.col(subcategory).alias("sub")).agg(
         F.count(F.lit(1)).alias("n")
@@ -89,7 +89,10 @@ def category_dimension(df: DataFrame, category: str, subcategory: str, labels: D
 
 
 def distribution_maps(counts: DataFrame, by: Sequence[str], facets: Sequence[str]) -> DataFrame:
-    """Turn facet counts into one map column per facet, most frequent first."""
+    """Turn facet counts into one map column per facet, most frequent first.
+
+    Meant for enumerated facets; one map holds all values of a facet.
+    """
     aggs = []
     for facet in facets:
         pair = F.when(F.col("facet") == facet, F.struct((-F.col("n")).alias("o"), "value", "n"))
@@ -193,7 +196,3 @@ def record_profile(df: DataFrame) -> DataFrame:
         },
         {k: F.col(f"quality.{k}") for k in vocab.SCORE_FIELDS},
     )
-
-
-def comma_score(c: Column) -> Column:
-    return text.comma_decimal(c, 2)

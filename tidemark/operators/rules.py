@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import text, variants as V
-from .dups import keyed, members
+from .dups import keyed
 from .ordering import join_per_key
 
 IMPERATIVE, DECLARATIVE = "imperative", "declarative"
@@ -350,14 +350,19 @@ def duplicate_keys(valid: DataFrame, field: str, label: str, shown_chars: int |
     ``valid`` holds source_file, line_num, pos, id and the field.
     """
     rows = keyed(valid, F.col(field), "pos", "id", "source_file", "line_num")
-    grouped = members(rows)
-    later = grouped.filter(F.col("pos") > F.col("first_pos"))
-    first = (
-        grouped.filter(F.col("pos") == F.col("first_pos"))
-        .select("first_pos", F.concat_ws(":", "source_file", "line_num").alias("seen_at"))
+    per_key = (
+        rows.groupBy("key")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct("pos", F.concat_ws(":", "source_file", "line_num").alias("place"))).alias("first"),
+        )
+        .filter(F.col("n") > 1)
+    )
+    placed = (
+        join_per_key(rows, per_key, "key", "pos")
+        .filter(F.col("pos") > F.col("first.pos"))
+        .withColumn("seen_at", F.col("first.place"))
     )
-    n_later = later.groupBy("first_pos").agg(F.count(F.lit(1)).alias("n"))
-    placed = join_per_key(later.drop("n"), first.join(n_later, "first_pos"), "first_pos", "pos")
     shown = F.col("key") if shown_chars is None else F.left(F.col("key"), F.lit(shown_chars))
     return placed.select(
         "source_file", "line_num", "pos", "id",

@@ -31,6 +31,13 @@ class Duplicates:
         """Every member of every group: (key, pos, id, n, first_pos)."""
         return {k: dups.members(rows) for k, rows in self.keyed.items()}
 
+    def largest(self, n: int = 10) -> dict[str, DataFrame]:
+        """The most repeated titles and openings."""
+        return {
+            "titles": dups.largest(self.groups["title"], n),
+            "openings": self.openings.orderBy(F.col("uses").desc(), "opening").limit(n),
+        }
+
     def details(self) -> dict[str, DataFrame]:
         """Capped report lists, in order of first appearance; openings by use."""
         n = vocab.REPORT_DETAILS_MAX
@@ -80,6 +87,8 @@ def run(spark: SparkSession, source: str, target: str) -> str:
     try:
         found = analyse(frame, buckets=dense_buckets())
         sinks.write_duplicate_report(found.status, found.details(), found.members(), target)
+        for kind, groups in found.groups.items():
+            groups.write.parquet(f"{target}/groups/{kind}")
         found.pairs.write.parquet(f"{target}/pairs")
         return spark.read.json(f"{target}/summary").first().overall_status
     finally:
