@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import dups, gates, nearpairs, uniquify
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import read_table
 from tidemark.spec import RecordSpec
 
@@ -26,6 +27,11 @@ def _keyed_docs(spark, folder, key):
     return dups.keyed(documents(spark, folder), key, "doc_id", "doc_id")
 
 
+def _kept_keys(spark, folder, key):
+    """Keys made from the texts once, for queries that read them more than once."""
+    return cut_lineage(_keyed_docs(spark, folder, key))
+
+
 _FP = f"SELECT doc_id, sha256({q.token_bag('text')}) AS h FROM documents"
 
 
@@ -45,7 +51,7 @@ def fingerprint_groups(spark, folder):
       (SELECT h, doc_id, count(*) OVER (PARTITION BY h) AS n FROM fp) WHERE n > 1"""
 )
 def fingerprint_members(spark, folder):
-    rows = _keyed_docs(spark, folder, text.fingerprint(F.col("text")))
+    rows = _kept_keys(spark, folder, text.fingerprint(F.col("text")))
     return dups.members(rows).select(F.left("key", F.lit(16)).alias("hash"), F.col("id").alias("doc_id"), "n")
 
 
@@ -55,7 +61,7 @@ def fingerprint_members(spark, folder):
     SELECT left(k, 100) AS sentence, n, array_to_string(list_slice(ids, 1, 10), ',') AS first_ids FROM g"""
 )
 def first_sentence_groups(spark, folder):
-    rows = _keyed_docs(spark, folder, text.first_sentence(F.col("text")))
+    rows = _kept_keys(spark, folder, text.first_sentence(F.col("text")))
     return dups.group_heads(rows, 10).select(
         F.left("key", F.lit(100)).alias("sentence"), "n",
         F.array_join(F.col("ids").cast("array<string>"), ",").alias("first_ids"),

@@ -29,7 +29,8 @@ def _fresh(spark) -> str:
 @query(f"WITH k AS (SELECT DISTINCT sha256({q.token_bag('text')}) AS fingerprint FROM documents) SELECT fingerprint FROM k")
 def stream_unique_fingerprints(spark, folder):
     out = _fresh(spark)
-    unique = ingest.first_by_fingerprint(_document_stream(spark, folder), F.col("text")).select("fingerprint")
+    docs = _document_stream(spark, folder)
+    unique = ingest.first_by_fingerprint(docs, F.col("text"), spread_by=F.col("doc_id")).select("fingerprint")
     ingest.table_sink(unique, f"{out}/rows", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 

@@ -139,7 +139,8 @@ def test_streams(spark, folder, tmp_path):
     spark.createDataFrame(
         [(1, "the red card"), (2, "RED card 7"), (3, "blue card")], "id long, body string"
     ).select("id", F.timestamp_seconds("id").alias("ts"), "body").write.parquet(str(tmp_path / "docs"))
-    for i, args in enumerate([(None, None), ("ts", "1 hour")]):
+    by_id = F.col("id")
+    for i, args in enumerate([(None, None), ("ts", "1 hour"), (None, None, by_id), ("ts", "1 hour", by_id)]):
         unique = ingest.first_by_fingerprint(docs.parquet(str(tmp_path / "docs")), F.col("body"), *args)
         ingest.table_sink(unique, str(tmp_path / f"u{i}"), str(tmp_path / f"k{i}")).trigger(availableNow=True).start().awaitTermination()
         assert spark.read.parquet(str(tmp_path / f"u{i}")).count() == 2

@@ -46,7 +46,10 @@ def groups(rows: DataFrame, minimum: int = 2) -> DataFrame:
 
 
 def members(rows: DataFrame, minimum: int = 2) -> DataFrame:
-    """Every row of a duplicate group with the group's size and first position."""
+    """Every row of a duplicate group with the group's size and first position.
+
+    ``rows`` is read twice; cut its lineage first when keys are costly to make.
+    """
     return join_per_key(rows, groups(rows, minimum), "key", "pos")
 
 

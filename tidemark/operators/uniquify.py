@@ -117,26 +117,28 @@ def unique_names(
     rows = df.select(F.col(name).alias("key"), F.col(pos).alias("pos"), fixed.alias("pinned"))
     asks = (~F.col("pinned")).cast("long")
     keys = rows.groupBy("key").agg(
-        F.sum(asks).alias("base_rows"), F.min(F.struct("pos", "pinned")).alias("first")
+        F.sum(asks).alias("base_rows"),
+        F.min("pos").alias("first_pos"),
+        F.min_by("pinned", "pos").alias("first_pinned"),
     )
 
     # Numbered originals whose base also occurs and can hand out numbers.
     numbered, base, number = form.parse(F.col("key"))
     originals = keys.filter(numbered).select(
         F.col("key").alias("name"), base.alias("base"), number.alias("number"),
-        F.col("first.pos").alias("pos"),
+        F.col("first_pos").alias("pos"),
     )
     base_numbered, _, _ = form.parse(F.col("base"))
     bases = (
         originals.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
         .join(keys, F.col("base") == F.col("key"))
-        .filter((F.col("base_rows") > 1) | F.col("first.pinned") | base_numbered)
-        .select("base", "n", "base_rows", F.col("first.pinned").alias("base_pinned"))
+        .filter((F.col("base_rows") > 1) | F.col("first_pinned") | base_numbered)
+        .select("base", "n", "base_rows", F.col("first_pinned").alias("base_pinned"))
     )
     tangled = cut_lineage(join_per_key(originals, bases, "base", "pos"))
     pinned_first = None
     if pinned is not None:
-        pinned_first = keys.filter(F.col("first.pinned") & (F.col("base_rows") > 0))
+        pinned_first = keys.filter(F.col("first_pinned") & (F.col("base_rows") > 0))
     simple = tangled.isEmpty()
 
     counted = running_sum(rows, ["key"], "pos", "ordinal", buckets, asks)

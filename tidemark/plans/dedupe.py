@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab
-from ..functions import variants as V
+from ..functions import text, variants as V
 from ..operators import dups, gates, nearpairs
 from ..operators.ordering import Buckets, dense_buckets
+from ..session import cut_lineage
 from ..sources import jsonl, sinks
 from ..spec import RECORDS, RecordSpec
 
@@ -72,11 +73,20 @@ def record_frame(decoded: jsonl.Decoded) -> DataFrame:
 
 
 def analyse(df: DataFrame, spec: RecordSpec = RECORDS, buckets: Buckets | None = None) -> Duplicates:
-    keyed = {kind: dups.keyed(df, c, spec.pos, spec.id) for kind, c in dups.key_columns(spec).items()}
+    """Plan the analysis. Keys are made from the texts once and kept as narrow rows."""
+    keys = dups.key_columns(spec)
+    opening = text.first_words(F.coalesce(F.col(spec.text), F.lit("")))
+    narrow = cut_lineage(
+        df.select(
+            F.col(spec.pos).alias("pos"), F.col(spec.id).alias("id"),
+            *[c.alias(f"key_{kind}") for kind, c in keys.items()], opening.alias("opening"),
+        )
+    )
+    keyed = {kind: dups.keyed(narrow, F.col(f"key_{kind}"), "pos", "id") for kind in keys}
     return Duplicates(
         keyed=keyed,
         groups={kind: dups.groups(rows) for kind, rows in keyed.items()},
-        openings=dups.overused_openings(df, spec.text),
+        openings=dups.overused(narrow, "opening"),
         pairs=nearpairs.near_pairs(df, spec, buckets=buckets),
     )
 

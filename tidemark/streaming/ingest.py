@@ -61,17 +61,33 @@ def validated_sink(lines: DataFrame, target: str, checkpoint: str) -> DataStream
 
 
 def first_by_fingerprint(
-    stream: DataFrame, content: Column, event_time: str | None = None, keep_for: str | None = None
+    stream: DataFrame,
+    content: Column,
+    event_time: str | None = None,
+    keep_for: str | None = None,
+    spread_by: Column | None = None,
+    salts: int = 64,
 ) -> DataFrame:
     """Drop rows whose token fingerprint was seen before, adding it as ``fingerprint``.
 
     With an event time, state is kept only for ``keep_for``; without, for ever (use the
     RocksDB state store then).
+
+    Deduplication of a stream has no map-side step. When one text may make up a large
+    share of the rows, give ``spread_by``, a column that differs between copies: copies
+    are then reduced to one per salt in ``salts`` tasks before they meet in one.
     """
     marked = stream.withColumn("fingerprint", text.fingerprint(content))
-    if event_time is None:
-        return marked.dropDuplicates(["fingerprint"])
-    return marked.withWatermark(event_time, keep_for).dropDuplicatesWithinWatermark(["fingerprint"])
+    if event_time is not None:
+        marked = marked.withWatermark(event_time, keep_for)
+
+    def reduce(df: DataFrame, *keys: str) -> DataFrame:
+        return df.dropDuplicates(keys) if event_time is None else df.dropDuplicatesWithinWatermark(keys)
+
+    if spread_by is None:
+        return reduce(marked, "fingerprint")
+    salted = marked.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    return reduce(reduce(salted, "fingerprint", "_salt").drop("_salt"), "fingerprint")
 
 
 def table_sink(stream: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
