@@ -32,7 +32,7 @@ class Buckets:
 
     def of(self, pos: Column) -> Column:
         if self.width is not None:
-            return F.floor(pos / F.lit(self.width)).cast("long")
+            return F.call_function("div", pos, F.lit(self.width))
         if not self.bounds:
             return F.lit(0).cast("long")
         # Binary search over the literal bounds: number of bounds <= pos.
