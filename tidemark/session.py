@@ -1,8 +1,10 @@
-"""Session settings the operators rely on, and reliable lineage cutting."""
+"""Session settings the operators rely on, shared scratch tables, and lineage cutting."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,9 @@ REQUIRED = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+_own_folder: list[str] = []
+_scratch: list[tuple[SparkSession, str]] = []
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings that results depend on to a running session."""
@@ -37,24 +42,50 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and scratch tables.
+    """Folder for scratch tables, which the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a fresh temporary folder.
+    The setting is only read, never written. A local session without it uses one fresh
+    temporary folder; a cluster without it is refused, as executors could not share files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _own_folder[0]
+
+
+def _drop_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may be gone already
+            return
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system layer."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """Name of a new folder below the shared one; it is deleted when Python ends."""
+    if not _scratch:
+        atexit.register(_drop_scratch)
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Later jobs read the columns they need from storage, so neither a lost executor nor a
+    second reader computes ``df`` again.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
