@@ -25,7 +25,7 @@ def load() -> dict:
         # quality
         registry,
         shards,
-        # token_files
+        token_files,
         # warc
     )
 
