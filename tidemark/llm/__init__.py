@@ -16,7 +16,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def load() -> dict:
     """Name -> (function of session and folder, checking SQL or None)."""
     from tidemark.llm import (  # noqa: F401
-        # byte_merges
+        byte_merges,
         # bag_minhash
         mixing,
         # near_vectors
