@@ -26,7 +26,7 @@ def load() -> dict:
         registry,
         shards,
         token_files,
-        # warc
+        warc,
     )
 
     return registry.QUERIES

@@ -15,7 +15,7 @@ def create(uri: str):
     """Output stream to a new file; missing folders are made."""
     system, path = filesystem(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def mapped(uri: str, dtype: str):
