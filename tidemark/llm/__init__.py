@@ -22,7 +22,7 @@ def load() -> dict:
         # near_vectors
         # neighbours
         # personal
-        # quality
+        quality,
         registry,
         shards,
         token_files,
