@@ -21,7 +21,7 @@ def load() -> dict:
         mixing,
         # near_vectors
         # neighbours
-        # personal
+        personal,
         quality,
         registry,
         shards,
