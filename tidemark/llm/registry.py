@@ -42,3 +42,14 @@ def text_of(column: str) -> Column:
 def cells_for(rows: int, rows_per_cell: int) -> int:
     """How many cells keep each near ``rows_per_cell`` rows; one rule at every size."""
     return max(1, -(-rows // rows_per_cell))
+
+
+def once_per_worker(key: str, make):
+    """What ``make`` returns, kept for later tasks of the same Python worker process."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.files import create, mapped
 from tidemark.llm.pieces import PieceCache, blocks
-from tidemark.llm.registry import query, table, text_of
+from tidemark.llm.registry import once_per_worker, query, table, text_of
 from tidemark.session import scratch_dir
 
 END_ID = 2
 NO_ID = -(2**63)
 BLOCK_BYTES = 8 << 20
+#: Encodings a worker keeps from task to task; later words are encoded wherever they occur.
+KEPT_WORDS = 600_000
 SHARD = "shard int, stem string, width int, n_docs long, n_tokens long"
 
 
@@ -64,8 +66,6 @@ def tokenizers_encoder(definition: str, width: int):
     marks = dict(zip(",.", whole([",", "."])))
 
     def encode(pieces: list[str]) -> list[bytes]:
-        if len(words) > 1_000_000:
-            words.clear()
         out: list[bytes] = []
         rest: list[int] = []
         for i, piece in enumerate(pieces):
@@ -74,7 +74,9 @@ def tokenizers_encoder(definition: str, width: int):
                 ids = words.get(word)
                 if ids is None:
                     spelled = word.encode().decode("latin-1").translate(alphabet)
-                    ids = words[word] = b"".join([t.id.to_bytes(width, "little") for t in model.tokenize(spelled)])
+                    ids = b"".join([t.id.to_bytes(width, "little") for t in model.tokenize(spelled)])
+                    if len(words) < KEPT_WORDS:
+                        words[word] = ids
                 out.append(ids if word is piece else ids + marks[piece[-1]])
             else:
                 out.append(b"")
@@ -100,6 +102,7 @@ def write_token_files(
     empty texts consist of it alone. Rows without an id come first; equal ids keep an
     arbitrary order. An empty table gives an empty manifest. Other columns are ignored.
     """
+    import hashlib
     import json
 
     spark = docs.sparkSession
@@ -108,6 +111,8 @@ def write_token_files(
     width = 2 if most < 2**16 else 4
     shared = spark.sparkContext.broadcast(definition)
 
+    key = f"tokenizer {hashlib.sha256(definition.encode()).hexdigest()} {width}"
+
     def write(batches):
         import uuid
 
@@ -121,7 +126,7 @@ def write_token_files(
             if not block.num_rows:
                 continue
             if cache is None:
-                cache = PieceCache(tokenizers_encoder(shared.value, width))
+                cache = PieceCache(once_per_worker(key, lambda: tokenizers_encoder(shared.value, width)))
                 shard = TaskContext.get().partitionId()
                 stem = f"{shard:08d}-{uuid.uuid4().hex}"
                 ids = create(f"{path}/{stem}.ids")
