@@ -15,12 +15,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.pieces import PieceCache, blocks
-from tidemark.llm.registry import query, table, text_of
+from tidemark.llm.registry import once_per_worker, query, table, text_of
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 4 << 20
+#: Encodings a worker keeps from block to block; later words are replayed where they occur.
+KEPT_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -175,47 +177,64 @@ def corpus_encoder(merges: Merges, pattern: str):
 
     rank_of = {t: i for i, t in enumerate(merges.tokens) if t}
     find = regex.compile(pattern).findall
-    words: dict[str, bytes] = {}
+    kept: dict[str, bytes] = {}
 
     def encode(pieces: list[str]) -> list[bytes]:
-        if len(words) > 2_000_000:
-            words.clear()
         found = [[p] if (p[1:] if p[:1] == " " else p).isalpha() else find(p) for p in pieces]
-        new = list({w for ws in found for w in ws if w not in words})
-        words.update(zip(new, replay([w.encode() for w in new], merges, rank_of)))
-        get = words.__getitem__
-        return [words[ws[0]] if len(ws) == 1 else b"".join(map(get, ws)) for ws in found]
+        new = list({w for ws in found for w in ws if w not in kept})
+        own = dict(zip(new, replay([w.encode("utf-8", "surrogatepass") for w in new], merges, rank_of)))
+        room = max(0, KEPT_WORDS - len(kept))
+        kept.update((w, own[w]) for w in new[:room])
+
+        def get(word: str) -> bytes:
+            ids = kept.get(word)
+            return own[word] if ids is None else ids
+
+        return [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in found]
 
     return encode
 
 
 def encode_texts(
-    docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids"
+    docs: DataFrame,
+    ranks: bytes,
+    pattern: str,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    decoded_col: str | None = None,
 ) -> DataFrame:
     """``docs`` without its text, plus ``ids_col``: binary, little-endian 32-bit ids.
 
-    ``ranks`` is the text of a rank file and ``pattern`` splits texts into words. Null and
-    empty texts have no ids. Special tokens are ordinary text. Rows, their order inside a
-    partition and other columns stay; an empty table stays empty. A column of ``docs``
-    named as ``ids_col`` is replaced.
+    ``ranks`` is the text of a rank file and ``pattern`` splits texts into words. With
+    ``decoded_col`` the ids are decoded at once and the bytes added. Null and empty texts
+    have no ids. Special tokens are ordinary text. Rows, their order inside a partition
+    and other columns stay; an empty table stays empty. Columns of ``docs`` named as the
+    new ones are replaced.
     """
+    import hashlib
+
     merges = docs.sparkSession.sparkContext.broadcast(read_merges(ranks))
-    keep = [f for f in docs.schema.fields if f.name not in (text_col, ids_col)]
+    key = f"merges {hashlib.sha256(ranks + pattern.encode()).hexdigest()}"
+    added = [ids_col, *([decoded_col] if decoded_col else [])]
+    keep = [f for f in docs.schema.fields if f.name not in (text_col, *added)]
     names = [f.name for f in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{ids_col}` binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"`{c}` binary" for c in added)])
 
     def encode(batches):
         import pyarrow as pa
 
-        cache = None
+        encoder = once_per_worker(key, lambda: corpus_encoder(merges.value, pattern))
+        cache, tokens = PieceCache(encoder), merges.value.tokens
         for block in blocks(batches, text_col, BLOCK_BYTES):
-            cache = cache or PieceCache(corpus_encoder(merges.value, pattern))
             ids = cache.encode(block.column(text_col).to_pylist())
             at = 0
-            for batch in block.select(names).to_batches():
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[at : at + n], pa.binary())], names=[*names, ids_col])
-                at += n
+            for batch in block.select(names).to_batches(max_chunksize=256):
+                own = ids[at : at + batch.num_rows]
+                at += batch.num_rows
+                columns = [pa.array(own, pa.binary())]
+                if decoded_col:
+                    columns.append(pa.array([decode_ids(i, tokens) for i in own], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *added])
 
     return docs.select(*[f"`{n}`" for n in names], text_of(text_col).alias(text_col)).mapInArrow(encode, schema)
 
@@ -227,34 +246,6 @@ def decode_ids(ids: bytes, tokens: list) -> bytes:
     return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def digests(encoded: DataFrame, ranks: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Per row: id, n_tokens, SHA-256 of its ids and of the bytes they decode to."""
-    merges = encoded.sparkSession.sparkContext.broadcast(read_merges(ranks))
-
-    def digest(batches):
-        import hashlib
-
-        import pyarrow as pa
-
-        tokens = merges.value.tokens
-        for batch in batches:
-            ids = [b or b"" for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(b) // 4 for b in ids], pa.int64()),
-                    pa.array([hashlib.sha256(b).hexdigest() for b in ids]),
-                    pa.array([hashlib.sha256(decode_ids(b, tokens)).hexdigest() for b in ids]),
-                ],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(
-        digest, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    ).withColumnRenamed("id", id_col)
-
-
 def public_ranks() -> tuple[bytes, str]:
     """Rank file and pattern of the public 50k vocabulary."""
     import public_tokenizers
@@ -268,4 +259,9 @@ def op6_byte_merges(spark: SparkSession, folder: str) -> DataFrame:
     """All documents encoded by merge replay and decoded again."""
     ranks, pattern = public_ranks()
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return digests(encode_texts(docs, ranks, pattern), ranks)
+    return encode_texts(docs, ranks, pattern, decoded_col="decoded").select(
+        "doc_id",
+        F.call_function("div", F.octet_length("ids"), F.lit(4)).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

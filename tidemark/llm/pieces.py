@@ -52,7 +52,7 @@ def blocks(batches, text_column: str, most_bytes: int):
 class PieceCache:
     """Encodings of pieces as bytes; ``encode_pieces`` maps a list of pieces to a list."""
 
-    def __init__(self, encode_pieces, most: int = 2_000_000):
+    def __init__(self, encode_pieces, most: int = 300_000):
         self.encode_pieces, self.most = encode_pieces, most
         self.tails: dict[str, bytes] = {}
 
