@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.pieces import blocks
 from tidemark.llm.registry import fresh, query, table, text_of
 
 #: Kinds in order of precedence, and the patterns of base spans.
@@ -30,6 +31,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SAMPLE_DOCS = 2000
+BLOCK_BYTES = 4 << 20
 SURE = 0.9
 ROUNDS = 8
 DIGIT = re.compile(r"[0-9]")
@@ -348,7 +350,8 @@ def find(docs: DataFrame, field: Field, text_col: str = "text", out_col: str = "
         def column(found):
             return pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in found], spans_type)
 
-        for batch in batches:
+        for block in blocks(batches, text_name, BLOCK_BYTES):
+            batch = block.combine_chunks().to_batches()[0]
             texts = batch.column(batch.num_columns - 1).to_pylist()
             graph, base = Graph(), []
             for i, text in enumerate(texts):
@@ -375,7 +378,8 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", sure: float =
     def replace(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for block in blocks(batches, text_col, BLOCK_BYTES):
+            batch = block.combine_chunks().to_batches()[0]
             texts = batch.column(at).to_pylist()
             graph, base = Graph(), []
             for i, text in enumerate(texts):

@@ -35,16 +35,28 @@ def chunks(text: str) -> list[str]:
 
 
 def blocks(batches, text_column: str, most_bytes: int):
-    """Join Arrow batches to tables of about ``most_bytes`` of text each."""
+    """Arrow tables of about ``most_bytes`` of text each, whatever the size of the batches.
+
+    A text longer than that is a table of its own.
+    """
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.column(batch.schema.get_field_index(text_column)).nbytes
-        if size >= most_bytes:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(text_column)))
+        ends = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + most_bytes - size, side="right")))
+            held.append(batch.slice(at, stop - at))
+            size += int(ends[stop - 1] - done)
+            at = stop
+            if size >= most_bytes or at < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 

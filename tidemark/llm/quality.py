@@ -278,9 +278,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         import pyarrow as pa
 
         features, m = Features(bits), shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+        for block in blocks(batches, text_name, BLOCK_BYTES):
+            for part in block.combine_chunks().to_batches():
                 grams, offsets = features.of(part.column(part.num_columns - 1).to_pylist())
                 sums = np.concatenate([[0.0], np.cumsum(m.weights[grams], dtype=np.float64)])
                 counts = np.diff(offsets)
