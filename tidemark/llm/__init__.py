@@ -17,7 +17,7 @@ def load() -> dict:
     """Name -> (function of session and folder, checking SQL or None)."""
     from tidemark.llm import (  # noqa: F401
         byte_merges,
-        # bag_minhash
+        bag_minhash,
         mixing,
         # near_vectors
         # neighbours
