@@ -19,7 +19,7 @@ def load() -> dict:
         byte_merges,
         bag_minhash,
         mixing,
-        # near_vectors
+        near_vectors,
         # neighbours
         personal,
         quality,
