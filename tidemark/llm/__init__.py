@@ -20,7 +20,7 @@ def load() -> dict:
         bag_minhash,
         mixing,
         near_vectors,
-        # neighbours
+        neighbours,
         personal,
         quality,
         registry,

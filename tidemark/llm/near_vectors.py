@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.groups import whole_groups
 from tidemark.llm.registry import query, table
 from tidemark.session import cut_lineage
 
@@ -181,19 +182,8 @@ def link_vectors(
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["node", "links", "root"])
 
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            cell = table.column("cell").to_numpy()
-            last = int(np.searchsorted(cell, cell[-1]))
-            if last:
-                yield from cells(table.slice(0, last))
-            held = table.slice(last)
-        if held is not None:
-            yield from cells(held)
+        for table in whole_groups(batches, "cell"):
+            yield from cells(table)
 
     found = cut_lineage(
         dealt.select(*cell, "node", "copies", "own", "vector").mapInArrow(compare, "node long, links long, root long"), "found"
