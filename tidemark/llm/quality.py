@@ -201,7 +201,9 @@ def fit(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")
     )
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    counts, sizes = class_counts(texts.join(usable, "id"), bits)
+    # A sort-merge join at every size: labels may be as many as documents, and a labelled
+    # document's text is shuffled once.
+    counts, sizes = class_counts(texts.hint("merge").join(usable, "id"), bits)
     if not sizes.all():
         share = sizes[1] / sizes.sum() if sizes.sum() else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
