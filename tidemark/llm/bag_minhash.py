@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.pieces import blocks
-from tidemark.llm.registry import query, table, text_of
+from tidemark.llm.registry import fresh, query, table, text_of
 from tidemark.llm.wordhash import Hasher, mix, shingles
 from tidemark.session import cut_lineage
 
@@ -220,13 +220,13 @@ def near_groups(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, digest (MD5 of the text), class_id, class_size.
+    """One row per row of ``docs``: id, digest (MD5 of the text), class_key, class_id, class_size.
 
     A class is a component of documents linked by a weighted Jaccard similarity of at
     least ``least``; class_id is its smallest id. Equal texts share a class, null counting
     as empty; a text of fewer words than a shingle has one shingle of all its words; texts
     without words are near nothing but equal texts. A class whose ids are all null has a
-    null class_id. An empty table gives no rows. Other columns are ignored.
+    null class_id; class_key, a row number, still tells it from others. An empty table gives no rows. Other columns are ignored.
     """
     text = text_of(text_col)
     named = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
@@ -278,9 +278,27 @@ def near_groups(
     per_text = sketched.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(of_text, "digest")
     classes = per_text.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
     labelled = cut_lineage(
-        per_text.join(classes, "component").select("digest", "class_id", "class_size"), "classes"
+        per_text.join(classes, "component").select("digest", F.col("component").alias("class_key"), "class_id", "class_size"), "classes"
+    )
+    return sketched.select(F.col("id").alias(id_col), "digest").join(labelled, "digest")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class: the one of smallest id, null last, then of least digest.
+
+    Columns are those of ``docs``. Each whole text is shuffled once, by its digest.
+    """
+    groups = near_groups(docs, id_col, text_col, **options)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "digest")).alias("first")
+    digest, kept = fresh(docs, "_digest"), fresh(docs, "_kept")
+    chosen = groups.groupBy("class_key").agg(first).select(F.col("first.digest").alias(digest), F.col("first.id").alias(kept))
+    return (
+        docs.withColumn(digest, F.unhex(F.md5(text_of(text_col).cast("binary"))))
+        .join(chosen, digest)
+        .filter(F.col(id_col).eqNullSafe(F.col(kept)))
+        .dropDuplicates([digest])
+        .select(*[f"`{c}`" for c in docs.columns])
     )
-    return sketched.select("id", "digest").join(labelled, "digest").select(F.col("id").alias(id_col), "digest", "class_id", "class_size")
 
 
 def _left(members: DataFrame, met: DataFrame, chosen: DataFrame, least: float) -> DataFrame:
