@@ -315,9 +315,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
 
     import pickle
 
-    picked = rows.orderBy(F.xxhash64("id"), "id", "text").limit(most).select("text")
+    # Hashes alone are sorted; only the texts below the bound so found are fetched.
+    hashed = rows.select("text", F.xxhash64("id", "text").alias("hash"))
+    lowest = hashed.select("hash").orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
+    picked = hashed.filter(F.col("hash") <= F.lit(lowest).cast("long")).limit(most).select("text")
     whole = Graph()
-    for row in sorted(r.graph for r in picked.mapInArrow(graphs, "graph binary").collect()):
+    for row in sorted(bytes(r.graph) for r in picked.mapInArrow(graphs, "graph binary").collect()):
         features, labels, chain, skip = pickle.loads(row)
         n = len(whole.features)
         whole.features += features
