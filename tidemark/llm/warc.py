@@ -155,7 +155,11 @@ def parse_record(data: bytes, at: int = 0, last: bool = True) -> tuple[dict, byt
         key, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without a colon")
-        headers[key.decode("latin-1").lower()] = value.decode("utf-8", "replace").strip()
+        name = key.decode("latin-1").lower()
+        if name in headers and name != "warc-concurrent-to":
+            # The headers of a record that was cut run into those of the next one.
+            raise Damaged("header given twice")
+        headers[name] = value.decode("utf-8", "replace").strip()
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit() and len(length) < 19):
         raise Damaged("no content length")
@@ -163,9 +167,10 @@ def parse_record(data: bytes, at: int = 0, last: bool = True) -> tuple[dict, byt
     end = start + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("record is cut" if end + 4 > len(data) else "no line ends after the block")
-    if end + 4 < len(data) and not data.startswith(b"WARC/1."[: len(data) - end - 4], end + 4):
-        raise Damaged("no record after the block")
     block = data[start:end]
+    unsure = not headers.get("warc-block-digest", "").lower().startswith("sha256:")
+    if unsure and end + 4 < len(data) and not data.startswith(b"WARC/1."[: len(data) - end - 4], end + 4):
+        raise Damaged("no digest, and no record after the block")
     for kind, value in (("warc-block-digest", block), ("warc-payload-digest", None)):
         algorithm, _, digest = headers.get(kind, "").partition(":")
         if value is None:
