@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import dups, gates, nearpairs, uniquify
+from tidemark.operators import dups, gates, nearpairs, ordering, uniquify
 from tidemark.session import cut_lineage
 from tidemark.sources.tables import read_table
 from tidemark.spec import RecordSpec
@@ -23,6 +23,11 @@ def part(spark, folder):
     return read_table(spark, f"{folder}/part.parquet")
 
 
+def cells(df, pos):
+    """Small cells, so that running sums cross many of them at every scale."""
+    return ordering.measure_buckets(df, pos, rows_per_bucket=100)
+
+
 def _keyed_docs(spark, folder, key):
     return dups.keyed(documents(spark, folder), key, "doc_id", "doc_id")
 
@@ -52,7 +57,9 @@ def fingerprint_groups(spark, folder):
 )
 def fingerprint_members(spark, folder):
     rows = _kept_keys(spark, folder, text.fingerprint(F.col("text")))
-    return dups.members(rows).select(F.left("key", F.lit(16)).alias("hash"), F.col("id").alias("doc_id"), "n")
+    # A low limit, so that salted keys take part in every check.
+    found = dups.members(rows, hot_rows=2)
+    return found.select(F.left("key", F.lit(16)).alias("hash"), F.col("id").alias("doc_id"), "n")
 
 
 @query(
@@ -137,7 +144,8 @@ _PAIRS = f"""WITH t AS (
 
 @query(_PAIRS)
 def near_duplicate_pairs(spark, folder):
-    return nearpairs.near_pairs(documents(spark, folder), DOCS).drop("pos1", "pos2")
+    docs = documents(spark, folder)
+    return nearpairs.near_pairs(docs, DOCS, buckets=cells(docs, "doc_id")).drop("pos1", "pos2")
 
 
 def _sections(spark, folder):
@@ -170,7 +178,7 @@ def duplicate_status(spark, folder):
 )
 def unique_slugs(spark, folder):
     rows = part(spark, folder).select("p_partkey", text.slugify(F.col("p_name")).alias("slug"))
-    return uniquify.unique_slugs(rows, "slug", "p_partkey").select(
+    return uniquify.unique_slugs(rows, "slug", "p_partkey", cells(rows, "p_partkey")).select(
         F.col("pos").alias("p_partkey"), F.col("final_name").alias("slug")
     )
 
@@ -187,19 +195,34 @@ def unique_titles(spark, folder):
         "p_partkey", F.when(F.col("p_size") != 7, F.col("p_name")).alias("title")
     )
     numbered = rows.join(
-        uniquify.record_numbers(rows, "p_partkey").withColumnRenamed("pos", "p_partkey"), "p_partkey"
+        uniquify.record_numbers(rows, "p_partkey", cells(rows, "p_partkey")).withColumnRenamed("pos", "p_partkey"), "p_partkey"
     )
-    return uniquify.unique_titles(numbered, "title", "p_partkey", "number").select(
+    return uniquify.unique_titles(numbered, "title", "p_partkey", "number", cells(rows, "p_partkey")).select(
         F.col("pos").alias("p_partkey"), F.col("final_name").alias("title")
     )
 
 
-@query(None)  # Order-dependent collisions; tests compare it with a sequential model.
+@query(
+    f"""WITH RECURSIVE n AS (
+      SELECT p_partkey, {q.slug('p_name')} || CASE WHEN p_size % 5 = 0 THEN '-' || p_size ELSE '' END AS slug FROM part),
+    r AS (SELECT *, regexp_replace(slug, '(-[1-9][0-9]*)+$', '') AS root FROM n),
+    o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p_partkey) AS step FROM r),
+    named AS (
+      SELECT root, step, p_partkey, slug, slug AS unique_slug, [slug] AS taken FROM o WHERE step = 1
+      UNION ALL
+      SELECT root, step, p_partkey, slug, chosen, list_append(taken, chosen) FROM (
+        SELECT o.root, o.step, o.p_partkey, o.slug, named.taken,
+          CASE WHEN NOT list_contains(named.taken, o.slug) THEN o.slug
+            ELSE list_filter(list_transform(range(1, o.step + 1), lambda k: o.slug || '-' || k),
+              lambda s: NOT list_contains(named.taken, s))[1] END AS chosen
+        FROM named JOIN o ON o.root = named.root AND o.step = named.step + 1))
+    SELECT p_partkey, slug, unique_slug FROM named"""
+)
 def unique_slugs_with_numbered_originals(spark, folder):
     suffix = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("-"), F.col("p_size").cast("string"))).otherwise("")
     rows = part(spark, folder).select(
         "p_partkey", F.concat(text.slugify(F.col("p_name")), suffix).alias("slug")
     )
-    return uniquify.unique_slugs(rows, "slug", "p_partkey").select(
+    return uniquify.unique_slugs(rows, "slug", "p_partkey", cells(rows, "p_partkey")).select(
         F.col("pos").alias("p_partkey"), F.col("name").alias("slug"), F.col("final_name").alias("unique_slug")
     )

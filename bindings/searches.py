@@ -109,7 +109,7 @@ def search_by_quality(spark, folder):
     return _found(rows)
 
 
-@query(None)  # Locale collation; the checking side has none. Tests cover it.
+@query(_search_sql("fw = 'React'", "t COLLATE de, pos"))
 def search_in_title_order(spark, folder):
     rows, _ = search.search(compact(spark, folder), search.Query("", {"framework": "React"}, "az"))
     return _found(rows)

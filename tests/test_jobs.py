@@ -71,6 +71,26 @@ def test_cleanup_job(spark, folder, tmp_path):
     assert again[0] == good(1, category="ecommerce", difficulty="expert")
 
 
+def test_jobs_follow_each_other(spark, folder, tmp_path):
+    """What cleanup writes is input for the other jobs, under the same file names."""
+    clean = str(tmp_path / "clean")
+    cleanup.run(spark, folder, clean)
+    lines = jsonl.scan_lines(spark, f"{clean}/data").orderBy("pos").collect()
+    assert [(r.source_file, r.line_num, r.pos) for r in lines] == [
+        (f"{1 + i // 20:02d}.jsonl", i % 20 + 1, i + 1) for i in range(40)
+    ]
+    assert [json.loads(r.value)["id"] for r in lines] == [f"PRM-{i:06d}" for i in range(1, 41)]
+    out = str(tmp_path / "report")
+    validate.run(spark, f"{clean}/data", out)
+    s = spark.read.json(f"{out}/summary").first()
+    assert (s.total_prompts, s.invalid_lines, s.duplicate_slugs, s.duplicate_titles) == (40, 0, 0, 0)
+    dedupe.run(spark, f"{clean}/data", str(tmp_path / "dups"))
+    s = spark.read.json(str(tmp_path / "dups/summary")).first()
+    assert (s.title, s.slug) == (0, 0)
+    publish.run(spark, f"{clean}/data", str(tmp_path / "site"))
+    assert spark.read.parquet(str(tmp_path / "site/index")).count() == 40
+
+
 def test_publish_search_and_lookup(spark, folder, tmp_path):
     out = str(tmp_path / "site")
     publish.run(spark, folder, out)

@@ -92,3 +92,13 @@ def test_measured_buckets_are_balanced(spark):
     b = ordering.measure_buckets(df, "pos", rows_per_bucket=100)
     sizes = [r[1] for r in df.groupBy(b.of(F.col("pos"))).count().collect()]
     assert len(sizes) == 10 and max(sizes) <= 130
+
+
+def test_stretches_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CUTS", 4)
+    df = spark.range(1000).select((F.col("id") * 3 + 7).alias("pos"))
+    b = ordering.measure_buckets(df, "pos", rows_per_bucket=50)
+    cells = df.groupBy(b.of(F.col("pos")).alias("cell")).agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    rows = sorted(cells.collect(), key=lambda r: r.cell)
+    assert b.parts == 5 and max(r.n for r in rows) <= 60
+    assert all(a.hi < c.lo for a, c in zip(rows, rows[1:]))

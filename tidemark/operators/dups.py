@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import vocab
 from ..functions import text
 from ..spec import RecordSpec
-from .ordering import join_per_key
+from .ordering import HOT_ROWS, join_per_key
 
 
 def keyed(df: DataFrame, key: Column, pos: str, id: str, *carry: str) -> DataFrame:
@@ -45,12 +45,12 @@ def groups(rows: DataFrame, minimum: int = 2) -> DataFrame:
     )
 
 
-def members(rows: DataFrame, minimum: int = 2) -> DataFrame:
+def members(rows: DataFrame, minimum: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every row of a duplicate group with the group's size and first position.
 
     ``rows`` is read twice; cut its lineage first when keys are costly to make.
     """
-    return join_per_key(rows, groups(rows, minimum), "key", "pos")
+    return join_per_key(rows, groups(rows, minimum), "key", "pos", hot_rows=hot_rows)
 
 
 def group_heads(rows: DataFrame, k: int, minimum: int = 2) -> DataFrame:

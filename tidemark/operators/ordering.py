@@ -21,14 +21,15 @@ HOT_SALTS = 512
 
 @dataclass(frozen=True)
 class Buckets:
-    """Maps an order column to a non-decreasing bucket number."""
+    """Maps an order column to a non-decreasing bucket number.
+
+    Either every ``width`` values share a bucket, or ``bounds`` cut the column, and each
+    stretch between two bounds is cut again into ``parts`` of equal width.
+    """
 
     bounds: tuple[int, ...] = ()
     width: int | None = None
-
-    @property
-    def single(self) -> bool:
-        return self.width is None and not self.bounds
+    parts: int = 1
 
     def of(self, pos: Column) -> Column:
         if self.width is not None:
@@ -42,25 +43,33 @@ class Buckets:
             steps.insert(0, step)
             step *= 2
         bounds = F.lit(list(self.bounds))
-        return F.aggregate(
+        at = F.aggregate(
             F.lit(steps),
             F.lit(0),
             lambda at, s: F.when(F.get(bounds, at + s - 1) <= pos, at + s).otherwise(at),
-        ).cast("long")
+        )
+        low, high = F.get(bounds, at - 1).cast("double"), F.get(bounds, at).cast("double")
+        inside = F.floor((pos.cast("double") - low) / (high - low) * self.parts)
+        part = F.coalesce(F.least(F.lit(self.parts - 1), inside), F.lit(0))
+        return at.cast("long") * self.parts + part
 
 
 def measure_buckets(df: DataFrame, pos: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Buckets:
-    """Balanced buckets; what reaches the driver is a count and a bounded list of cuts."""
+    """Balanced buckets; what reaches the driver is a count and ``CUTS`` quantiles at most.
+
+    Beyond ``CUTS`` buckets, the stretches between quantiles are cut further, so the number
+    of buckets follows the number of rows at every size.
+    """
     n = df.select(pos).count()
-    if n <= rows_per_bucket:
-        return Buckets()
-    cuts = [i / CUTS for i in range(1, CUTS)]
+    wanted = -(-n // rows_per_bucket)
+    cuts = max(1, min(CUTS, wanted))
     q = df.agg(
-        F.percentile_approx(F.col(pos).cast("long"), F.lit(cuts), F.lit(10 * CUTS))
+        F.percentile_approx(F.col(pos).cast("long"), F.lit([i / cuts for i in range(cuts + 1)]), F.lit(10 * CUTS))
     ).first()[0]
-    wanted = min(CUTS, -(-n // rows_per_bucket))
-    picks = [q[round(i * CUTS / wanted) - 1] for i in range(1, wanted)]
-    return Buckets(bounds=tuple(sorted(set(picks))))
+    parts = max(1, -(-wanted // cuts))
+    # Only stretches that are cut again need to know the ends.
+    inner = (q or []) if parts > 1 else (q or [])[1:-1]
+    return Buckets(bounds=tuple(sorted(set(inner))), parts=parts)
 
 
 def dense_buckets(rows_per_bucket: int = ROWS_PER_BUCKET) -> Buckets:
@@ -84,9 +93,6 @@ def running_sum(
     weight = F.lit(1) if weight is None else weight
     weight = weight.cast("long")
     upto_here = (Window.unboundedPreceding, Window.currentRow)
-    if buckets.single:
-        w = Window.partitionBy(*group).orderBy(pos).rowsBetween(*upto_here)
-        return df.withColumn(name, F.sum(weight).over(w))
     cell = [*group, "_bucket"]
     cells = df.withColumn("_bucket", buckets.of(F.col(pos)))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,14 +17,9 @@ from ..session import cut_lineage
 from .ordering import dense_buckets
 from .uniquify import record_numbers, unique_slugs, unique_titles
 
-#: Synonym tables above this size belong in a joined table, not in a literal.
-MAX_LITERAL_SYNONYMS = 1000
-
 
 def map_enum(c: Column, valid: Sequence[str], synonyms: Mapping[str, str], default: str) -> Column:
     """Keep valid values, translate known synonyms, else the default."""
-    if len(synonyms) > MAX_LITERAL_SYNONYMS:
-        raise ValueError("use map_enum_by_table for a large synonym table")
     translated = F.lit(None).cast("string")
     if synonyms:
         pairs = [F.lit(x) for kv in synonyms.items() for x in kv]

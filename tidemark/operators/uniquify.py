@@ -62,7 +62,7 @@ SLUGS = NumberedForm("-", "", 1, "[1-9][0-9]{0,17}")
 TITLES = NumberedForm(" (", ")", 2, "[2-9]|[1-9][0-9]{1,17}")
 
 
-def _blocked_numbers(form: NumberedForm):
+def _blocked_numbers(first: int):
     """Pass over numbered originals sorted by (root, length of base, base, number).
 
     Shorter bases come first, so whether a base lost its own name is known before
@@ -83,7 +83,7 @@ def _blocked_numbers(form: NumberedForm):
                     base, skipped = r.base, 0
                     kept = 0 if (r.base_pinned or base in lost) else 1
                     requests = r.base_rows - kept
-                slot = r.number - (form.first - 1)
+                slot = r.number - (first - 1)
                 hit = slot - skipped  # the request that would take this number
                 if hit > requests:
                     continue
@@ -135,88 +135,66 @@ def unique_names(
         .filter((F.col("base_rows") > 1) | F.col("first_pinned") | base_numbered)
         .select("base", "n", "base_rows", F.col("first_pinned").alias("base_pinned"))
     )
-    tangled = cut_lineage(join_per_key(originals, bases, "base", "pos"))
-    pinned_first = None
-    if pinned is not None:
-        pinned_first = keys.filter(F.col("first_pinned") & (F.col("base_rows") > 0))
-    simple = tangled.isEmpty()
-
-    counted = running_sum(rows, ["key"], "pos", "ordinal", buckets, asks)
-    if simple and pinned_first is None:
-        return counted.select(
-            "pos",
-            F.col("key").alias("name"),
-            F.when(F.col("ordinal") == 1, F.col("key"))
-            .otherwise(form.render(F.col("key"), F.col("ordinal") + (form.first - 2)))
-            .alias("final_name"),
-        )
+    tangled = cut_lineage(join_per_key(originals, bases, "base", "pos"), "tangled")
 
-    per_base = None
-    if not simple:
-        # How many rows of the base precede each numbered original.
-        parents = tangled.groupBy(F.col("base").alias("key")).agg(F.max("base_rows").alias("n"))
-        marks = tangled.select(
-            F.col("base").alias("key"), "pos", F.lit(True).alias("pinned"), F.col("name").alias("mark")
-        )
-        around = join_per_key(rows, parents, "key", "pos").select(
-            "key", "pos", "pinned", F.lit(None).cast("string").alias("mark")
-        ).unionByName(marks)
-        before = (
-            running_sum(around, ["key"], "pos", "rows_before", buckets, asks)
-            .filter(F.col("mark").isNotNull())
-            .select(F.col("mark").alias("name"), "rows_before")
-        )
-        sorted_marks = (
-            tangled.join(before, "name")
-            .select(
-                form.root(F.col("base")).alias("root"), "base", "number", "name",
-                "base_rows", "base_pinned", "rows_before",
-            )
-            .repartition("root")
-            .sortWithinPartitions("root", F.length("base"), "base", "number")
-        )
-        per_base = cut_lineage(
-            sorted_marks.mapInPandas(_blocked_numbers(form), "key string, what string, after long")
+    # How many rows of the base precede each numbered original.
+    parents = tangled.groupBy(F.col("base").alias("key")).agg(F.max("base_rows").alias("n"))
+    marks = tangled.select(
+        F.col("base").alias("key"), "pos", F.lit(True).alias("pinned"), F.col("name").alias("mark")
+    )
+    around = join_per_key(rows, parents, "key", "pos").select(
+        "key", "pos", "pinned", F.lit(None).cast("string").alias("mark")
+    ).unionByName(marks)
+    before = (
+        running_sum(around, ["key"], "pos", "rows_before", buckets, asks)
+        .filter(F.col("mark").isNotNull())
+        .select(F.col("mark").alias("name"), "rows_before")
+    )
+    sorted_marks = (
+        tangled.join(before, "name")
+        .select(
+            form.root(F.col("base")).alias("root"), "base", "number", "name",
+            "base_rows", "base_pinned", "rows_before",
         )
-
-    # Names whose first user does not keep them: lost to a request, or pinned.
-    losers = None
-    if per_base is not None:
-        losers = per_base.filter("what = 'lost'").select("key")
-    if pinned_first is not None:
-        names = pinned_first.select("key")
-        losers = names if losers is None else losers.unionByName(names).distinct()
-    per_loser = losers.join(keys, "key").select("key", F.col("base_rows").alias("n"))
-    lost_rows = join_per_key(counted, per_loser, "key", "pos").select("pos", F.lit(0).alias("kept"))
-    requests = counted.join(lost_rows, "pos", "left").select(
-        "key", "pos", "pinned",
-        (F.col("ordinal") - F.coalesce("kept", F.lit(1))).alias("request"),
+        .repartition("root")
+        .sortWithinPartitions("root", F.length("base"), "base", "number")
+    )
+    per_base = cut_lineage(
+        sorted_marks.mapInPandas(_blocked_numbers(form.first), "key string, what string, after long"), "per-base"
     )
 
-    if per_base is not None:
-        # A blocked number after request v moves every request beyond v by one.
-        gaps = per_base.filter("what = 'blocked'").groupBy("key", "after").agg(
-            F.count(F.lit(1)).alias("step")
-        )
-        line = requests.select(
-            "key", (F.col("request") * 2).alias("at"), F.lit(0).cast("long").alias("step"),
-            "pos", "pinned", "request",
-        ).unionByName(
-            gaps.select("key", (F.col("after") * 2 + 1).alias("at"), "step"), allowMissingColumns=True
-        )
-        requests = running_sum(
-            line, ["key"], "at", "moved", dense_buckets(), F.col("step")
-        ).filter(F.col("pos").isNotNull())
-    else:
-        requests = requests.withColumn("moved", F.lit(0))
+    # Names whose first user does not keep them: lost to a request, or pinned.
+    losers = per_base.filter("what = 'lost'").select("key")
+    if pinned is not None:
+        pinned_first = keys.filter(F.col("first_pinned") & (F.col("base_rows") > 0))
+        losers = losers.unionByName(pinned_first.select("key")).distinct()
 
+    # Only names that repeat or that their first user loses are numbered; all others stay.
+    several = (
+        keys.join(losers.withColumn("lost", F.lit(True)), "key", "left")
+        .filter((F.col("base_rows") > 1) | F.col("lost") & (F.col("base_rows") > 0) | F.col("first_pinned"))
+        .select("key", F.col("base_rows").alias("n"), F.when(F.col("lost"), 0).otherwise(1).alias("kept"))
+    )
+    contested = join_per_key(rows, several, "key", "pos").drop("n")
+    requests = running_sum(contested, ["key"], "pos", "ordinal", buckets, asks).select(
+        "key", "pos", "pinned", (F.col("ordinal") - F.col("kept")).alias("request")
+    )
+    # A blocked number after request v moves every request beyond v by one.
+    gaps = per_base.filter("what = 'blocked'").groupBy("key", "after").agg(F.count(F.lit(1)).alias("step"))
+    line = requests.select(
+        "key", (F.col("request") * 2).alias("at"), F.lit(0).cast("long").alias("step"),
+        "pos", "pinned", "request",
+    ).unionByName(
+        gaps.select("key", (F.col("after") * 2 + 1).alias("at"), "step"), allowMissingColumns=True
+    )
+    moved = running_sum(line, ["key"], "at", "moved", dense_buckets(), F.col("step"))
     number_of = F.col("request") + F.col("moved") + (form.first - 1)
-    return requests.select(
-        "pos",
-        F.col("key").alias("name"),
-        F.when(F.col("pinned") | (F.col("request") == 0), F.col("key"))
-        .otherwise(form.render(F.col("key"), number_of))
-        .alias("final_name"),
+    renamed = (
+        moved.filter(F.col("pos").isNotNull() & ~F.col("pinned") & (F.col("request") > 0))
+        .select("pos", form.render(F.col("key"), number_of).alias("new_name"))
+    )
+    return rows.join(renamed, "pos", "left").select(
+        "pos", F.col("key").alias("name"), F.coalesce("new_name", "key").alias("final_name")
     )
 
 

@@ -22,12 +22,12 @@ def check_lines(decoded: jsonl.Decoded) -> DataFrame:
     """Outcome per line: place, reason if unreadable, broken rules, keys, facets, opening."""
     rec = "rec"
     fields = ("id", "slug", "title", "category", "difficulty", "language")
-    readable = rules.with_hits(decoded.records).select(
-        "source_file", "line_num", "pos", F.lit(None).cast("string").alias("reason"), "hits",
-        *[V.text_at(rec, f).alias(f) for f in fields],
-        text.first_words(F.coalesce(V.text_at(rec, "prompt"), F.lit(""))).alias("opening"),
+    readable = F.col("reason").isNull()
+    return rules.with_hits(decoded.lines).select(
+        "source_file", "line_num", "pos", "reason", F.when(readable, F.col("hits")).alias("hits"),
+        *[F.when(readable, V.text_at(rec, f)).alias(f) for f in fields],
+        F.when(readable, text.first_words(F.coalesce(V.text_at(rec, "prompt"), F.lit("")))).alias("opening"),
     )
-    return readable.unionByName(decoded.quarantine.drop("raw"), allowMissingColumns=True)
 
 
 @dataclass(frozen=True)

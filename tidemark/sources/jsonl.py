@@ -10,33 +10,44 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import text
 from ..functions.variants import once
 
-#: One row per input split is joined back to the lines; above this it is not broadcast.
-MAX_BROADCAST_SPLITS = 1_000_000
+
+#: Files that the cleanup job writes below ``source_file=<name>``.
+PART_FILES = "part-*.txt"
 
 
 class EmptyInputError(ValueError):
     """There is no folder, or it holds no matching file."""
 
 
+def _open(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Text relation of the files that match, else of the part files of cleaned records."""
+    for glob in (pattern, PART_FILES):
+        try:
+            raw = spark.read.option("pathGlobFilter", glob).text(path)
+        except AnalysisException as e:
+            raise EmptyInputError(f"cannot read {path}") from e
+        if raw.inputFiles():
+            return raw
+    raise EmptyInputError(f"no {pattern} files in {path}")
+
+
 def scan_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """(source_file, line_num, pos, value) of every line, blank ones included.
 
     ``line_num`` counts from 1 within a file; ``pos`` counts from 1 over all files in
-    name order. Lines are not shuffled: the first pass counts lines per split without
-    reading them out, the second adds the split's offset to the line's place in it.
-    Both passes plan the same splits, as they scan the same relation.
+    name order. A folder as the cleanup job writes it (``source_file=<name>/part-*``) is
+    read as the files it was made from: parts of a folder follow each other by name.
+
+    Lines are not shuffled: the first pass counts lines per split without reading them
+    out, the second adds the split's offset to the line's place in it. Both passes plan
+    the same splits, as they scan the same relation.
     """
-    try:
-        raw = spark.read.option("pathGlobFilter", pattern).text(path)
-        files = raw.inputFiles()
-    except AnalysisException as e:
-        raise EmptyInputError(f"cannot read {path}") from e
-    if not files:
-        raise EmptyInputError(f"no {pattern} files in {path}")
+    raw = _open(spark, path, pattern)
+    parts = "source_file" in raw.columns
     lines = raw.select(
         "value",
         F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_name").alias("source_file"),
+        F.col("source_file" if parts else "_metadata.file_name").cast("string").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_at"),
     )
@@ -45,7 +56,8 @@ def scan_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Data
     )
     # The windows below see one row per split, not per line.
     earlier = (Window.unboundedPreceding, -1)
-    in_file = Window.partitionBy("_path").orderBy("_start").rowsBetween(*earlier)
+    one_file = ["source_file"] if parts else ["_path"]
+    in_file = Window.partitionBy(*one_file).orderBy("_path", "_start").rowsBetween(*earlier)
     overall = Window.orderBy("source_file", "_path", "_start").rowsBetween(*earlier)
     offsets = splits.select(
         "_path",
@@ -54,8 +66,6 @@ def scan_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Data
         F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_in_file"),
         F.coalesce(F.sum("_n").over(overall), F.lit(0)).alias("_overall"),
     )
-    if lines.rdd.getNumPartitions() + len(files) <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     place = F.col("_at") - F.col("_first") + 1
     return lines.join(offsets, ["_path", "_start"]).select(
         "source_file",

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting: hash text-heavy tables over this many partitions as they are read.
+#: For local runs on tables of a single row group; unset, the scan's own splits are kept.
+SPREAD = "tidemark.spread"
 
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """Parquet table. ``spread_by`` is for text-heavy work on input with few splits.
 
-    A scan that already has at least two splits per core is left alone, so large
-    input never pays for this shuffle; a handful of small files is hashed over the
-    cores so that one task does not tokenise everything.
-    """
+def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+    """Parquet table; ``spread_by`` is the column to hash by if the session asks for it."""
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is not None and df.rdd.getNumPartitions() < 2 * cores:
-        df = df.repartition(cores, spread_by)
+    partitions = spark.conf.get(SPREAD, None)
+    if spread_by is not None and partitions:
+        df = df.repartition(int(partitions), spread_by)
     return df
