@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import dups, gates, nearpairs, ordering, uniquify
+from tidemark.plans.dedupe import REPORT_IDS, first_with_ids
 from tidemark.session import cut_lineage
 from tidemark.sources.tables import read_table
 from tidemark.spec import RecordSpec
@@ -75,6 +76,30 @@ def first_sentence_groups(spark, folder):
     )
 
 
+@query(
+    f"""WITH fp AS ({_FP})
+    SELECT left(h, 16) AS hash, count(*) AS n, array_to_string(list_slice(list(doc_id ORDER BY doc_id), 1, 1000), ',') AS ids
+    FROM fp GROUP BY h HAVING count(*) > 1"""
+)
+def fingerprint_report(spark, folder):
+    rows = _kept_keys(spark, folder, text.fingerprint(F.col("text")))
+    return dups.group_heads(rows, REPORT_IDS).select(
+        F.left("key", F.lit(16)).alias("hash"), "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids")
+    )
+
+
+@query(
+    """SELECT left(p_name, 80) AS title, array_to_string(list_slice(list(p_partkey ORDER BY p_partkey), 1, 1000), ',') AS ids,
+      count(*) AS occurrences FROM part GROUP BY p_name HAVING count(*) > 1 ORDER BY min(p_partkey) LIMIT 50"""
+)
+def title_report(spark, folder):
+    rows = dups.keyed(part(spark, folder), F.col("p_name"), "p_partkey", "p_partkey")
+    return first_with_ids(rows, 50).select(
+        F.left("key", F.lit(80)).alias("title"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"),
+        F.col("n").alias("occurrences"),
+    )
+
+
 @query("SELECT p_name AS title, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1 HAVING count(*) > 1")
 def title_groups(spark, folder):
     rows = dups.keyed(part(spark, folder), F.col("p_name"), "p_partkey", "p_partkey")

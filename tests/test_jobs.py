@@ -53,6 +53,11 @@ def test_dedupe_job(spark, folder, tmp_path):
     # Digits and stopwords do not count, so all prompts share one fingerprint.
     assert (s.fingerprint, s.title, s.slug, s.first_sentence, s.openings) == (1, 1, 1, 1, 0)
     assert s.key_status == "NEEDS_REVIEW"
+    assert s.total_analysed == 40
+    slugs = spark.read.json(f"{out}/slugs").collect()
+    assert [(r.slug, r.ids, r.occurrences) for r in slugs] == [("nav-bar-4x", ["PRM-000004", "PRM-000005"], 2)]
+    prints = spark.read.json(f"{out}/fingerprints").collect()
+    assert [(r["count"], len(r.ids), len(r.hash)) for r in prints] == [(40, 40, 16)]
     members = spark.read.parquet(f"{out}/members/slug")
     assert sorted(r.id for r in members.collect()) == ["PRM-000004", "PRM-000005"]
     # 13 and 27 rows: all pairs within a category are closer than the window.
@@ -89,6 +94,10 @@ def test_jobs_follow_each_other(spark, folder, tmp_path):
     assert (s.title, s.slug) == (0, 0)
     publish.run(spark, f"{clean}/data", str(tmp_path / "site"))
     assert spark.read.parquet(str(tmp_path / "site/index")).count() == 40
+    profiles = {r.category: r for r in spark.read.json(str(tmp_path / "site/profile")).collect()}
+    assert profiles["ecommerce"].n == 27 and profiles["ecommerce"].difficulty_distribution.expert in (13, 14)
+    made = spark.read.json(str(tmp_path / "site/manifest")).first()
+    assert made.total_prompts == 40 and {(c["category"], c["count"]) for c in made.categories} == {("ecommerce", 27), ("ui_components", 13)}
 
 
 def test_publish_search_and_lookup(spark, folder, tmp_path):

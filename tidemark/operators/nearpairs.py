@@ -11,8 +11,8 @@ How it scales:
   meets its own and the next block only, and every cell has the same small size.
 * What is shuffled first is narrow: set size and a bit signature per record. Both
   give a proven upper bound of the overlap, so no true pair is lost.
-* Word sets travel only for rows that still have a candidate, once as left and
-  twice as right side, however many partners a row has.
+* Texts are joined once, with the narrow list of rows that still have a candidate; only
+  their word sets travel, once as left and twice as right side, whatever the partners.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import text
+from ..functions.variants import once
 from ..session import cut_lineage
 from ..spec import RecordSpec
 from .dups import groups, keyed
@@ -171,30 +172,31 @@ def near_pairs(
     buckets: Buckets | None = None,
 ) -> DataFrame:
     """(category, pos1, pos2, id1, id2, shared, total, similarity) of near-duplicate pairs."""
-    # Used on both sides of the check below; computed once and kept in the shared folder.
-    candidates = cut_lineage(candidate_pairs(df, spec, window, threshold, buckets))
+    # Read several times below; computed once and kept in the shared folder.
+    candidates = cut_lineage(candidate_pairs(df, spec, window, threshold, buckets), "candidates")
+    side = lambda n: candidates.select("category", *[F.col(f"{c}{n}").alias(c) for c in ("rn", "pos", "id")])
+    wanted = side(1).unionByName(side(2)).distinct()
+    # The only join with the texts: the narrow list meets them once, and what leaves the
+    # join is word sets of rows with a candidate.
     texts = df.select(F.col(spec.pos).alias("pos"), F.coalesce(F.col(spec.text), F.lit("")).alias("_text"))
-    tokens = text.token_set(F.col("_text")).alias("tokens")
-    block = lambda rn: F.floor(F.col(rn) / F.lit(window)).cast("long").alias("blk")
-
-    # At most ``window`` partners per row, so the list stays small.
-    left = (
-        candidates.groupBy("category", "rn1", "pos1", "id1")
-        .agg(F.collect_list("rn2").alias("partners"))
-        .join(texts, F.col("pos1") == F.col("pos"))
-        .select("category", block("rn1"), "rn1", "pos1", "id1", "partners", tokens)
+    block = F.floor(F.col("rn") / F.lit(window)).cast("long").alias("blk")
+    sets = cut_lineage(
+        wanted.join(texts, "pos").select("category", block, "rn", "pos", "id", text.token_set(F.col("_text")).alias("tokens")),
+        "word-sets",
     )
-    right = (
-        candidates.select("category", "rn2", "pos2", "id2")
-        .distinct()
-        .join(texts, F.col("pos2") == F.col("pos"))
-        .select("category", block("rn2"), "rn2", "pos2", "id2", tokens)
+    # At most ``window`` partners per row, so the list stays small.
+    partners = candidates.groupBy(F.col("pos1").alias("pos")).agg(F.collect_list("rn2").alias("partners"))
+    met = _meet_next_block(sets.join(partners, "pos"), sets, F.array_contains("l.partners", F.col("r.rn"))).select(
+        "l.category",
+        *[F.col(f"{s}.{c}").alias(f"{c}{n}") for c in ("pos", "id") for n, s in ((1, "l"), (2, "r"))],
+        F.col("l.tokens").alias("_a"), F.col("r.tokens").alias("_b"),
     )
+    # Sets are intersected once per pair, after the join.
+    shared, total = jaccard_counts(F.col("_a"), F.col("_b"))
+    counted = once(met, "_counts", F.struct(shared.alias("shared"), total.alias("total")))
     p, q = threshold
-    shared, total = jaccard_counts(F.col("l.tokens"), F.col("r.tokens"))
     return (
-        _meet_next_block(left, right, F.array_contains("l.partners", F.col("r.rn2")))
-        .select("l.category", "pos1", "pos2", "id1", "id2", shared.alias("shared"), total.alias("total"))
+        counted.select("category", "pos1", "pos2", "id1", "id2", "_counts.shared", "_counts.total")
         .filter(F.col("shared") * q > F.col("total") * p)
         .withColumn("similarity", rounded_ratio(F.col("shared"), F.col("total")))
     )

@@ -15,6 +15,15 @@ from ..sources import jsonl, sinks
 from ..spec import RECORDS, RecordSpec
 
 
+#: Ids a report entry lists; the members tables hold all of them.
+REPORT_IDS = 1000
+
+
+def first_with_ids(rows: DataFrame, n: int, ids: int = REPORT_IDS) -> DataFrame:
+    """The ``n`` duplicate groups seen first, in that order, with their first ids."""
+    return dups.group_heads(rows, ids).orderBy("first_pos").limit(n)
+
+
 @dataclass(frozen=True)
 class Duplicates:
     """``keyed`` has narrow rows per key kind; the other parts are findings."""
@@ -26,7 +35,9 @@ class Duplicates:
 
     @property
     def status(self) -> DataFrame:
-        return gates.duplicate_status({**self.groups, "openings": self.openings, "pairs": self.pairs})
+        found = gates.duplicate_status({**self.groups, "openings": self.openings, "pairs": self.pairs})
+        total = self.keyed["slug"].agg(F.count(F.lit(1))).scalar()
+        return found.withColumn("total_analysed", total)
 
     def members(self) -> dict[str, DataFrame]:
         """Every member of every group: (key, pos, id, n, first_pos)."""
@@ -39,17 +50,20 @@ class Duplicates:
             "openings": self.openings.orderBy(F.col("uses").desc(), "opening").limit(n),
         }
 
+    def fingerprints(self) -> DataFrame:
+        """Every group of equal fingerprints: hash, count, first ids; not capped, so not one file."""
+        heads = dups.group_heads(self.keyed["fingerprint"], REPORT_IDS)
+        return heads.select(F.left("key", F.lit(16)).alias("hash"), F.col("n").alias("count"), "ids")
+
     def details(self) -> dict[str, DataFrame]:
         """Capped report lists, in order of first appearance; openings by use."""
         n = vocab.REPORT_DETAILS_MAX
 
-        def first(kind: str) -> DataFrame:
-            return self.groups[kind].orderBy("first_pos").limit(n)
-
         sentences = dups.group_heads(self.keyed["first_sentence"], vocab.REPORT_SENTENCE_IDS_MAX)
+        listed = lambda kind: first_with_ids(self.keyed[kind], n)
         return {
-            "titles": first("title").select(F.left("key", F.lit(80)).alias("title"), F.col("n").alias("occurrences")),
-            "slugs": first("slug").select(F.col("key").alias("slug"), F.col("n").alias("occurrences")),
+            "titles": listed("title").select(F.left("key", F.lit(80)).alias("title"), "ids", F.col("n").alias("occurrences")),
+            "slugs": listed("slug").select(F.col("key").alias("slug"), "ids", F.col("n").alias("occurrences")),
             "sentences": sentences.orderBy("first_pos").limit(n).select(
                 F.left("key", F.lit(100)).alias("sentence"), "ids", F.col("n").alias("occurrences")
             ),
@@ -73,7 +87,7 @@ def record_frame(decoded: jsonl.Decoded) -> DataFrame:
 
 
 def analyse(df: DataFrame, spec: RecordSpec = RECORDS, buckets: Buckets | None = None) -> Duplicates:
-    """Plan the analysis. Keys are made from the texts once and kept as narrow rows."""
+    """Findings over ``df``. Starts jobs: keys and candidate pairs are computed and kept. Keys are made from the texts once and kept as narrow rows."""
     keys = dups.key_columns(spec)
     opening = text.first_words(F.coalesce(F.col(spec.text), F.lit("")))
     narrow = cut_lineage(
@@ -96,7 +110,7 @@ def run(spark: SparkSession, source: str, target: str) -> str:
     frame = record_frame(jsonl.read_records(spark, source)).persist()
     try:
         found = analyse(frame, buckets=dense_buckets())
-        sinks.write_duplicate_report(found.status, found.details(), found.members(), target)
+        sinks.write_duplicate_report(found.status, found.details(), found.fingerprints(), found.members(), target)
         for kind, groups in found.groups.items():
             groups.write.parquet(f"{target}/groups/{kind}")
         found.pairs.write.parquet(f"{target}/pairs")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab
 from ..functions import variants as V
-from ..operators import index as idx
-from ..sources import jsonl, sinks
+from ..operators import index as idx, profile
+from ..sources import jsonl, manifest, sinks
 
 STRINGS = (
     "id", "version", "category", "subcategory", "title", "slug", "language", "difficulty",
@@ -32,12 +32,29 @@ def typed_records(decoded: jsonl.Decoded) -> DataFrame:
     )
 
 
-def run(spark: SparkSession, source: str, target: str, version: str = "1.0.0", generated_at: str = "") -> None:
+def run(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    version: str = "1.0.0",
+    generated_at: str = "",
+    name: str = "records",
+    gates: dict[str, bool] | None = None,
+) -> None:
+    """Write all published tables below ``target``. ``gates`` are the quality gates the
+    manifest states; gates not given are stated as not met."""
     records = typed_records(jsonl.read_records(spark, source)).persist()
     try:
         sinks.write_flat_index(records, f"{target}/flat", version, generated_at)
         sinks.write_compact_index(idx.compact_items(records), f"{target}/index")
         sinks.write_by_category(records, f"{target}/records")
         sinks.write_dimension_and_stats(records, idx.category_dimension(spark), target)
+        profile.record_profile(records).write.json(f"{target}/profile")
+        files = records.filter("category is not null").groupBy("category").agg(
+            F.min("source_file").alias("file"), F.count(F.lit(1)).alias("count")
+        )
+        met = {g: bool((gates or {}).get(g)) for g in manifest.GATES}
+        built = manifest.build_manifest(files, name, version, "search", "record", met)
+        built.coalesce(1).write.json(f"{target}/manifest")
     finally:
         records.unpersist()
