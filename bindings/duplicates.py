@@ -69,9 +69,11 @@ def fingerprint_members(spark, folder):
     SELECT left(k, 100) AS sentence, n, array_to_string(list_slice(ids, 1, 10), ',') AS first_ids FROM g"""
 )
 def first_sentence_groups(spark, folder):
-    rows = _kept_keys(spark, folder, text.first_sentence(F.col("text")))
-    return dups.group_heads(rows, 10).select(
-        F.left("key", F.lit(100)).alias("sentence"), "n",
+    sentence = text.first_sentence(F.col("text"))
+    docs = documents(spark, folder).withColumn("sentence", F.left(sentence, F.lit(100)))
+    rows = cut_lineage(dups.keyed(docs, F.sha2(sentence, 256), "doc_id", "doc_id", "sentence"))
+    return dups.group_heads(rows, 10, carry="sentence").select(
+        "sentence", "n",
         F.array_join(F.col("ids").cast("array<string>"), ",").alias("first_ids"),
     )
 
@@ -177,7 +179,7 @@ def _sections(spark, folder):
     docs = documents(spark, folder)
     return {
         "fingerprint": dups.groups(dups.keyed(docs, text.fingerprint(F.col("text")), "doc_id", "doc_id")),
-        "first_sentence": dups.groups(dups.keyed(docs, text.first_sentence(F.col("text")), "doc_id", "doc_id")),
+        "first_sentence": dups.groups(dups.keyed(docs, F.sha2(text.first_sentence(F.col("text")), 256), "doc_id", "doc_id")),
         "title": dups.groups(dups.keyed(part(spark, folder), F.col("p_name"), "p_partkey", "p_partkey")),
         "openings": dups.overused_openings(docs, "text"),
     }

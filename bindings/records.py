@@ -14,7 +14,8 @@ from tidemark.functions import text, variants as V
 from tidemark.operators import dups, gates, profile, repair, rules
 from tidemark.plans.publish import typed_records
 from tidemark.plans.validate import validate
-from tidemark.sources import jsonl
+from tidemark.session import scratch_dir
+from tidemark.sources import jsonl, sinks
 from tidemark.sources.tables import read_table
 
 from . import query, sqltext as q
@@ -248,6 +249,23 @@ def file_counters(spark, folder):
     return jsonl.file_counters(d, rules.flag_valid(d.records).filter("NOT valid"))
 
 
+@query(
+    """SELECT source || '.jsonl' AS source_file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line_num,
+      row_number() OVER (ORDER BY source || '.jsonl', doc_id) AS pos, md5(text) AS text FROM documents"""
+)
+def jsonl_round_trip(spark, folder):
+    """Documents written as JSON lines in the layout of cleaned records, scanned and parsed."""
+    docs = documents(spark, folder)
+    lines = docs.select(
+        F.concat("source", F.lit(".jsonl")).alias("source_file"), F.col("doc_id").alias("pos"),
+        F.to_json(F.struct("doc_id", "text")).alias("value"),
+    )
+    path = scratch_dir(spark, "lines")
+    sinks.write_lines(lines, path)
+    records = jsonl.read_records(spark, path).records
+    return records.select("source_file", "line_num", "pos", F.md5(V.text_at("rec", "text")).alias("text"))
+
+
 @query(
     f"""WITH w AS (SELECT doc_id, {q.word_count('text')} AS n FROM documents)
     SELECT doc_id, 'too_short' AS rule, n AS words FROM w WHERE n < 80
@@ -290,13 +308,22 @@ def dataset_gate(spark, folder):
     SELECT r.*, (SELECT count(*) FROM lines WHERE reason <> 'blank') AS invalid_lines,
       (SELECT count(*) FROM ({_BROKEN})) + (SELECT count(*) FROM lines WHERE reason <> 'blank')
         + duplicate_ids + duplicate_slugs + duplicate_titles AS total_errors,
+      (SELECT count(*) FROM (SELECT 1 FROM ok JOIN documents d USING (doc_id) GROUP BY {q.opening('d.text')} HAVING count(*) > 5)) AS first5_duplicates,
+      (SELECT string_agg(k || '=' || n, ',' ORDER BY n DESC, k) FROM (SELECT category AS k, count(*) AS n FROM ok GROUP BY 1)) AS categories,
+      (SELECT string_agg(k || '=' || n, ',' ORDER BY n DESC, k) FROM (SELECT difficulty AS k, count(*) AS n FROM ok GROUP BY 1)) AS difficulties,
+      (SELECT string_agg(k || '=' || n, ',' ORDER BY n DESC, k) FROM (SELECT language AS k, count(*) AS n FROM ok GROUP BY 1)) AS languages,
       'FAIL' AS overall_result FROM r"""
 )
 def validation_summary(spark, folder):
     lines = decoded(spark, folder)
+    listed = lambda c: F.array_join(
+        F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","
+    )
     return validate(lines).summary.select(
         "total_prompts", "total_categories", "duplicate_ids", "duplicate_slugs", "duplicate_titles",
-        "invalid_lines", "total_errors", "overall_result",
+        "invalid_lines", "total_errors", "first5_duplicates", listed("category_counts").alias("categories"),
+        listed("difficulty_distribution").alias("difficulties"), listed("language_distribution").alias("languages"),
+        "overall_result",
     )
 
 

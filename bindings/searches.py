@@ -167,13 +167,12 @@ def haystacks(spark, folder):
 
 
 @query(
-    f"""SELECT doc_id, {q.slug("array_to_string(list_slice(" + q.words('text') + ", 1, 8), ' ')")} AS slug,
+    f"""SELECT doc_id, md5({q.slug('text')}) AS slug,
       {q.opening('text')} AS opening, md5({q.token_bag('text')}) AS bag FROM documents"""
 )
 def text_keys(spark, folder):
     docs = read_table(spark, f"{folder}/documents.parquet", spread_by="doc_id")
-    head = F.array_join(F.slice(text.words(F.col("text")), 1, 8), " ")
     return docs.select(
-        "doc_id", text.slugify(head).alias("slug"), text.first_words(F.col("text")).alias("opening"),
+        "doc_id", F.md5(text.slugify(F.col("text"))).alias("slug"), text.first_words(F.col("text")).alias("opening"),
         F.md5(text.token_bag(F.col("text"))).alias("bag"),
     )

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_dir
+from tidemark.session import scratch_dir
 from tidemark.streaming import ingest
 
 from . import query, sqltext as q
@@ -23,14 +21,29 @@ def _document_stream(spark, folder):
 
 
 def _fresh(spark) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return scratch_dir(spark, "stream")
 
 
 @query(f"WITH k AS (SELECT DISTINCT sha256({q.token_bag('text')}) AS fingerprint FROM documents) SELECT fingerprint FROM k")
 def stream_unique_fingerprints(spark, folder):
     out = _fresh(spark)
     docs = _document_stream(spark, folder)
-    unique = ingest.first_by_fingerprint(docs, F.col("text"), spread_by=F.col("doc_id")).select("fingerprint")
+    unique = ingest.first_by_fingerprint(docs, F.col("text"), None, spread_by=F.col("doc_id")).select("fingerprint")
+    ingest.table_sink(unique, f"{out}/rows", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT sha256({q.token_bag("event_type || ' of ' || chr(CAST(97 + user_id % 26 AS INT)) || 'user'")}) AS fingerprint
+      FROM events) SELECT fingerprint FROM k"""
+)
+def stream_unique_events(spark, folder):
+    """With a watermark: state of an event is dropped a year after it was last seen."""
+    out = _fresh(spark)
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    content = F.concat("event_type", F.lit(" of "), F.char((F.col("user_id") % 26 + 97).cast("int")), F.lit("user"))
+    unique = ingest.first_by_fingerprint(events, content, "ts", "365 days", spread_by=F.col("event_id")).select("fingerprint")
     ingest.table_sink(unique, f"{out}/rows", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 

@@ -32,7 +32,8 @@ def key_columns(spec: RecordSpec) -> dict[str, Column]:
         "fingerprint": text.fingerprint(F.coalesce(F.col(spec.text), F.lit(""))),
         "title": F.col(spec.title),
         "slug": F.col(spec.slug),
-        "first_sentence": text.first_sentence(F.coalesce(F.col(spec.text), F.lit(""))),
+        # A sentence may be as long as its text, so its digest is the key.
+        "first_sentence": F.sha2(text.first_sentence(F.coalesce(F.col(spec.text), F.lit(""))), 256),
     }
 
 
@@ -53,23 +54,25 @@ def members(rows: DataFrame, minimum: int = 2, hot_rows: int = HOT_ROWS) -> Data
     return join_per_key(rows, groups(rows, minimum), "key", "pos", hot_rows=hot_rows)
 
 
-def group_heads(rows: DataFrame, k: int, minimum: int = 2) -> DataFrame:
-    """Duplicate groups with their first ``k`` ids in input order.
+def group_heads(rows: DataFrame, k: int, minimum: int = 2, carry: str | None = None) -> DataFrame:
+    """Duplicate groups with their first ``k`` ids in input order, and ``carry`` of the first row.
 
-    ``row_number() <= k`` is limited per task before the shuffle, so a hot group
-    sends at most ``k`` rows from each task.
+    Only rows of duplicate groups are ordered. ``row_number() <= k`` is limited per task
+    before the shuffle, so a hot group sends at most ``k`` rows from each task.
     """
     order = Window.partitionBy("key").orderBy("pos")
+    more = [carry] if carry else []
     heads = (
-        rows.select("key", "pos", "id")
+        members(rows, minimum).select("key", "pos", "id", "n", "first_pos", *more)
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("head"))
-    )
-    return groups(rows, minimum).join(heads, "key").select(
-        "key", "n", "first_pos", F.col("head.id").alias("ids")
+        .groupBy("key", "n", "first_pos")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("head"),
+            *[F.min_by(c, "pos").alias(c) for c in more],
+        )
     )
+    return heads.select("key", "n", "first_pos", F.col("head.id").alias("ids"), *more)
 
 
 def largest(found: DataFrame, n: int = 10) -> DataFrame:

@@ -59,13 +59,13 @@ class Duplicates:
         """Capped report lists, in order of first appearance; openings by use."""
         n = vocab.REPORT_DETAILS_MAX
 
-        sentences = dups.group_heads(self.keyed["first_sentence"], vocab.REPORT_SENTENCE_IDS_MAX)
+        sentences = dups.group_heads(self.keyed["first_sentence"], vocab.REPORT_SENTENCE_IDS_MAX, carry="sentence")
         listed = lambda kind: first_with_ids(self.keyed[kind], n)
         return {
             "titles": listed("title").select(F.left("key", F.lit(80)).alias("title"), "ids", F.col("n").alias("occurrences")),
             "slugs": listed("slug").select(F.col("key").alias("slug"), "ids", F.col("n").alias("occurrences")),
             "sentences": sentences.orderBy("first_pos").limit(n).select(
-                F.left("key", F.lit(100)).alias("sentence"), "ids", F.col("n").alias("occurrences")
+                "sentence", "ids", F.col("n").alias("occurrences")
             ),
             "openings": self.openings.orderBy(F.col("uses").desc(), "opening").limit(n),
             "pairs_listed": self.pairs.orderBy("category", "pos1", "pos2").limit(vocab.REPORT_PAIRS_MAX).select(
@@ -94,9 +94,11 @@ def analyse(df: DataFrame, spec: RecordSpec = RECORDS, buckets: Buckets | None =
         df.select(
             F.col(spec.pos).alias("pos"), F.col(spec.id).alias("id"),
             *[c.alias(f"key_{kind}") for kind, c in keys.items()], opening.alias("opening"),
+            F.left(text.first_sentence(F.coalesce(F.col(spec.text), F.lit(""))), F.lit(100)).alias("sentence"),
         )
     )
-    keyed = {kind: dups.keyed(narrow, F.col(f"key_{kind}"), "pos", "id") for kind in keys}
+    shown = {"first_sentence": ["sentence"]}
+    keyed = {kind: dups.keyed(narrow, F.col(f"key_{kind}"), "pos", "id", *shown.get(kind, [])) for kind in keys}
     return Duplicates(
         keyed=keyed,
         groups={kind: dups.groups(rows) for kind, rows in keyed.items()},

@@ -29,7 +29,11 @@ def write_clean(repaired: DataFrame, path: str) -> None:
 
     Ranges split a large file over many tasks; part files are in order by name.
     """
-    lines = repaired.select("source_file", "pos", record_json().alias("value"))
+    write_lines(repaired.select("source_file", "pos", record_json().alias("value")), path)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines (source_file, pos, value) in the layout that ``jsonl.scan_lines`` reads back."""
     (
         lines.repartitionByRange("source_file", "pos")
         .sortWithinPartitions("source_file", "pos")

@@ -63,15 +63,15 @@ def validated_sink(lines: DataFrame, target: str, checkpoint: str) -> DataStream
 def first_by_fingerprint(
     stream: DataFrame,
     content: Column,
-    event_time: str | None = None,
-    keep_for: str | None = None,
+    event_time: str | None,
+    keep_for: str = "7 days",
     spread_by: Column | None = None,
     salts: int = 64,
 ) -> DataFrame:
     """Drop rows whose token fingerprint was seen before, adding it as ``fingerprint``.
 
-    With an event time, state is kept only for ``keep_for``; without, for ever (use the
-    RocksDB state store then).
+    State is kept for ``keep_for`` of ``event_time``. A stream without an event time has
+    to say so by passing None; its state is kept for ever (use the RocksDB state store).
 
     Deduplication of a stream has no map-side step. When one text may make up a large
     share of the rows, give ``spread_by``, a column that differs between copies: copies
