@@ -33,8 +33,8 @@ def _pick(values: list[str], i: Column) -> Column:
     return F.get(F.lit(values), (i % len(values)).cast("int"))
 
 
-def record_lines(docs: DataFrame) -> DataFrame:
-    """One JSON line per document, in the shape of a scanned file."""
+def record_lines(docs: DataFrame, damaged: bool = False) -> DataFrame:
+    """One JSON line per document, in the shape of a scanned file; some unreadable if ``damaged``."""
     i = F.col("doc_id")
     w = F.col("w")
     first = lambda n: F.slice(w, F.lit(1), n)
@@ -89,13 +89,14 @@ def record_lines(docs: DataFrame) -> DataFrame:
         F.when(i % 19 == 0, F.lit("")).otherwise("b7").alias("batch"),
     )
     line = F.to_json(record)
-    value = (
+    hurt = (
         F.when(i % 41 == 40, F.left(line, F.length(line) - 5))
         .when(i % 43 == 42, F.lit("```json"))
         .when(i % 47 == 46, F.lit("[1, 2]"))
         .when(i % 53 == 52, F.lit(" \t "))
         .otherwise(line)
     )
+    value = hurt if damaged else line
     titled = (
         V.once(docs, "w", text.words(F.col("text")))
         .withColumn("title", F.when(i % 29 == 0, F.lit("")).otherwise(F.array_join(first(F.lit(6)), " ")))
@@ -109,8 +110,8 @@ def record_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def decoded(spark, folder) -> jsonl.Decoded:
-    return jsonl.decode(record_lines(documents(spark, folder)))
+def decoded(spark, folder, damaged: bool = False) -> jsonl.Decoded:
+    return jsonl.decode(record_lines(documents(spark, folder), damaged))
 
 
 _FIRST = lambda n: f"list_slice(w, 1, {n})"
@@ -118,8 +119,8 @@ LINES = f"""lines AS (SELECT *, {q.words('text')} AS w,
       CASE WHEN doc_id % 41 = 40 THEN 'json' WHEN doc_id % 43 = 42 THEN 'fence'
         WHEN doc_id % 47 = 46 THEN 'not_object' WHEN doc_id % 53 = 52 THEN 'blank' END AS reason
     FROM documents)"""
-REC = f"""{LINES},
-    rec AS (SELECT doc_id, source, lang, text AS prompt, w,
+SOUND = f"lines AS (SELECT *, {q.words('text')} AS w, CAST(NULL AS VARCHAR) AS reason FROM documents)"
+_RECORDS = f"""rec AS (SELECT doc_id, source, lang, text AS prompt, w,
       CASE WHEN doc_id % 50 = 0 THEN 'X' || doc_id ELSE 'PRM-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') END AS id,
       CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 9 = 1 THEN 'v2' ELSE '1.0.0' END AS version,
       {q.pick(CATEGORIES)} AS category,
@@ -137,11 +138,13 @@ REC = f"""{LINES},
       CASE WHEN doc_id % 19 = 0 THEN '' ELSE 'b7' END AS batch,
       len(w) AS n_words
     FROM lines WHERE reason IS NULL)"""
+REC = f"{SOUND}, {_RECORDS}"
+DAMAGED = f"{LINES}, {_RECORDS}"
 
 
 @query(f"WITH {LINES} SELECT doc_id AS pos, reason, source || '.jsonl' AS source_file FROM lines WHERE reason IN ('json', 'fence', 'not_object')")
 def json_quarantine(spark, folder):
-    return decoded(spark, folder).quarantine.select("pos", "reason", "source_file")
+    return decoded(spark, folder, damaged=True).quarantine.select("pos", "reason", "source_file")
 
 
 @query(
@@ -238,14 +241,14 @@ def valid_records(spark, folder):
 
 
 @query(
-    f"""WITH {REC}, {_VALID}, {_OK},
+    f"""WITH {DAMAGED}, {_VALID}, {_OK},
     v AS (SELECT source, count(*) AS n FROM ok GROUP BY 1),
     l AS (SELECT source, count(*) AS n FROM lines WHERE reason IS NULL OR reason <> 'blank' GROUP BY 1)
     SELECT l.source || '.jsonl' AS source_file, l.n AS lines, coalesce(v.n, 0) AS valid, l.n - coalesce(v.n, 0) AS invalid
     FROM l LEFT JOIN v USING (source)"""
 )
 def file_counters(spark, folder):
-    d = decoded(spark, folder)
+    d = decoded(spark, folder, damaged=True)
     return jsonl.file_counters(d, rules.flag_valid(d.records).filter("NOT valid"))
 
 
@@ -301,7 +304,7 @@ def dataset_gate(spark, folder):
 
 
 @query(
-    f"""WITH {REC}, {_VALID}, {_OK},
+    f"""WITH {DAMAGED}, {_VALID}, {_OK},
     r AS (SELECT count(*) AS total_prompts, count(DISTINCT category) AS total_categories,
       count(*) - count(DISTINCT id) AS duplicate_ids, count(*) - count(DISTINCT slug) AS duplicate_slugs,
       count(*) - count(DISTINCT title) AS duplicate_titles FROM ok)
@@ -315,7 +318,7 @@ def dataset_gate(spark, folder):
       'FAIL' AS overall_result FROM r"""
 )
 def validation_summary(spark, folder):
-    lines = decoded(spark, folder)
+    lines = decoded(spark, folder, damaged=True)
     listed = lambda c: F.array_join(
         F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","
     )
@@ -476,7 +479,7 @@ _IN = lambda values: ", ".join(q.lit(v) for v in values)
 
 
 @query(
-    f"""WITH {REC}, {_NAMES},
+    f"""WITH {DAMAGED}, {_NAMES},
     k AS (SELECT source, count(*) AS fine FROM un
       WHERE category IN ({_IN(vocab.CATEGORIES)}) AND difficulty IN ({_IN(vocab.DIFFICULTIES)}) AND language IN ('en', 'de')
       AND audience IN ({_IN(vocab.AUDIENCES)}) AND use_case IN ({_IN(vocab.USE_CASES)})
@@ -491,7 +494,7 @@ _IN = lambda values: ", ".join(q.lit(v) for v in values)
     FROM l LEFT JOIN k USING (source)"""
 )
 def repair_counters(spark, folder):
-    d = decoded(spark, folder)
+    d = decoded(spark, folder, damaged=True)
     return repair.repair_counters(d.lines, repair.repair_records(d.records))
 
 

@@ -54,7 +54,7 @@ def stream_unique_events(spark, folder):
 )
 def stream_quarantine(spark, folder):
     out = _fresh(spark)
-    lines = record_lines(_document_stream(spark, folder))
+    lines = record_lines(_document_stream(spark, folder), damaged=True)
     ingest.validated_sink(lines, out, f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     bad = spark.read.parquet(f"{out}/quarantine")
     return bad.groupBy("source_file", "reason").agg(F.count(F.lit(1)).alias("n"))
