@@ -229,6 +229,37 @@ def schema_violations(spark, folder):
     return found.filter(F.col("kind") == rules.DECLARATIVE).select("pos", "rule", "field")
 
 
+#: Faults put into the JSON text: (condition, text, replacement, rule, field, only in complete records).
+_FAULTS = (
+    ("doc_id % 7 = 0", "'\"styling\":\"CSS\",'", "''", "missing_key", "tech_stack.styling", True),
+    ("doc_id % 8 = 3", "'\"originality_score\":7,'", "''", "missing_key", "quality.originality_score", True),
+    ("doc_id % 9 = 4", "concat('\"summary\":\"About ', source, '\",')", "''", "missing_key", "website_card.summary", True),
+    ("doc_id % 7 = 1", "'\"styling\":\"CSS\"'", "'\"styling\":5'", "type", "tech_stack.styling", False),
+    ("doc_id % 6 = 5 AND doc_id % 9 > 0", "'\"acceptance_criteria\":['", "'\"acceptance_criteria\":[\"short\",'", "item_min_length", "acceptance_criteria", False),
+    ("doc_id % 10 = 7", "concat('\"preview_label\":\"', lang, '\"')", "'\"preview_label\":\"x\"'", "min_length", "website_card.preview_label", False),
+)
+_COMPLETE = "doc_id % 13 <> 0 AND doc_id % 17 <> 0"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT doc_id AS pos, '{rule}' AS rule, '{field}' AS field FROM documents WHERE {when}" + (f" AND {_COMPLETE}" if complete else "")
+        for when, _, _, rule, field, complete in _FAULTS
+    )
+)
+def nested_violations(spark, folder):
+    """Missing keys of three objects, a wrong type, a short criterion and a short label."""
+    docs = documents(spark, folder)
+    value = F.col("value")
+    for when, old, new, *_ in _FAULTS:
+        value = F.when(F.expr(when), F.replace(value, F.expr(old), F.expr(new))).otherwise(value)
+    lines = record_lines(docs).join(docs.select(F.col("doc_id").alias("pos"), "doc_id", "lang", "source"), "pos")
+    hurt = lines.select("source_file", "line_num", "pos", value.alias("value"))
+    found = rules.check_records(jsonl.decode(hurt).records)
+    asked = F.array(*[F.lit(f"{rule} {field}") for *_, rule, field, _ in _FAULTS])
+    return found.filter(F.array_contains(asked, F.concat_ws(" ", "rule", "field"))).select("pos", "rule", "field")
+
+
 _OK = """ok AS (SELECT * FROM checked WHERE NOT (bad_id OR bad_category OR bad_difficulty OR bad_language OR bad_audience
       OR bad_use_case OR no_layout OR bad_score OR n_words NOT BETWEEN 80 AND 220 OR n_negative > 60
       OR n_criteria NOT BETWEEN 3 AND 6 OR n_tags NOT BETWEEN 5 AND 12))"""
