@@ -11,9 +11,10 @@ element costs little however large its weight is.
 
 Signatures are banded. In a bucket, members are compared with pivots, not with each other:
 a member linked to a pivot can be set aside when the triangle inequality of the Jaccard
-distance rules out links to every member that isn't linked to that pivot. Buckets with
-members left go another round with more pivots, until none is left, so no bucket is capped
-and, up to the chance of the bands, no link between components is lost. Every pair that
+distance rules out links to every member that isn't linked to that pivot. Buckets whose
+members are left in several components go another round, with more pivots from outside
+the bucket's main component, until none is left, so no bucket is capped and, up to the
+chance of the bands, no link between components is lost. Every pair that
 counts is verified on whole texts.
 """
 
@@ -249,14 +250,21 @@ def near_groups(
     found = None
     pivots = 1
     while not members.isEmpty():
-        if pivots == 1:
+        if found is None:
             chosen = members.groupBy("band", "key").agg(F.min("uid").alias("b"))
+            placed = members.withColumn("component", F.col("uid"))
         else:
+            placed = cut_lineage(_apart(members, components(found)), "placed")
             nth = F.row_number().over(Window.partitionBy("band", "key").orderBy("uid"))
-            chosen = members.withColumn("nth", nth).filter(F.col("nth") <= pivots).select("band", "key", F.col("uid").alias("b"))
-        met = members.join(chosen, ["band", "key"]).filter("uid > b").select("band", "key", F.col("uid").alias("a"), "b")
-        met = cut_lineage(met, "met")
-        bound = cut_lineage(estimates(met.select("a", "b").distinct(), sizes), "bounds")
+            outside = placed.filter("component <> main").select("band", "key", F.col("uid").alias("b"), nth.alias("nth"))
+            chosen = outside.filter(F.col("nth") <= pivots).drop("nth")
+        own = placed.select("band", "key", "uid", "component")
+        of_pivot = chosen.join(own.select("band", "key", F.col("uid").alias("b"), F.col("component").alias("other")), ["band", "key", "b"])
+        met = own.join(of_pivot, ["band", "key"]).filter("uid <> b and component <> other")
+        # Pairs of pivots meet twice; once is enough.
+        met = cut_lineage(met.select("band", "key", F.col("uid").alias("a"), "b"), "met")
+        pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        bound = cut_lineage(estimates(pairs, sizes), "bounds")
         exact = verified(bound.filter(F.col("most") >= least), texts, words)
         known = cut_lineage(
             bound.join(exact, ["a", "b"], "left").select(
@@ -266,7 +274,9 @@ def near_groups(
         )
         links = known.filter("linked").select("a", "b")
         found = links if found is None else found.unionAll(links)
-        members = cut_lineage(_left(members, met.join(known, ["a", "b"]), chosen, least), "members")
+        either = known.unionAll(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "most", "linked"))
+        rest = own.select("band", "key", "uid")
+        members = cut_lineage(_left(rest, met.join(either, ["a", "b"]), chosen, least), "members")
         pivots *= MORE_PIVOTS
 
     edges = found if found is not None else sketched.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0)
@@ -301,6 +311,23 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def _apart(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, with their component and the
+    bucket's main one: only links between components matter, and every such link has an
+    end outside the main component."""
+    placed = members.join(merged.select(F.col("node").alias("uid"), "component"), "uid", "left").select(
+        "band", "key", "uid", F.coalesce("component", "uid").alias("component")
+    )
+    per = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    main = (
+        per.groupBy("band", "key")
+        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("several"))
+        .filter("several > 1")
+        .drop("several")
+    )
+    return placed.join(main, ["band", "key"])
+
+
 def _left(members: DataFrame, met: DataFrame, chosen: DataFrame, least: float) -> DataFrame:
     """Members of buckets that pivots haven't settled: a member goes if it was a pivot, or
     if it is linked to a pivot that no unlinked member of the bucket is near enough to."""
