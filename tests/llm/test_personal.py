@@ -97,3 +97,35 @@ def test_nothing_to_learn_from(spark):
     assert all(r.found.spans == [] for r in personal.find(docs, field).collect())
     none = spark.createDataFrame([], "doc_id long, text string")
     assert personal.find(none, personal.fit(none)).collect() == []
+
+
+def neutral():
+    import numpy as np
+
+    return personal.Field(np.zeros((personal.N_FEATURES, personal.LABELS)), np.zeros((personal.LABELS, personal.LABELS)), personal.CONSISTENCY * np.eye(personal.LABELS))
+
+
+def added(text, field):
+    graph, base = personal.Graph(), personal.base_spans(text)
+    graph.add(0, text, base)
+    return [(text[a:b], personal.KINDS[k]) for a, k, b in personal.added_spans(graph, personal.beliefs(graph, field), personal.SURE).get(0, [])]
+
+
+def test_labels_reach_all_repeats():
+    filler = " plain words between them "
+    for other, match in (("4111.1111.1111.1111", "4111111111111111"), ("4930/1234567", "+49301234567"), ("49.301234567", "+49-301234567")):
+        if personal.base_spans(other):
+            continue
+        text = filler.join([other] * 50 + [match] + [other] * 50)
+        assert len(personal.base_spans(text)) == 1
+        kind = personal.KINDS[personal.base_spans(text)[0][1]]
+        assert added(text, neutral()) == [(other, kind)] * 100
+    assert added(filler.join(["4111.1111.1111.1111"] * 50), neutral()) == []
+
+
+def test_many_repeats_settle():
+    text = " and then ".join(["4111.1111.1111.1111", "4111111111111111", "x 12 y 13", "7.11"] * 5000)
+    start = time.time()
+    found = added(text, neutral())
+    assert [f for f in found if f[0] == "4111.1111.1111.1111"] == [("4111.1111.1111.1111", "card")] * 5000
+    assert time.time() - start < 60

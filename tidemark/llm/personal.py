@@ -4,7 +4,9 @@ Patterns find the base spans. The field labels tokens that hold a digit or ``@``
 neighbours are adjacent tokens (the chain) and tokens of the same document that repeat or
 resemble each other (skip edges). Tokens under a base span are observed; loopy message
 passing carries their labels to look-alikes that no pattern matches, such as the same
-number with other separators. Runs of tokens labelled alike become added spans.
+number with other separators. Every look-alike has an edge of its own to the nearest
+observed one, so the distance between them doesn't matter. Runs of tokens labelled alike
+become added spans.
 
 Weights are trained here, on a bounded sample of documents with such tokens, by
 pseudo-likelihood: every token given the labels of its neighbours, labels being those of
@@ -33,7 +35,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SAMPLE_DOCS = 2000
 BLOCK_BYTES = 4 << 20
 SURE = 0.9
-ROUNDS = 8
+#: Messages that change by less (in nats) have settled. After LONG rounds the steps shrink, so that
+#: messages that never settle end too.
+SETTLED, LONG = 1e-3, 500
 #: Prior mean of the skip potential between equal labels; data may move it.
 CONSISTENCY = 5.0
 DIGIT = re.compile(r"[0-9]")
@@ -130,6 +134,8 @@ class Graph:
         self.labels: list[int] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
+        #: Edges from observed to other tokens. They depend on labels, so training leaves them out.
+        self.match: list[tuple[int, int]] = []
         self.spans: list[tuple[int, int, int]] = []  # document, start, end
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
@@ -137,7 +143,7 @@ class Graph:
         import zlib
 
         bounds = tokens_of(text)
-        first_node = len(self.features)
+        first_node, first_skip = len(self.features), len(self.skip)
         digits = ["".join(c for c in text[a:b] if "0" <= c <= "9") for a, b in bounds]
         joined = [i > 0 and a - bounds[i - 1][1] <= 2 for i, (a, _) in enumerate(bounds)]
         # Runs of neighbouring digit tokens share what their digits amount to together.
@@ -153,7 +159,7 @@ class Graph:
                 j += 1
             cover = [k for s, k, e in base[j : j + 4] if s < b and e > a]
             under.append(1 + min(cover) if cover else 0)
-        last: dict[str, int] = {}
+        places: dict[str, list[int]] = {}
         for i, (a, b) in enumerate(bounds):
             token, n, whole = text[a:b], len(digits[i]), runs[run[i]]
             before = text[max(0, a - 40) : a].split()
@@ -187,9 +193,25 @@ class Graph:
             if n >= 6 and "@" not in token:
                 keys.add("#" + digits[i])
             for key in keys:
-                if key in last:
-                    self.skip.append((last[key], node))
-                last[key] = node
+                places.setdefault(key, []).append(node)
+        links = set()
+        for nodes in places.values():
+            self.skip += zip(nodes, nodes[1:])
+            links.update(self.nearest_observed(nodes))
+        self.match += sorted(links.difference(self.skip[first_skip:]))
+
+    def nearest_observed(self, nodes: list[int]):
+        """(observed, other) for each unobserved one of ``nodes`` (ascending), if any is observed.
+
+        Each pair is in the order of its nodes; of two equally far, the earlier is taken."""
+        seen = [n for n in nodes if self.labels[n]]
+        j = 0
+        for n in nodes if seen else ():
+            if self.labels[n]:
+                continue
+            while j + 1 < len(seen) and abs(seen[j + 1] - n) < abs(seen[j] - n):
+                j += 1
+            yield min(n, seen[j]), max(n, seen[j])
 
 
 N_FEATURES = 23 + WORD_BUCKETS + 11
@@ -246,11 +268,14 @@ def train(graph: Graph, rounds: int = 300, decay: float = 1e-3) -> Field:
     return Field(*w)
 
 
-def beliefs(graph: Graph, field: Field, rounds: int = ROUNDS):
-    """Label marginals by loopy sum-product; tokens under base spans are observed."""
+def beliefs(graph: Graph, field: Field):
+    """Label marginals by loopy sum-product; tokens under base spans are observed.
+
+    Messages are sent until none changes; those whose source no longer changes rest."""
     import numpy as np
 
     x, chain, skip = design(graph)
+    skip = np.concatenate([skip, np.array(graph.match, np.int64).reshape(-1, 2)])
     score = x @ field.nodes
     seen = np.array(graph.labels, np.int64)
     observed = np.flatnonzero(seen > 0)
@@ -266,16 +291,24 @@ def beliefs(graph: Graph, field: Field, rounds: int = ROUNDS):
          np.arange(len(skip)) + 2 * len(chain) + len(skip), np.arange(len(skip)) + 2 * len(chain)]
     ).astype(np.int64)
     message = np.zeros((len(source), LABELS))
-    for _ in range(rounds):
-        total = score.copy()
-        np.add.at(total, target, message)
-        sent = (total[source] - message[back])[:, :, None] + table[kind]
+    total = score.astype(np.float64)
+    # What observed tokens are sent changes nothing.
+    useful = seen[target] == 0
+    active, step, turn = np.flatnonzero(useful), 0.5, 0
+    while len(active):
+        sent = (total[source[active]] - message[back[active]])[:, :, None] + table[kind[active]]
         top = sent.max(1, keepdims=True)
         new = np.log(np.exp(sent - top).sum(1)) + top[:, 0, :]
         new -= new.max(1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
-    total = score.copy()
-    np.add.at(total, target, message)
+        change = step * (new - message[active])
+        message[active] += change
+        np.add.at(total, target[active], change)
+        moved = active[np.abs(change).max(1) > SETTLED]
+        again, ahead = np.zeros(len(source), bool), np.zeros(len(x), bool)
+        again[moved] = ahead[target[moved]] = True
+        active = np.flatnonzero(useful & (again | ahead[source]))
+        turn += 1
+        step *= 0.99 if turn > LONG else 1.0
     total -= total.max(1, keepdims=True)
     p = np.exp(total)
     return p / p.sum(1, keepdims=True)
