@@ -129,3 +129,44 @@ def test_many_repeats_settle():
     found = added(text, neutral())
     assert [f for f in found if f[0] == "4111.1111.1111.1111"] == [("4111.1111.1111.1111", "card")] * 5000
     assert time.time() - start < 60
+
+
+CARDS = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111.1111.1111.1111", "4111/1111/1111/1111", "4111  1111  1111  1111", "4111. 1111. 1111. 1111"]
+PHONES = ["+49 30 1234567", "+49301234567", "+49-30-1234567", "0049/30/1234567", "0049 30 1234567", "0049301234567", "49 30/1234567", "+49/30/1234567", "(0049) 30.1234567"]
+
+
+def test_numbers_in_groups_equal_other_spellings():
+    filler = " plain words between them "
+    tried = 0
+    for spellings, kind in ((CARDS, "card"), (PHONES, "phone")):
+        for match in spellings:
+            for other in spellings:
+                if not personal.base_spans(match) or personal.base_spans(other):
+                    continue
+                for text in (match + filler + other, other + filler + match, f"{match}{filler}7 {other} 12", f"{other} 5{filler}{match}"):
+                    base = personal.base_spans(text)
+                    if [k for _, k, _ in base] != [personal.KINDS.index(kind)]:
+                        continue
+                    got = added(text, neutral())
+                    tried += 1
+                    assert {k for _, k in got} == {kind}, (text, got)
+                    assert [c for t, _ in got for c in t if c.isdigit()] == [c for c in other if c.isdigit()], (text, got)
+    assert tried > 80
+    assert added(f"4111 1111 1111 1111{filler}1111 4111 1111 1112{filler}5.2", personal.Field(neutral().nodes, neutral().chain, 0 * neutral().skip)) == []
+
+
+def test_groups_are_labelled_by_the_trained_field(spark):
+    rows = [(i, t) for i, t, *_ in corpus() if i is not None and i < 1000]
+    filler = " ".join(["word"] * 50)
+    pairs = [("4111 1111 1111 1111", "4111.1111.1111.1111"), ("4111111111111111", "4111  1111  1111  1111"), ("+49 30 1234567", "0049/30/1234567"), ("+49-30-1234567", "0049 30 1234567")]
+    rows += [(1000 + i, f"beta {a} gamma {filler} {b} beta") for i, (a, b) in enumerate(pairs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hidden = {r.doc_id: r.text for r in personal.redact(docs, personal.fit(docs)).collect()}
+    for i in range(len(pairs)):
+        assert not any(c.isdigit() for c in hidden[1000 + i]), hidden[1000 + i]
+
+
+def test_short_parts_of_a_number_are_no_repeats():
+    graph, text = personal.Graph(), "+49 30 1234567 then words 30 then words 30 then words 49301234567"
+    graph.add(0, text, personal.base_spans(text))
+    assert [text[slice(*graph.spans[n][1:])] for n in sorted(graph.repeats)] == ["49301234567"]

@@ -10,7 +10,8 @@ become added spans.
 
 Weights are trained here, on a bounded sample of documents with such tokens, by
 pseudo-likelihood: every token given the labels of its neighbours, labels being those of
-the base spans. Documents are independent, so Spark deals out documents, and one document
+the base spans; tokens that repeat a match in another spelling have no known label and take
+no part. Documents are independent, so Spark deals out documents, and one document
 is held by one task at a time.
 """
 
@@ -134,8 +135,9 @@ class Graph:
         self.labels: list[int] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
-        #: Edges from observed to other tokens. They depend on labels, so training leaves them out.
+        #: Edges between observed and other tokens. They depend on labels, so training leaves them out.
         self.match: list[tuple[int, int]] = []
+        self.repeats: set[int] = set()  # tokens that repeat an observed one
         self.spans: list[tuple[int, int, int]] = []  # document, start, end
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
@@ -153,12 +155,16 @@ class Graph:
                 runs.append("")
             run.append(len(runs) - 1)
             runs[-1] += digits[i]
-        under, j = [], 0
-        for a, b in bounds:
+        # A short part of a number, such as an area code, stands for the number only with the rest.
+        under, parts_only, j = [], set(), 0
+        for i, (a, b) in enumerate(bounds):
             while j < len(base) and base[j][2] <= a:
                 j += 1
             cover = [k for s, k, e in base[j : j + 4] if s < b and e > a]
             under.append(1 + min(cover) if cover else 0)
+            if len(digits[i]) < 6 and not any(a <= s and e <= b for s, _, e in base[j : j + 4]):
+                parts_only.add(first_node + i)
+        alike = self.whole_numbers(text, bounds, digits, joined, base, first_node)
         places: dict[str, list[int]] = {}
         for i, (a, b) in enumerate(bounds):
             token, n, whole = text[a:b], len(digits[i]), runs[run[i]]
@@ -197,14 +203,50 @@ class Graph:
         links = set()
         for nodes in places.values():
             self.skip += zip(nodes, nodes[1:])
+            links.update(self.nearest_observed(nodes, parts_only))
+        for nodes in alike:
             links.update(self.nearest_observed(nodes))
+        self.repeats.update(n for link in links for n in link if not self.labels[n])
         self.match += sorted(links.difference(self.skip[first_skip:]))
 
-    def nearest_observed(self, nodes: list[int]):
-        """(observed, other) for each unobserved one of ``nodes`` (ascending), if any is observed.
+    def whole_numbers(self, text, bounds, digits, joined, base, first_node) -> list[list[int]]:
+        """Tokens, ascending, of each number that a base span holds, in all its spellings.
 
-        Each pair is in the order of its nodes; of two equally far, the earlier is taken."""
-        seen = [n for n in nodes if self.labels[n]]
+        A span stands for the digits of all its tokens together, and so does every sequence
+        of joined tokens that amounts to these digits, alone or among other numbers. Of
+        phones, 00 may stand for +.
+        """
+        spans: dict[str, list[int]] = {}
+        j = 0
+        for start, kind, end in base:
+            number = "".join(c for c in text[start:end] if "0" <= c <= "9")
+            while j < len(bounds) and bounds[j][1] <= start:
+                j += 1
+            # Longer ones are addresses with leading zeros: single tokens, alike by their digits.
+            if kind == 0 or not 6 <= len(number) <= 19:
+                continue
+            own = range(j, next((i for i in range(j, len(bounds)) if bounds[i][0] >= end), len(bounds)))
+            for key in (number, "00" + number) if kind == 3 else (number,):
+                spans.setdefault(key, []).extend(first_node + i for i in own)
+        if not spans:
+            return []
+        lengths = {len(s) for s in spans}
+        most = max(lengths)
+        for i in range(len(bounds)):
+            number, k = "", i
+            while k < len(bounds) and digits[k] and (k == i or joined[k]) and "@" not in text[slice(*bounds[k])]:
+                number += digits[k]
+                if len(number) > most:
+                    break
+                if len(number) in lengths and number in spans:
+                    spans[number].extend(first_node + n for n in range(i, k + 1))
+                k += 1
+        return [sorted(set(nodes)) for nodes in spans.values()]
+
+    def nearest_observed(self, nodes: list[int], without=frozenset()):
+        """A pair, in order, of each unobserved one of ``nodes`` (ascending) and the nearest
+        observed one not in ``without``; of two equally far, the earlier."""
+        seen = [n for n in nodes if self.labels[n] and n not in without]
         j = 0
         for n in nodes if seen else ():
             if self.labels[n]:
@@ -243,6 +285,9 @@ def train(graph: Graph, rounds: int = 300, decay: float = 1e-3) -> Field:
 
     x, chain, skip = design(graph)
     y = np.eye(LABELS)[np.array(graph.labels, np.int64)]
+    # Tokens that spell a match in another way are no examples of tokens without a label.
+    unsure = np.array(sorted(graph.repeats), np.int64)
+    y[unsure] = 0
     left, right, like = np.zeros((3, len(x), LABELS))
     np.add.at(right, chain[:, 0], y[chain[:, 1]])
     np.add.at(left, chain[:, 1], y[chain[:, 0]])
@@ -251,13 +296,14 @@ def train(graph: Graph, rounds: int = 300, decay: float = 1e-3) -> Field:
     prior = [np.zeros((N_FEATURES, LABELS)), np.zeros((LABELS, LABELS)), CONSISTENCY * np.eye(LABELS)]
     w = [p.copy() for p in prior]
     first, second = [0.0] * 3, [0.0] * 3
-    n = max(len(x), 1)
+    n = max(len(x) - len(unsure), 1)
     for t in range(1, rounds + 1):
         z = x @ w[0] + left @ w[1] + right @ w[1].T + like @ w[2]
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
         d = (p - y) / n
+        d[unsure] = 0
         g = [x.T @ d, left.T @ d + (right.T @ d).T, like.T @ d]
         g[2] = (g[2] + g[2].T) / 2
         for k in range(3):
@@ -350,7 +396,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
             graph = Graph()
             for i, text in enumerate(batch.column(0).to_pylist()):
                 graph.add(i, text, base_spans(text))
-            yield pa.RecordBatch.from_pydict({"graph": [pickle.dumps((graph.features, graph.labels, graph.chain, graph.skip))]})
+            yield pa.RecordBatch.from_pydict({"graph": [pickle.dumps((graph.features, graph.labels, graph.chain, graph.skip, sorted(graph.repeats)))]})
 
     import pickle
 
@@ -360,12 +406,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     picked = hashed.filter(F.col("hash") <= F.lit(lowest).cast("long")).limit(most).select("text")
     whole = Graph()
     for row in sorted(bytes(r.graph) for r in picked.mapInArrow(graphs, "graph binary").collect()):
-        features, labels, chain, skip = pickle.loads(row)
+        features, labels, chain, skip, repeats = pickle.loads(row)
         n = len(whole.features)
         whole.features += features
         whole.labels += labels
         whole.chain += [(a + n, b + n) for a, b in chain]
         whole.skip += [(a + n, b + n) for a, b in skip]
+        whole.repeats.update(a + n for a in repeats)
     return train(whole)
 
 
