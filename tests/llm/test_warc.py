@@ -132,3 +132,50 @@ def test_empty_table_and_empty_file(spark):
     assert warc.read_warc(files).collect() == []
     create(f"{path}/empty.warc").close()
     assert warc.read_warc(spark.createDataFrame([(f"{path}/empty.warc",)], "file string")).collect() == []
+
+
+def test_records_of_one_member_survive_a_bad_one():
+    p = parts(9, False)
+    p[4] = p[4].replace(b"<p>4</p>", b"<p>X</p>", 1)
+    one = gzip.compress(b"".join(p))
+    data = gzip.compress(raw_record(20)) + one + gzip.compress(raw_record(21))
+    found = salvage(data)
+    assert ids(found) == [20, 0, 1, 2, 3, 5, 6, 7, 8, 21]
+    start = sum(map(len, p[:4]))
+    at = len(gzip.compress(raw_record(20)))
+    gaps = [f[:3] for f in found if f[2]]
+    assert gaps == [(at, len(one), f"warc-block-digest differs; inflated bytes {start} to {start + len(p[4])}")]
+    # Garbage instead of the first and the last record.
+    p = [b"no record", *parts(5, False)[1:4], b"no WARC/1. record"]
+    found = salvage(gzip.compress(b"".join(p)))
+    assert ids(found) == [1, 2, 3] and sum(f[2] is not None for f in found) == 2
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_records_before_a_break_are_kept(level):
+    rng = random.Random(5)
+    p = []
+    for i in range(40):
+        value = rng.randbytes(3000).hex().encode()
+        p.append(warc.record(i, None, value, hashlib.sha256(value).hexdigest(), None))
+    one, last = gzip.compress(b"".join(p), level), gzip.compress(raw_record(90))
+    for data in (one[: len(one) // 2] + last, one[: len(one) // 2], one[: len(one) // 2] + b"\xff" * 40 + one[len(one) // 2 + 40 :] + last, one[:-8] + b"\0" * 8 + last):
+        found = salvage(data)
+        got = ids(found)
+        if data.endswith(last):
+            assert got.pop() == 90
+        assert len(got) == len(set(got)) and got[:19] == list(range(19))
+        assert any(f[2] for f in found)
+        check_cover(found, len(data))
+    assert got == list(range(40))
+
+
+def test_long_members_are_inflated_in_pieces():
+    rng = random.Random(6)
+    value = rng.randbytes(1 << 19) + bytes(1 << 19)
+    p = [warc.record(i, None, value, hashlib.sha256(value).hexdigest(), None) for i in range(12)]
+    p[3] = p[3][:-900] + b"?" + p[3][-899:]
+    one = gzip.compress(b"".join(p))
+    found = salvage(one + gzip.compress(raw_record(20)))
+    assert ids(found) == [0, 1, 2, *range(4, 12), 20]
+    assert {f[:2] for f in found} == {(0, len(one)), (len(one), len(gzip.compress(raw_record(20))))}

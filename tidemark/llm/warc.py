@@ -1,10 +1,12 @@
 """WARC archives: writing with revisit records, and a reader that salvages damaged files.
 
-Every record is a gzip member of its own. The reader checks each record (member, version
-line, headers, length, trailing line ends, digests). After a failed check it searches for
-the next gzip member or version line from which a record passes, goes on there, and logs
-the bytes in between as a quarantined gap. Files are read in pieces; one record at a time
-is held in memory.
+Every record is a gzip member of its own; other archives may hold many in a member. The
+reader checks each record (member, version line, headers, length, trailing line ends,
+digests). After a failed check it searches for the next gzip member or version line from
+which a record passes, goes on there, and logs the bytes in between as a quarantined gap.
+Inside a member the inflated bytes are searched, also those before the place where a
+member breaks. Files are read and members inflated in pieces; one record at a time is held
+in memory.
 """
 
 from __future__ import annotations
@@ -188,6 +190,9 @@ class Pieces:
     def __init__(self, file):
         self.file, self.size = file, file.size()
 
+    def ends(self, offset: int) -> bool:
+        return offset >= self.size
+
     def at(self, offset: int, n: int = CHUNK) -> bytes:
         self.file.seek(offset)
         return self.file.read(n)
@@ -204,37 +209,128 @@ class Pieces:
         return self.size
 
 
-def member(pieces: Pieces, offset: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``offset``, or Damaged."""
-    import zlib
+class Inflated:
+    """Content of the gzip member at ``offset``, inflated as far as it is asked for.
+
+    What lies before the last offset given to ``drop`` or ``find`` is let go. When all is
+    read, ``end`` is the offset after the member, or ``why`` says where it broke.
+    """
+
+    def __init__(self, pieces: Pieces, offset: int):
+        import zlib
+
+        self.pieces, self.next, self.inflate = pieces, offset, zlib.decompressobj(31)
+        self.held, self.start = bytearray(), 0
+        self.over, self.end, self.why = False, None, None
 
-    inflate, parts, at = zlib.decompressobj(31), [], offset
-    try:
-        while not inflate.eof:
-            data = pieces.at(at)
-            if not data:
-                raise Damaged("member is cut")
-            parts.append(inflate.decompress(data))
-            at += len(data)
-    except zlib.error as e:
-        raise Damaged("member: " + str(e).partition(":")[2].strip()) from None
-    return b"".join(parts), at - len(inflate.unused_data)
+    def more(self) -> None:
+        """Inflate a piece more, or set ``over``."""
+        import zlib
+
+        data = self.inflate.unconsumed_tail
+        if not data:
+            data = self.pieces.at(self.next)
+            self.next += len(data)
+        before = self.inflate.copy()
+        try:
+            out = self.inflate.decompress(data, CHUNK)
+        except zlib.error as e:
+            self.over, self.why = True, "member: " + str(e).partition(":")[2].strip()
+            # A failed call keeps what it inflated to itself.
+            for n in (4096, 64, 1):
+                try:
+                    while data:
+                        step = before.copy()
+                        self.held += step.decompress(data[:n])
+                        before, data = step, data[n:]
+                except zlib.error:
+                    pass
+            return
+        self.held += out
+        if self.inflate.eof:
+            self.over, self.end = True, self.next - len(self.inflate.unused_data)
+        elif not data and not out:
+            self.over, self.why = True, "member is cut"
+
+    def fill(self, stop: int) -> None:
+        while not self.over and self.start + len(self.held) < stop:
+            self.more()
+
+    def at(self, offset: int, n: int = CHUNK) -> bytes:
+        self.fill(offset + n)
+        return bytes(self.held[offset - self.start : offset - self.start + n])
+
+    def ends(self, offset: int) -> bool:
+        self.fill(offset + 1)
+        return offset >= self.start + len(self.held)
+
+    def drop(self, offset: int) -> None:
+        del self.held[: offset - self.start]
+        self.start = offset
+
+    def find(self, mark: bytes, start: int) -> int:
+        """Offset of the first ``mark`` from ``start``, or the content's size."""
+        while True:
+            hit = self.held.find(mark, start - self.start)
+            if hit >= 0:
+                self.drop(self.start + hit)
+                return self.start
+            size = self.start + len(self.held)
+            if self.over:
+                return size
+            start = max(start, size - len(mark) + 1)
+            self.drop(min(start, size))
+            self.more()
+
+
+def opened(pieces: Pieces, offset: int) -> tuple[Inflated, int | None, str | None]:
+    """(content, end, why) of the gzip member at ``offset``. A long one is inflated twice."""
+    content = Inflated(pieces, offset)
+    content.fill(4 * CHUNK)
+    whole = content
+    if not content.over:
+        whole = Inflated(pieces, offset)
+        while not whole.over:
+            whole.more()
+            whole.drop(whole.start + len(whole.held))
+    return content, whole.end, whole.why
+
+
+def inside(content: Inflated):
+    """Yield (start, end, reason, headers, block), in inflated bytes, for records and gaps."""
+    at, bad, why = 0, None, ""
+    while not content.ends(at):
+        try:
+            headers, block, end = plain_record(content, at)
+        except Damaged as e:
+            if bad is None:
+                bad, why = at, str(e)
+            at = content.find(b"WARC/1.", at + 1)
+            continue
+        if bad is not None:
+            yield bad, at, why, None, None
+            bad = None
+        yield at, end, None, headers, block
+        at = end
+        content.drop(at)
+    if bad is not None:
+        yield bad, at, why, None, None
 
 
-def plain_record(pieces: Pieces, offset: int) -> tuple[dict, bytes, int]:
-    """(headers, block, end) of the uncompressed record at ``offset``, or Damaged."""
+def plain_record(pieces: Pieces | Inflated, offset: int) -> tuple[dict, bytes, int]:
+    """(headers, block, end) of the record at ``offset`` of plain or inflated bytes, or Damaged."""
     n = CHUNK
     while True:
         data = pieces.at(offset, n)
         try:
             headers, block, end = parse_record(data)
-            if end + 7 <= len(data) or offset + len(data) >= pieces.size:
+            if end + 7 <= len(data) or pieces.ends(offset + len(data)):
                 return headers, block, offset + end
         except Damaged as e:
             # Only a record that runs past what was read deserves more of the file.
             if str(e) not in ("record is cut", "no end of headers"):
                 raise
-            if offset + len(data) >= pieces.size or str(e) == "no end of headers" and n > MOST_HEADER:
+            if pieces.ends(offset + len(data)) or str(e) == "no end of headers" and n > MOST_HEADER:
                 raise
         n *= 4
 
@@ -243,35 +339,61 @@ def salvage(file):
     """Yield (offset, length, reason, headers, block) for records (no reason) and gaps.
 
     Records and gaps together cover the file. A gap's reason is the check that failed
-    where it begins.
+    where it begins. All that one member holds has the offset and length of the member, and
+    a gap's reason then ends in its inflated bytes. A member that breaks is a gap; records
+    from before the break come first, with the gap's offset and length 0.
     """
+    import hashlib
+
+    def digest(headers, block):
+        return hashlib.sha256(repr(sorted(headers.items())).encode() + block).digest()
+
     pieces, at = Pieces(file), 0
     bad, why = None, ""
+    #: Records from before the break, as a member may store their bytes as they are.
+    known: set[bytes] = set()
     while at < pieces.size:
-        found = []
-        try:
-            if pieces.at(at, 2) == b"\x1f\x8b":
-                content, end = member(pieces, at)
-                inner = 0
-                while inner < len(content):
-                    headers, block, inner = parse_record(content, inner)
-                    found.append((headers, block))
-                if not found:
-                    raise Damaged("empty member")
-            else:
-                headers, block, end = plain_record(pieces, at)
-                found = [(headers, block)]
-        except Damaged as e:
+        if pieces.at(at, 2) == b"\x1f\x8b":
+            content, end, broken = opened(pieces, at)
+            length, passed, gaps = 0 if broken else end - at, False, []
+            for a, b, reason, headers, block in inside(content):
+                if reason is not None:
+                    gaps.append((at, length, f"{reason}; inflated bytes {a} to {b}", None, None))
+                    continue
+                if not passed:
+                    passed = True
+                    if bad is not None:
+                        yield bad, at - bad, why, None, None
+                        bad = None
+                    known.clear()
+                yield from gaps
+                gaps = []
+                yield at, length, None, headers, block
+                if broken:
+                    known.add(digest(headers, block))
+            if passed:
+                yield from gaps
+            if passed and not broken:
+                at = end
+                continue
             if bad is None:
-                bad, why = at, str(e)
-            at = pieces.find((b"\x1f\x8b\x08", b"WARC/1."), at + 1)
-            continue
-        if bad is not None:
-            yield bad, at - bad, why, None, None
-            bad = None
-        for headers, block in found:
-            yield at, end - at, None, headers, block
-        at = end
+                bad, why = at, broken or (gaps[0][2].partition(";")[0] if gaps else "empty member")
+        else:
+            try:
+                headers, block, end = plain_record(pieces, at)
+            except Damaged as e:
+                if bad is None:
+                    bad, why = at, str(e)
+            else:
+                if not known or digest(headers, block) not in known:
+                    if bad is not None:
+                        yield bad, at - bad, why, None, None
+                        bad = None
+                    known.clear()
+                    yield at, end - at, None, headers, block
+                at = end
+                continue
+        at = pieces.find((b"\x1f\x8b\x08", b"WARC/1."), at + 1)
     if bad is not None:
         yield bad, pieces.size - bad, why, None, None
 
