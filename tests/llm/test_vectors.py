@@ -99,3 +99,21 @@ def test_nearest_with_few_rows(spark):
     three = spark.createDataFrame([(0, [1.0, 2.0], 1, 1, "x"), (1, [1.0, 2.0], 1, 1, "x"), (2, [3.0, 1.0], 1, 1, "x")], SCHEMA)
     got = sorted(tuple(r) for r in nearest(three, lambda c: c % 20 == 0).collect())
     assert got == [(0, 1, 1, 5.0), (0, 2, 2, 5.0)]
+
+
+def test_nearest_with_very_different_norms(spark):
+    rng = np.random.RandomState(4)
+    x = rng.standard_normal((600, 12))
+    x[[3, 50, 120, 333]] *= 1e8
+    x[400:420] *= 1e-6
+    x = x.astype("f4")
+    got = nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), lambda c: c % 20 == 0).collect()
+    x = x.astype(float)
+    hits = 0
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        own = {r.vec_id: r.score for r in got if r.query_id == q}
+        assert len(own) == 20 and all(abs(s[i] - v) <= 1e-9 * np.abs(x[i] * x[q]).sum() for i, v in own.items())
+        hits += len(set(own) & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.97 * 600

@@ -41,8 +41,9 @@ GRAPH = "node long, ids array<long>, scores array<float>, new array<boolean>"
 def prepare_nodes(vectors: DataFrame, id_col: str, vector_col: str, keep_ids: int):
     """(nodes: node, vector, raw; members: node, id, nth; rows: id, node).
 
-    node is the row number of one of the equal vectors. raw is the vector, scaled by the
-    greatest norm, in half precision. members has the ``keep_ids`` smallest ids of a node.
+    node is the row number of one of the equal vectors. raw is the norm, as a share of the
+    greatest one, in double precision and the vector of norm 1 in half precision, so norms
+    may differ by any factor. members has the ``keep_ids`` smallest ids of a node.
     """
     rows = vectors.select(
         F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.monotonically_increasing_id().alias("row")
@@ -60,8 +61,10 @@ def prepare_nodes(vectors: DataFrame, id_col: str, vector_col: str, keep_ids: in
 
         for batch in batches:
             lists = batch.column(2)
-            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1) / most
-            raw = pa.array([v.tobytes() for v in x.astype("<f2")], pa.binary())
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+            norms = np.linalg.norm(x, axis=1, keepdims=True)
+            shares = (norms / most).astype("<f8")
+            raw = pa.array([n.tobytes() + v.tobytes() for n, v in zip(shares, (x / norms).astype("<f2"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=["digest", "node", "vector", "raw"])
 
     kind = vectors.schema[vector_col].dataType.simpleString()
@@ -76,10 +79,15 @@ def prepare_nodes(vectors: DataFrame, id_col: str, vector_col: str, keep_ids: in
 
 
 def unpack(column):
-    """Half-precision vectors of a binary column as single-precision rows."""
+    """(vectors of norm 1, norms) of a binary column in single precision.
+
+    The inner product of two such vectors times the norm of the second orders the second
+    ones of a first one as inner products do."""
     import numpy as np
 
-    return np.frombuffer(b"".join(column.to_pylist()), "<f2").reshape(len(column), -1).astype(np.float32)
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    norms, units = rows[:, :8].copy().view("<f8"), rows[:, 8:].copy().view("<f2")
+    return units.astype(np.float32), norms[:, 0].astype(np.float32)
 
 
 def first_lists(nodes: DataFrame, orders: int, leaf: int, seed: int) -> DataFrame:
@@ -90,7 +98,7 @@ def first_lists(nodes: DataFrame, orders: int, leaf: int, seed: int) -> DataFram
         import pyarrow as pa
 
         for batch in batches:
-            x = unpack(batch.column(1))
+            x, _ = unpack(batch.column(1))
             rng = np.random.RandomState(seed)
             for t in range(orders):
                 planes = rng.standard_normal((x.shape[1], CODE_BITS + 1))
@@ -111,8 +119,8 @@ def first_lists(nodes: DataFrame, orders: int, leaf: int, seed: int) -> DataFram
                 out = []
                 for b in range(a, min(a + 64 * leaf, len(node)), leaf):
                     own = node[b : b + leaf]
-                    x = unpack(block.column("raw").slice(b, len(own)))
-                    s = x @ x.T
+                    x, norms = unpack(block.column("raw").slice(b, len(own)))
+                    s = (x @ x.T) * norms
                     np.fill_diagonal(s, -np.inf)
                     best = np.argsort(-s, axis=1, kind="stable")[:, : min(DEGREE // 3, len(own) - 1)]
                     if best.size:
@@ -227,15 +235,17 @@ def offers(members: DataFrame, sample: int, each: int) -> DataFrame:
                 row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, b)))
                 column = rank_in_group(center[a:b])
                 part = block.slice(a, b - a)
-                x = unpack(part.column("raw"))
+                x, lengths = unpack(part.column("raw"))
+                norms = np.zeros((len(starts), sample), np.float32)
                 full = np.zeros((len(starts), sample, x.shape[1]), np.float32)
                 member = np.full((len(starts), sample), -1, np.int64)
                 fresh, worst = np.zeros((len(starts), sample), bool), np.full((len(starts), sample), np.inf, np.float32)
                 full[row, column] = x
+                norms[row, column] = lengths
                 member[row, column] = part.column("member").to_numpy()
                 fresh[row, column] = part.column("fresh").to_numpy(zero_copy_only=False)
                 worst[row, column] = part.column("worst").to_numpy()
-                s = full @ full.transpose(0, 2, 1)
+                s = (full @ full.transpose(0, 2, 1)) * norms[:, None, :]
                 use = (member[:, None, :] >= 0) & (fresh[:, :, None] | fresh[:, None, :]) & (s > worst[:, :, None])
                 use &= member[:, :, None] != member[:, None, :]
                 s = np.where(use, s, -np.inf)
@@ -302,7 +312,8 @@ def greedy_search(
                 part = part.filter(cand.is_valid())
                 if part.num_rows:
                     new = part.column("cand").to_numpy()
-                    s = unpack(part.column("raw").combine_chunks()) @ np.frombuffer(own, "<f2").astype(np.float32)
+                    x, norms = unpack(part.column("raw").combine_chunks())
+                    s = (x @ np.frombuffer(own[8:], "<f2").astype(np.float32)) * norms
                     fresh = ~np.isin(new, ids)
                     ids = np.concatenate([ids, new[fresh]])
                     scores = np.concatenate([scores, s[fresh]])
