@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import dups, gates, nearpairs, ordering, uniquify
-from tidemark.plans.dedupe import REPORT_IDS, first_with_ids
+from tidemark.plans.dedupe import REPORT_IDS, first_with_ids, report_members
 from tidemark.session import cut_lineage
 from tidemark.sources.tables import read_table
 from tidemark.spec import RecordSpec
@@ -102,6 +102,40 @@ def title_report(spark, folder):
     )
 
 
+@query(
+    f"""WITH fp AS ({_FP})
+    SELECT left(h, 16) AS hash, nth, doc_id FROM (SELECT h, doc_id, count(*) OVER (PARTITION BY h) AS n,
+      row_number() OVER (PARTITION BY h ORDER BY doc_id) AS nth FROM fp) WHERE n > 1"""
+)
+def fingerprint_report_ids(spark, folder):
+    """All ids of the report's entries, in long form."""
+    rows = _kept_keys(spark, folder, text.fingerprint(F.col("text")))
+    found = report_members(rows, cells(rows, "pos"))
+    return found.select(F.left("key", F.lit(16)).alias("hash"), "nth", F.col("id").alias("doc_id"))
+
+
+def _part_ids(key: str) -> str:
+    return f"""WITH k AS (SELECT {key} AS k, p_partkey FROM part),
+    g AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1 ORDER BY min(p_partkey) LIMIT 50)
+    SELECT left(k, 80) AS key, row_number() OVER (PARTITION BY k ORDER BY p_partkey) AS nth, p_partkey FROM k JOIN g USING (k)"""
+
+
+def _part_report_ids(spark, folder, key):
+    rows = cut_lineage(dups.keyed(part(spark, folder), key, "p_partkey", "p_partkey"))
+    found = report_members(rows, cells(rows, "pos"), 50)
+    return found.select(F.left("key", F.lit(80)).alias("key"), "nth", F.col("id").alias("p_partkey"))
+
+
+@query(_part_ids("p_name"))
+def title_report_ids(spark, folder):
+    return _part_report_ids(spark, folder, F.col("p_name"))
+
+
+@query(_part_ids(q.slug("p_name || '/' || p_brand")))
+def slug_report_ids(spark, folder):
+    return _part_report_ids(spark, folder, text.slugify(F.concat_ws("/", "p_name", "p_brand")))
+
+
 @query("SELECT p_name AS title, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1 HAVING count(*) > 1")
 def title_groups(spark, folder):
     rows = dups.keyed(part(spark, folder), F.col("p_name"), "p_partkey", "p_partkey")

@@ -112,3 +112,13 @@ def test_running_sum_in_cells(spark):
         for r in got:
             want = 2 * (r.pos // 3 + 1) if r.g == "true" else 2 * (r.pos - r.pos // 3)
             assert r.s == want
+
+
+def test_report_names_all_members_of_large_groups(spark):
+    from tidemark.plans.dedupe import report_members
+
+    df = spark.range(2600).selectExpr("id AS pos", "concat('r', id) AS id", "CASE WHEN id % 2 = 0 THEN 'a' WHEN id < 9 THEN 'b' ELSE concat('c', id) END AS k")
+    got = report_members(dups.keyed(df, F.col("k"), "pos", "id"), Buckets(), 1).orderBy("nth").collect()
+    assert [(r.key, r.nth, r.id) for r in got] == [("a", i + 1, f"r{2 * i}") for i in range(1300)]
+    every = report_members(dups.keyed(df, F.col("k"), "pos", "id"), Buckets()).groupBy("key").count().collect()
+    assert {r.key: r["count"] for r in every} == {"a": 1300, "b": 4}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import vocab
 from ..functions import text, variants as V
 from ..operators import dups, gates, nearpairs
-from ..operators.ordering import Buckets, dense_buckets
+from ..operators.ordering import Buckets, dense_buckets, join_per_key, running_sum
 from ..session import cut_lineage
 from ..sources import jsonl, sinks
 from ..spec import RECORDS, RecordSpec
@@ -24,6 +24,15 @@ def first_with_ids(rows: DataFrame, n: int, ids: int = REPORT_IDS) -> DataFrame:
     return dups.group_heads(rows, ids).orderBy("first_pos").limit(n)
 
 
+def report_members(rows: DataFrame, buckets: Buckets, n: int | None = None) -> DataFrame:
+    """(key, pos, id, n, first_pos, nth): all members, numbered in input order, of the groups a
+    report names: the ``n`` seen first, or all. ``rows`` is read twice."""
+    heads = dups.groups(rows)
+    if n is not None:
+        heads = heads.orderBy("first_pos").limit(n)
+    return running_sum(join_per_key(rows, heads, "key", "pos"), ["key"], "pos", "nth", buckets)
+
+
 @dataclass(frozen=True)
 class Duplicates:
     """``keyed`` has narrow rows per key kind; the other parts are findings."""
