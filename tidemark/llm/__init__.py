@@ -18,6 +18,7 @@ def load() -> dict:
     from tidemark.llm import (  # noqa: F401
         byte_merges,
         bag_minhash,
+        importance,
         mixing,
         near_vectors,
         neighbours,
