@@ -25,6 +25,7 @@ def load() -> dict:
         personal,
         quality,
         registry,
+        runs,
         shards,
         token_files,
         warc,
