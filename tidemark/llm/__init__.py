@@ -19,6 +19,7 @@ def load() -> dict:
         byte_merges,
         bag_minhash,
         importance,
+        main_text,
         mixing,
         near_vectors,
         neighbours,
