@@ -9,24 +9,27 @@ agree with the probability of the weighted Jaccard similarity. Only points up to
 by which all slots are almost surely filled are made (else the time is extended), so an
 element costs little however large its weight is.
 
-Signatures are banded. In a bucket, members are compared with pivots, not with each other:
-a member linked to a pivot can be set aside when the triangle inequality of the Jaccard
-distance rules out links to every member that isn't linked to that pivot. Buckets whose
-members are left in several components go another round, with more pivots from outside
-the bucket's main component, until none is left, so no bucket is capped and, up to the
-chance of the bands, no link between components is lost. Every pair that
-counts is verified on whole texts.
+Signatures are banded. Bands are taken a few at a time. In a bucket, the members are first
+compared with one pivot, the member that meets most others in all bands, so that the buckets
+of a group share their pivot; only members of other components than the pivot's are, and
+components are merged before the next bands. A group of copies, however large, thus costs
+about one comparison a member. What buckets still hold of several components is compared in
+cells of two blocks of members, in memory: sketches rule pairs out, the others are verified
+unless the cell has linked their components already. No bucket is capped, no pair becomes a row, and, up
+to the chance of the bands, no link between components is lost. Every pair that counts is
+verified on whole bags.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.groups import first_of, whole_groups
 from tidemark.llm.pieces import blocks
 from tidemark.llm.registry import fresh, query, table, text_of
 from tidemark.llm.wordhash import Hasher, mix, shingles
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, release
 
 WORDS = 5
 LEAST = 0.8
@@ -34,9 +37,12 @@ BANDS, ROWS = 36, 5
 BLOCK_BYTES = 2 << 20
 #: Points made of each process in its 1st, 2nd, ... turn; part of the definition.
 TURNS = (1, 3, 12, 48)
-#: Standard errors by which an estimate may miss the similarity.
-SLACK = 6.0
-MORE_PIVOTS = 8
+#: Standard errors by which a sketch may miss the least similarity: a chance of 1e-6.
+SLACK = 4.75
+#: Members and bytes of bags of a block, about; a longer bag is a block of its own.
+BLOCK_ROWS, BLOCK_BAGS = 256, 4 << 20
+#: Members compared with one pivot in one task.
+CHUNK = 256
 
 
 def bags(hasher: Hasher, texts: list[str], words: int = WORDS):
@@ -103,13 +109,32 @@ def signatures(doc, element, weight, sizes, slots: int):
     return out
 
 
-def similarity(a: tuple, b: tuple) -> float:
-    """Weighted Jaccard of two bags given as (elements, weights, size), elements ascending."""
+def occurrences(hasher: Hasher, texts: list[str], words: int = WORDS):
+    """(numbers, offsets): the bag of each text as a set, ascending, one number per occurrence.
+
+    Two sets share as many numbers as the bags share occurrences, so the Jaccard similarity
+    of the sets is the weighted one of the bags.
+    """
+    import numpy as np
+
+    doc, element, weight, sizes = bags(hasher, texts, words)
+    nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    numbers = mix(np.repeat(element, weight) + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    owner = np.repeat(doc, weight)
+    return numbers[np.lexsort((numbers, owner))], np.concatenate([[0], np.cumsum(sizes)])
+
+
+def similarity(a, b) -> float:
+    """Jaccard similarity of two ascending arrays of distinct numbers."""
     import numpy as np
 
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = int(np.minimum(a[1][i], b[1][j]).sum())
-    return shared / max(a[2] + b[2] - shared, 1)
+    if not len(a) or not len(b):
+        return 0.0
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return shared / (len(a) + len(b) - shared)
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
@@ -153,63 +178,157 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     )
 
 
-def estimates(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``most``: an upper bound of the similarity, from sizes and sketches."""
-    one = sketched.select(F.col("uid").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
-    two = sketched.select(F.col("uid").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+def bag_table(texts: DataFrame, words: int) -> DataFrame:
+    """uid, bag: the numbers of ``occurrences`` of each text (uid, text), kept in shared storage."""
+
+    def make(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        hasher = Hasher()
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            numbers, offsets = occurrences(hasher, block.column("text").to_pylist(), words)
+            offsets = pa.array(offsets * 8, pa.int64())
+            bag = pa.LargeBinaryArray.from_buffers(pa.large_binary(), block.num_rows, [None, offsets.buffers()[1], pa.py_buffer(numbers)])
+            yield pa.RecordBatch.from_arrays([block.column("uid").combine_chunks(), bag.cast(pa.binary())], names=["uid", "bag"])
+
+    return cut_lineage(texts.select("uid", "text").mapInArrow(make, "uid long, bag binary"), "bags")
+
+
+def linked(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """Rows of ``pairs`` (a, b, ...) whose bags are at least ``least`` alike.
+
+    b may be the pivot of any number of pairs: they are dealt to tasks in chunks, and only
+    the pivot's bag is repeated, once per chunk.
+    """
+    columns = pairs.columns
+    per_pivot = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(per_pivot, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
+    pivots = (
+        per_pivot.join(bags.select(F.col("uid").alias("b"), F.col("bag").alias("bag_b")), "b")
+        .select("b", "bag_b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    )
+    both = dealt.join(bags.select(F.col("uid").alias("a"), F.col("bag").alias("bag_a")), "a").join(pivots, ["b", "chunk"])
 
-    def bound(batches):
+    def compare(batches):
         import numpy as np
         import pyarrow as pa
 
+        n = len(columns)
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            both = [np.frombuffer(b"".join(c[s].to_pylist()), np.uint8).reshape(n, -1) for s in ("sketch_a", "sketch_b")]
-            slots = both[0].shape[1]
-            same = (both[0] == both[1]).mean(axis=1)
-            # Bytes agree by chance once in 256 times.
-            guess = np.clip((same - 1 / 256) / (1 - 1 / 256), 0, 1)
-            spread = np.sqrt(np.maximum(guess * (1 - guess), 0.02) / slots)
-            sizes = [c[s].to_numpy().astype(float) for s in ("size_a", "size_b")]
-            by_size = np.minimum(*sizes) / np.maximum(*sizes)
-            most = np.minimum(guess + SLACK * spread, by_size)
-            yield pa.RecordBatch.from_arrays([c["a"], c["b"], pa.array(most)], names=["a", "b", "most"])
-
-    return joined.mapInArrow(bound, "a long, b long, most double")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """``pairs`` (a, b) with their exact similarity ``sim``; b repeats in neighbouring rows."""
-    joined = (
-        pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
+            keep = []
+            for a, b in zip(batch.column(n), batch.column(n + 1)):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                keep.append(similarity(a, b) >= least)
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=columns).filter(pa.array(keep, pa.bool_()))
+
+    return both.select(*columns, "bag_a", "bag_b").mapInArrow(compare, pairs.schema)
+
+
+def links_in_cells(members: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components: enough to connect all that the members' buckets link.
+
+    ``members`` (band, key, n, heavy, uid, component, size, sketch, keys, bag) are those of
+    buckets of n members, with ``heavy`` bytes of bags. Buckets are cut into blocks by hash,
+    and each two blocks make a cell, so no task holds more than two blocks.
+    """
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("heavy") / BLOCK_BAGS), F.lit(1)).cast("int")
+    cut = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    celled = cut.withColumn("other", other).select(
+        F.xxhash64("band", "key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
+        F.when(F.col("part") < F.col("other"), 0).when(F.col("part") > F.col("other"), 1).otherwise(2).alias("side"),
+        "band", "key", "component", "size", "sketch", "keys", "bag",
+    )
 
     def compare(batches):
+        import numpy as np
         import pyarrow as pa
 
-        hasher, known, bag_b = Hasher(), None, None
+        for cells in whole_groups(batches, "cell"):
+            first = np.append(first_of(cells.column("cell").to_numpy()), cells.num_rows)
+            a, b = [], []
+            for k in range(len(first) - 1):
+                found = _links_in_cell(cells.slice(first[k], first[k + 1] - first[k]), least)
+                a += [x for x, _ in found]
+                b += [y for _, y in found]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        def bag(text):
-            _, elements, weights, sizes = bags(hasher, [text], words)
-            return elements, weights, int(sizes[0])
+    return celled.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sims = []
-                for b, text_a, text_b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    if b != known:
-                        known, bag_b = b, bag(text_b)
-                    sims.append(similarity(bag(text_a), bag_b))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return joined.mapInArrow(compare, "a long, b long, sim double")
+def _links_in_cell(cell, least: float) -> list:
+    import numpy as np
+
+    n = cell.num_rows
+    side, band, component, size = (cell.column(c).to_numpy() for c in ("side", "band", "component", "size"))
+    if n < 2 or (component == component[0]).all():
+        return []
+    sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
+    slots = sketch.shape[1]
+    keys = np.array(cell.column("keys").to_pylist(), np.int64)
+    least_same = least - SLACK * np.sqrt(least * (1 - least) / slots)
+    chances = []
+    for i in range(n - 1):
+        rest = np.arange(i + 1, n)
+        # Two whole blocks meet across; a block alone meets itself.
+        rest = rest[(component[rest] != component[i]) & ((side[rest] == 2) | (side[rest] != side[i]))]
+        small, large = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
+        rest = rest[small >= least * large]
+        # Bytes agree by chance once in 256 times.
+        same = ((sketch[rest] == sketch[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+        rest, same = rest[same >= least_same], same[same >= least_same]
+        # A pair is looked at in the first bucket it shares.
+        own = (keys[rest] == keys[i]).argmax(axis=1) == band[0]
+        chances += [(-s, i, j) for s, j in zip(same[own].tolist(), rest[own].tolist())]
+    root: dict = {}
+
+    def find(x):
+        while x in root:
+            x = root[x]
+        return x
+
+    bags: dict = {}
+
+    def bag(i):
+        if i not in bags:
+            bags[i] = np.frombuffer(cell.column("bag")[i].as_buffer(), np.uint64)
+        return bags[i]
+
+    out = []
+    for _, i, j in sorted(chances):
+        a, b = find(int(component[i])), find(int(component[j]))
+        if a != b and similarity(bag(i), bag(j)) >= least:
+            root[a] = b
+            out.append((int(component[i]), int(component[j])))
+    return out
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after joining the components that ``links`` (a, b) connect."""
+    if links.isEmpty():
+        return labels
+    roots = components(links).withColumnRenamed("component", "root")
+    return cut_lineage(
+        labels.join(roots, labels["component"] == roots["node"], "left")
+        .withColumn("component", F.coalesce("root", "component")).select(*labels.columns),
+        "labels",
+        replaces=labels,
+    )
+
+
+def _open(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their labels, and the buckets that hold several components, with their pivot."""
+    placed = members.join(labels, "uid")
+    buckets = (
+        placed.groupBy("band", "key")
+        .agg(
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            F.max_by(F.struct("uid", "component", "size"), F.struct("popular", "uid")).alias("pivot"),
+        )
+        .filter("low <> high").select("band", "key", "pivot")
+    )
+    return placed, buckets
 
 
 def near_groups(
@@ -236,54 +355,52 @@ def near_groups(
     # One node per distinct text.
     nodes = sketched.groupBy("digest").agg(F.min("uid").alias("uid"))
     single = sketched.join(nodes.select("uid"), "uid", "left_semi")
-    keyed = cut_lineage(
-        single.select("uid", F.posexplode("bands").alias("band", "key")), "bands"
-    )
+    keyed = cut_lineage(single.select("uid", F.posexplode("bands").alias("band", "key")), "bands")
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut_lineage(keyed.join(shared, ["band", "key"]).select("band", "key", "uid"), "members")
-    wanted = members.select("uid").distinct().join(sketched.select("uid", "digest"), "uid")
-    texts = cut_lineage(
-        named.select("digest", "text").join(wanted, "digest").dropDuplicates(["uid"]).select("uid", "text"), "texts"
+    members = cut_lineage(
+        keyed.join(shared, ["band", "key"]).select("band", "key", "uid", "n"), "members", replaces=keyed
     )
-    sizes = cut_lineage(single.select("uid", "size", "sketch").join(wanted.select("uid"), "uid"), "sizes")
-
-    found = None
-    pivots = 1
-    while not members.isEmpty():
-        if found is None:
-            chosen = members.groupBy("band", "key").agg(F.min("uid").alias("b"))
-            placed = members.withColumn("component", F.col("uid"))
-        else:
-            placed = cut_lineage(_apart(members, components(found)), "placed")
-            nth = F.row_number().over(Window.partitionBy("band", "key").orderBy("uid"))
-            outside = placed.filter("component <> main").select("band", "key", F.col("uid").alias("b"), nth.alias("nth"))
-            chosen = outside.filter(F.col("nth") <= pivots).drop("nth")
-        own = placed.select("band", "key", "uid", "component")
-        of_pivot = chosen.join(own.select("band", "key", F.col("uid").alias("b"), F.col("component").alias("other")), ["band", "key", "b"])
-        met = own.join(of_pivot, ["band", "key"]).filter("uid <> b and component <> other")
-        # Pairs of pivots meet twice; once is enough.
-        met = cut_lineage(met.select("band", "key", F.col("uid").alias("a"), "b"), "met")
-        pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        bound = cut_lineage(estimates(pairs, sizes), "bounds")
-        exact = verified(bound.filter(F.col("most") >= least), texts, words)
-        known = cut_lineage(
-            bound.join(exact, ["a", "b"], "left").select(
-                "a", "b", F.coalesce("sim", "most").alias("most"), (F.coalesce("sim", F.lit(0.0)) >= least).alias("linked")
-            ),
-            "known",
+    popular = members.groupBy("uid").agg(F.sum("n").alias("popular"))
+    labels = cut_lineage(
+        popular.join(single.select("uid", "size"), "uid").withColumn("component", F.col("uid")), "labels"
+    )
+    wanted = labels.select("uid").join(sketched.select("uid", "digest"), "uid")
+    # Equal digests are in one partition after the join.
+    texts = named.select("digest", "text").join(wanted, "digest").dropDuplicates(["digest"])
+    bag = bag_table(texts, words)
+
+    ends = sorted({0, 1, bands // 9, bands // 3, bands})
+    for low, high in zip(ends, ends[1:]):
+        placed, buckets = _open(members.filter((F.col("band") >= low) & (F.col("band") < high)), labels)
+        near = F.least("size", "pivot.size") >= least * F.greatest("size", "pivot.size")
+        pairs = (
+            placed.join(buckets, ["band", "key"]).filter(near & (F.col("component") != F.col("pivot.component")))
+            .select(F.col("uid").alias("a"), F.col("pivot.uid").alias("b"), "component", F.col("pivot.component").alias("other"))
+            .distinct()
+        )
+        pairs = cut_lineage(pairs, "pairs")
+        links = cut_lineage(
+            linked(pairs, bag, least).select(F.col("component").alias("a"), F.col("other").alias("b")).distinct(), "links"
         )
-        links = known.filter("linked").select("a", "b")
-        found = links if found is None else found.unionAll(links)
-        either = known.unionAll(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "most", "linked"))
-        rest = own.select("band", "key", "uid")
-        members = cut_lineage(_left(rest, met.join(either, ["a", "b"]), chosen, least), "members")
-        pivots *= MORE_PIVOTS
-
-    edges = found if found is not None else sketched.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0)
-    merged = components(edges)
-    of_text = (
-        nodes.join(merged, nodes["uid"] == merged["node"], "left")
-        .select("digest", F.coalesce("component", "uid").alias("component"))
+        labels = _merged(labels, links)
+        release(pairs)
+        release(links)
+
+    # A pivot has been compared with all its bucket.
+    placed, buckets = _open(members, labels)
+    rest = placed.join(buckets, ["band", "key"]).filter("uid <> pivot.uid")
+    several = (
+        rest.groupBy("band", "key")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("heavy"))
+        .filter("low <> high").select("band", "key", "n", "heavy")
+    )
+    rest = cut_lineage(rest.select("band", "key", "uid", "component", "size").join(several, ["band", "key"]), "rest")
+    sketch = single.select("uid", "sketch", F.col("bands").alias("keys"))
+    links = cut_lineage(links_in_cells(rest.join(sketch, "uid").join(bag, "uid"), least).distinct(), "links")
+    labels = _merged(labels, links)
+
+    of_text = nodes.join(labels.select("uid", "component"), "uid", "left").select(
+        "digest", F.coalesce("component", "uid").alias("component")
     )
     per_text = sketched.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(of_text, "digest")
     classes = per_text.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
@@ -311,39 +428,6 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def _apart(members: DataFrame, merged: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components, with their component and the
-    bucket's main one: only links between components matter, and every such link has an
-    end outside the main component."""
-    placed = members.join(merged.select(F.col("node").alias("uid"), "component"), "uid", "left").select(
-        "band", "key", "uid", F.coalesce("component", "uid").alias("component")
-    )
-    per = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    main = (
-        per.groupBy("band", "key")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("several"))
-        .filter("several > 1")
-        .drop("several")
-    )
-    return placed.join(main, ["band", "key"])
-
-
-def _left(members: DataFrame, met: DataFrame, chosen: DataFrame, least: float) -> DataFrame:
-    """Members of buckets that pivots haven't settled: a member goes if it was a pivot, or
-    if it is linked to a pivot that no unlinked member of the bucket is near enough to."""
-    apart = met.filter("not linked").groupBy("band", "key", "b").agg(F.max("most").alias("nearest"))
-    settled = (
-        met.filter("linked")
-        .join(apart, ["band", "key", "b"], "left")
-        .filter(F.coalesce("nearest", F.lit(-1.0)) < F.col("most") - (1 - least) - 1e-9)
-        .select("band", "key", F.col("a").alias("uid"))
-    )
-    gone = settled.unionAll(chosen.select("band", "key", F.col("b").alias("uid"))).distinct()
-    rest = members.join(gone, ["band", "key", "uid"], "left_anti")
-    several = rest.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
-    return rest.join(several, ["band", "key"])
-
-
 @query()
 def op4_bag_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with the class of their near duplicates."""

@@ -38,6 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
             .unionAll(least.select("a", F.col("m").alias("b")))
             .distinct(),
             "links",
+            replaces=links,
         )
         after = _state(links)
         if tuple(after) == tuple(before):
