@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -50,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
@@ -80,12 +81,26 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut_lineage(df: DataFrame, label: str = "cut", replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Later jobs read the columns they need from storage, so neither a lost executor nor a
-    second reader computes ``df`` again.
+    second reader computes ``df`` again. ``replaces`` is an earlier result of this function
+    that nothing reads any more: its files are deleted once ``df`` is written.
     """
-    path = scratch_dir(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if replaces is not None:
+        release(replaces)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a result of ``cut_lineage`` that nothing reads any more."""
+    path = getattr(df, "scratch_path", None)
+    if path is not None:
+        remove(df.sparkSession, path)
+        _scratch[:] = [s for s in _scratch if s[1] != path]
