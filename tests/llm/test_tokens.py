@@ -10,12 +10,13 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tidemark.llm.byte_merges import Merges, encode_texts, one_by_one, public_ranks, read_merges, replay
+from tidemark.llm.pieces import PieceCache
 from tidemark.llm.token_files import read_token_files, write_token_files
 from tidemark.session import scratch_dir
 
 ODD = [
     None, "", " ", "  ", "\n", "a", " a  b", "a \n b", "x\x1c y\x1c", "it's we'll 're", "a\t b", "x  y  z", "é 12 34٣ !!!\n\n  z ",
-    "aaaaaaaaaa " * 50, "北京北京 😀😀", "===== <|endoftext|> -- ", "a" * 5000, "word, " * 20000, "é​ x",
+    "aaaaaaaaaa " * 50, "北京北京 😀😀", "===== <|endoftext|> -- ", "a<|endoftext|>b  <|endoftext|>\n\n<|endoftext|> c", "one two<|endoftext|> three", "a" * 5000, "word, " * 20000, "é​ x",
 ]
 
 
@@ -41,8 +42,7 @@ def test_token_files_round_trip(spark):
     path = scratch_dir(spark, "tokens-test")
     write_token_files(docs.repartition(5), path, definition)
     got = read_token_files(spark, path).collect()
-    tokenizer = Tokenizer.from_str(definition)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
     for i, t, *_ in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
@@ -54,6 +54,30 @@ def test_token_files_round_trip(spark):
     assert ids == sorted(ids)
 
 
+def test_special_tokens_as_text(spark):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    path = scratch_dir(spark, "tokens-test")
+    text = "so <|endoftext|> it is"
+    write_token_files(spark.createDataFrame([(1, text)], "doc_id long, text string"), path, definition, special_as_text=True)
+    tokenizer = Tokenizer.from_str(definition)
+    tokenizer.encode_special_tokens = True
+    assert read_token_files(spark, path).first().n_tokens == len(tokenizer.encode(text).ids) + 1
+
+
+def test_pieces_outlive_blocks_and_are_dropped():
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [p.upper().encode() for p in pieces]
+
+    cache = PieceCache(encode, most=3)
+    for given in (["a b c", "", "b\tc", " d  e"], ["a b c"], [], ["x y z w"], ["a b"]):
+        assert cache.encode(given) == [t.upper().encode() for t in given]
+    assert asked.count(" b") == 2 and asked.count(" c") == 1 and set(cache.tails) <= {"x", "y", "z", "w", "a", "b"}
+
+
 def test_token_files_of_nothing(spark):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         definition = f.read()

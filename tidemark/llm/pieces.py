@@ -15,22 +15,16 @@ _BEFORE_BLANK = re.compile(r"\s ")
 _CHUNK = re.compile(r"\s*\S+|\s+")
 
 
-def cut(text: str) -> tuple[str, list[str]]:
-    """(head, tails): ``text`` equals head followed by each tail with a blank before it.
-
-    Both head and " " + tail may be encoded on their own. A text with uncommon white
-    space stays whole in the head.
-    """
-    if not text or _ODD.search(text):
-        return text, []
-    if text[0] != " " and text[-1] != " " and not _BEFORE_BLANK.search(text):
-        parts = text.split(" ")
-        return parts[0], parts[1:]
-    return text, []
+def can_cut(text: str) -> bool:
+    """Whether the text's first word, and each other word with the blank before it, may be
+    encoded on their own, words being what single blanks separate."""
+    return text[0] != " " and text[-1] != " " and not _ODD.search(text) and not _BEFORE_BLANK.search(text)
 
 
 def chunks(text: str) -> list[str]:
-    """Independent pieces of a text that ``cut`` left whole."""
+    """Independent pieces of any text."""
+    if not text:
+        return []
     return [text] if _ODD.search(text) else _CHUNK.findall(text)
 
 
@@ -62,26 +56,49 @@ def blocks(batches, text_column: str, most_bytes: int):
 
 
 class PieceCache:
-    """Encodings of pieces as bytes; ``encode_pieces`` maps a list of pieces to a list."""
+    """Encodings of pieces as bytes; ``encode_pieces`` maps a list of pieces to a list.
+
+    Pieces stay from block to block. When there are more than ``most``, those of the latest
+    block stay, common pieces among them.
+    """
 
-    def __init__(self, encode_pieces, most: int = 300_000):
+    def __init__(self, encode_pieces, most: int = 500_000):
         self.encode_pieces, self.most = encode_pieces, most
         self.tails: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One byte string per text: the encodings of its pieces in order."""
-        if len(self.tails) > self.most:
-            self.tails = {}
-        tails, cuts, wanted, others = self.tails, [], set(), []
-        for text in texts:
-            head, rest = cut(text)
-            whole = [head] if rest or not head else chunks(head)
-            cuts.append((len(others), len(others) + len(whole), rest))
-            others += whole
-            wanted.update(rest)
-        new = [w for w in wanted if w not in tails]
-        tails.update(zip(new, self.encode_pieces([" " + w for w in new])))
-        own = dict.fromkeys(others)
-        own = dict(zip(own, self.encode_pieces(list(own))))
-        get, got = tails.__getitem__, own.__getitem__
-        return [b"".join(map(got, others[a:b])) + b"".join(map(get, rest)) for a, b, rest in cuts]
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        even = [bool(t) and can_cut(t) for t in texts]
+        # Words of all even texts, as numbers of the block's distinct words.
+        words = pc.split_pattern(pa.array([t for t, e in zip(texts, even) if e], pa.large_string()), " ")
+        numbered = words.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        tails = self.tails
+        found = list(map(tails.get, distinct))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(missing, self.encode_pieces([" " + distinct[k] for k in missing])):
+            found[k] = tails[distinct[k]] = ids
+        # A text's first word has no blank before it; other texts are pieces of their own.
+        first = words.offsets.to_numpy()
+        heads = words.flatten().take(pa.array(first[:-1])).to_pylist()
+        whole = [chunks(t) for t, e in zip(texts, even) if not e]
+        own = list(dict.fromkeys([*heads, *(c for one in whole for c in one)]))
+        own = dict(zip(own, self.encode_pieces(own)))
+
+        place = numbered.indices.to_numpy().astype(np.int64)
+        place[first[:-1]] = len(distinct) + np.arange(len(heads))
+        known = pa.array([*found, *map(own.__getitem__, heads)], pa.large_binary())
+        taken = known.take(pa.array(place))
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(place) + 1][first].tolist()
+        data = memoryview(data) if data is not None else memoryview(b"")
+        cut = (bytes(data[a:b]) for a, b in zip(ends, ends[1:]))
+        rest = (b"".join(map(own.__getitem__, one)) for one in whole)
+        out = [next(cut) if e else next(rest) for e in even]
+        if len(tails) > self.most:
+            self.tails = dict(zip(distinct, found))
+        return out

@@ -14,6 +14,8 @@ manifest, so a repeated task can't damage a shard; left-over files are never rea
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.files import create, mapped
@@ -25,11 +27,11 @@ END_ID = 2
 NO_ID = -(2**63)
 BLOCK_BYTES = 8 << 20
 #: Encodings a worker keeps from task to task; later words are encoded wherever they occur.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 SHARD = "shard int, stem string, width int, n_docs long, n_tokens long"
 
 
-def tokenizers_encoder(definition: str, width: int):
+def tokenizers_encoder(definition: str, width: int, special_as_text: bool = False):
     """Function from pieces to encodings as bytes, by the tokenizers library.
 
     A piece of letters, with or without a blank before and a comma or full stop behind,
@@ -45,7 +47,7 @@ def tokenizers_encoder(definition: str, width: int):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     model, dtype = tokenizer.model, np.dtype(f"<u{width}")
     steps = json.loads(definition)
     plain = (
@@ -57,6 +59,7 @@ def tokenizers_encoder(definition: str, width: int):
     # for the characters from 256 on, in order.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    blank = chr(alphabet[ord(" ")])
     words: dict[str, bytes] = {}
 
     def whole(texts: list[str]) -> list[bytes]:
@@ -73,7 +76,10 @@ def tokenizers_encoder(definition: str, width: int):
             if plain and (word[1:] if word[:1] == " " else word).isalpha():
                 ids = words.get(word)
                 if ids is None:
-                    spelled = word.encode().decode("latin-1").translate(alphabet)
+                    if word.isascii():
+                        spelled = blank + word[1:] if word[0] == " " else word
+                    else:
+                        spelled = word.encode().decode("latin-1").translate(alphabet)
                     ids = b"".join([t.id.to_bytes(width, "little") for t in model.tokenize(spelled)])
                     if len(words) < KEPT_WORDS:
                         words[word] = ids
@@ -95,12 +101,15 @@ def write_token_files(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
+    special_as_text: bool = False,
 ) -> DataFrame:
     """Encode whole texts in ascending id order into ``path``; returns the manifest.
 
     ``definition`` is the tokenizer's JSON text. ``end_id`` ends each document; null and
     empty texts consist of it alone. Rows without an id come first; equal ids keep an
     arbitrary order. An empty table gives an empty manifest. Other columns are ignored.
+    A special token spelled in a text becomes its id, as the library does by default, or
+    stays ordinary text with ``special_as_text``. Added tokens must hold no white space.
     """
     import hashlib
     import json
@@ -108,10 +117,12 @@ def write_token_files(
     spark = docs.sparkSession
     model = json.loads(definition)
     most = max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model.get("added_tokens", []))])
+    if any(re.search(r"\s", t["content"]) for t in model.get("added_tokens", [])):
+        raise ValueError("an added token holds white space: texts can't be cut at blanks")
     width = 2 if most < 2**16 else 4
     shared = spark.sparkContext.broadcast(definition)
 
-    key = f"tokenizer {hashlib.sha256(definition.encode()).hexdigest()} {width}"
+    key = f"pieces {hashlib.sha256(definition.encode()).hexdigest()} {width} {special_as_text}"
 
     def write(batches):
         import uuid
@@ -126,7 +137,7 @@ def write_token_files(
             if not block.num_rows:
                 continue
             if cache is None:
-                cache = PieceCache(once_per_worker(key, lambda: tokenizers_encoder(shared.value, width)))
+                cache = once_per_worker(key, lambda: PieceCache(tokenizers_encoder(shared.value, width, special_as_text)))
                 shard = TaskContext.get().partitionId()
                 stem = f"{shard:08d}-{uuid.uuid4().hex}"
                 ids = create(f"{path}/{stem}.ids")
