@@ -226,13 +226,21 @@ def train(given: list[str], made: int = MADE_PAGES, seed: int = 5) -> Model:
 def fit(
     pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES, longest: int = SAMPLE_CHARS, made: int = MADE_PAGES
 ) -> Model:
-    """Model trained on at most ``sample`` pages of at most ``longest`` characters, of least hash."""
+    """Model trained on at most ``sample`` pages of at most ``longest`` characters, of least hash.
+
+    Hashes are picked first, then the pages that bear them, so the driver gets ``sample``
+    hashes of each task and one page of each hash picked.
+    """
     text = text_of(html_col)
-    chosen = (
-        pages.select(text.alias("html")).filter((F.char_length("html") <= longest) & (F.col("html") != ""))
-        .orderBy(F.xxhash64("html"), "html").limit(sample)
+    hashed = (
+        pages.select(F.xxhash64(text).alias("hash"), text.alias("html"))
+        .filter((F.char_length("html") <= longest) & (F.col("html") != ""))
     )
-    return train([r.html for r in chosen.collect()], made)
+    picked = [r.hash for r in hashed.select("hash").distinct().orderBy("hash").limit(sample).collect()]
+    if not picked:
+        return train([], made)
+    chosen = hashed.filter(F.col("hash") <= picked[-1]).groupBy("hash").agg(F.min("html").alias("html"))
+    return train([r.html for r in sorted(chosen.collect())], made)
 
 
 def texts(model: Model, given: list[str]) -> list[str]:
