@@ -3,7 +3,8 @@
 import random
 from collections import Counter
 
-from tidemark.llm.bag_minhash import near_groups
+from tidemark.llm import bag_minhash
+from tidemark.llm.bag_minhash import near_groups, one_of_each_group
 
 
 def jaccard(a, b):
@@ -82,3 +83,43 @@ def test_many_unlinked_in_one_bucket(spark):
     rows = [(i, " ".join(common + [f"r{rng.randrange(10**6)}" for _ in range(45)])) for i in range(60)]
     got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id").collect()
     assert sorted(tuple(r) for r in got) == brute(rows, 0.8)
+
+
+def test_small_blocks_and_chunks(spark, monkeypatch):
+    """The same classes when every bucket takes many cells and every pivot many chunks."""
+    monkeypatch.setattr(bag_minhash, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(bag_minhash, "CHUNK", 2)
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(160)]
+    rows = [(i, " ".join(common + [f"r{rng.randrange(14)}{k}" for k in range(28)])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 0.8)
+    assert 1 < len({c for _, c in want})
+    assert sorted(tuple(r) for r in near_groups(docs).select("doc_id", "class_id").collect()) == want
+
+
+def test_family_around_a_base_takes_one_comparison_each(spark, monkeypatch):
+    """Copies of one base, near to it but hardly to each other: pairs grow with the members."""
+    seen = []
+    plain = bag_minhash.linked
+    monkeypatch.setattr(bag_minhash, "linked", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    for n in (100, 200, 400):
+        rng = random.Random(n)
+        base = [f"b{i}" for i in range(300)]
+        rows = [(0, " ".join(base))]
+        for i in range(1, n):
+            copy = list(base)
+            for _ in range(6):
+                copy[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(copy)))
+        seen.clear()
+        got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).select("class_id").distinct().collect()
+        assert [r.class_id for r in got] == [0]
+        assert sum(seen) < 4 * n
+
+
+def test_one_row_of_each_class(spark):
+    rows = [(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "y"), (None, "only null", "z"), (None, "only null", "z"), (9, None, "w"), (8, "", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _own string")
+    got = sorted((tuple(r) for r in one_of_each_group(docs).collect()), key=str)
+    assert got == sorted([(1, "a b c d e f", "y"), (None, "only null", "z"), (8, "", "v")], key=str)

@@ -365,8 +365,8 @@ def near_groups(
         popular.join(single.select("uid", "size"), "uid").withColumn("component", F.col("uid")), "labels"
     )
     wanted = labels.select("uid").join(sketched.select("uid", "digest"), "uid")
-    # Equal digests are in one partition after the join.
-    texts = named.select("digest", "text").join(wanted, "digest").dropDuplicates(["digest"])
+    # Copies are reduced before the shuffle, so a common text is no task's burden.
+    texts = named.groupBy("digest").agg(F.min("text").alias("text")).join(wanted, "digest")
     bag = bag_table(texts, words)
 
     ends = sorted({0, 1, bands // 9, bands // 3, bands})
@@ -417,12 +417,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     groups = near_groups(docs, id_col, text_col, **options)
     first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "digest")).alias("first")
-    digest, kept = fresh(docs, "_digest"), fresh(docs, "_kept")
+    digest, kept, own = fresh(docs, "_digest"), fresh(docs, "_kept"), fresh(docs, "_own")
     chosen = groups.groupBy("class_key").agg(first).select(F.col("first.digest").alias(digest), F.col("first.id").alias(kept))
+    # Copies differ in id, so a common text is spread over tasks.
     return (
-        docs.withColumn(digest, F.unhex(F.md5(text_of(text_col).cast("binary"))))
-        .join(chosen, digest)
-        .filter(F.col(id_col).eqNullSafe(F.col(kept)))
+        docs.withColumn(own, F.unhex(F.md5(text_of(text_col).cast("binary"))))
+        .join(chosen, (F.col(own) == F.col(digest)) & F.col(id_col).eqNullSafe(F.col(kept)))
         .dropDuplicates([digest])
         .select(*[f"`{c}`" for c in docs.columns])
     )
