@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import dups, gates, nearpairs, ordering, uniquify
-from tidemark.plans.dedupe import REPORT_IDS, first_with_ids, report_members
+from tidemark.plans.dedupe import report_members
 from tidemark.session import cut_lineage
 from tidemark.sources.tables import read_table
 from tidemark.spec import RecordSpec
@@ -25,8 +25,7 @@ def part(spark, folder):
 
 
 def cells(df, pos):
-    """Small cells, so that running sums cross many of them at every scale."""
-    return ordering.measure_buckets(df, pos, rows_per_bucket=100)
+    return ordering.measure_buckets(df, pos)
 
 
 def _keyed_docs(spark, folder, key):
@@ -58,8 +57,7 @@ def fingerprint_groups(spark, folder):
 )
 def fingerprint_members(spark, folder):
     rows = _kept_keys(spark, folder, text.fingerprint(F.col("text")))
-    # A low limit, so that salted keys take part in every check.
-    found = dups.members(rows, hot_rows=2)
+    found = dups.members(rows)
     return found.select(F.left("key", F.lit(16)).alias("hash"), F.col("id").alias("doc_id"), "n")
 
 
@@ -80,28 +78,41 @@ def first_sentence_groups(spark, folder):
 
 @query(
     f"""WITH fp AS ({_FP})
-    SELECT left(h, 16) AS hash, count(*) AS n, array_to_string(list_slice(list(doc_id ORDER BY doc_id), 1, 1000), ',') AS ids
-    FROM fp GROUP BY h HAVING count(*) > 1"""
+    SELECT left(h, 16) AS hash, n, nth, doc_id FROM (SELECT h, doc_id, count(*) OVER (PARTITION BY h) AS n,
+      row_number() OVER (PARTITION BY h ORDER BY doc_id) AS nth FROM fp) WHERE n > 1"""
 )
 def fingerprint_report(spark, folder):
+    """Entries of the report, one row per id."""
     rows = _kept_keys(spark, folder, text.fingerprint(F.col("text")))
-    return dups.group_heads(rows, REPORT_IDS).select(
-        F.left("key", F.lit(16)).alias("hash"), "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids")
+    return report_members(rows, cells(rows, "pos")).select(
+        F.left("key", F.lit(16)).alias("hash"), "n", "nth", F.col("id").alias("doc_id")
     )
 
 
 @query(
-    """SELECT left(p_name, 80) AS title, array_to_string(list_slice(list(p_partkey ORDER BY p_partkey), 1, 1000), ',') AS ids,
-      count(*) AS occurrences FROM part GROUP BY p_name HAVING count(*) > 1 ORDER BY min(p_partkey) LIMIT 50"""
+    """WITH g AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1 ORDER BY min(p_partkey) LIMIT 50)
+    SELECT left(p_name, 80) AS title, n AS occurrences, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS nth, p_partkey
+    FROM part JOIN g USING (p_name)"""
 )
 def title_report(spark, folder):
-    rows = dups.keyed(part(spark, folder), F.col("p_name"), "p_partkey", "p_partkey")
-    return first_with_ids(rows, 50).select(
-        F.left("key", F.lit(80)).alias("title"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"),
-        F.col("n").alias("occurrences"),
+    """Entries of the report's titles, one row per id."""
+    rows = cut_lineage(dups.keyed(part(spark, folder), F.col("p_name"), "p_partkey", "p_partkey"))
+    return report_members(rows, cells(rows, "pos"), 50).select(
+        F.left("key", F.lit(80)).alias("title"), F.col("n").alias("occurrences"), "nth", F.col("id").alias("p_partkey")
     )
 
 
+@query(
+    """WITH k AS (SELECT coalesce(CASE WHEN p_size % 7 > 0 THEN p_name END, '') AS title, p_partkey FROM part)
+    SELECT title, count(*) AS n, min(p_partkey) AS first_key FROM k GROUP BY 1 HAVING count(*) > 1"""
+)
+def missing_key_groups(spark, folder):
+    """Missing titles form one group, that of the empty title."""
+    title = F.when(F.col("p_size") % 7 > 0, F.col("p_name"))
+    found = dups.groups(dups.keyed(part(spark, folder), title, "p_partkey", "p_partkey"))
+    return found.select(F.col("key").alias("title"), "n", F.col("first_pos").alias("first_key"))
+
+
 @query(
     f"""WITH fp AS ({_FP})
     SELECT left(h, 16) AS hash, nth, doc_id FROM (SELECT h, doc_id, count(*) OVER (PARTITION BY h) AS n,
@@ -255,10 +266,11 @@ def unique_titles(spark, folder):
     rows = part(spark, folder).select(
         "p_partkey", F.when(F.col("p_size") != 7, F.col("p_name")).alias("title")
     )
+    found = cells(rows, "p_partkey")
     numbered = rows.join(
-        uniquify.record_numbers(rows, "p_partkey", cells(rows, "p_partkey")).withColumnRenamed("pos", "p_partkey"), "p_partkey"
+        uniquify.record_numbers(rows, "p_partkey", found).withColumnRenamed("pos", "p_partkey"), "p_partkey"
     )
-    return uniquify.unique_titles(numbered, "title", "p_partkey", "number", cells(rows, "p_partkey")).select(
+    return uniquify.unique_titles(numbered, "title", "p_partkey", "number", found).select(
         F.col("pos").alias("p_partkey"), F.col("final_name").alias("title")
     )
 

@@ -122,3 +122,26 @@ def test_report_names_all_members_of_large_groups(spark):
     assert [(r.key, r.nth, r.id) for r in got] == [("a", i + 1, f"r{2 * i}") for i in range(1300)]
     every = report_members(dups.keyed(df, F.col("k"), "pos", "id"), Buckets()).groupBy("key").count().collect()
     assert {r.key: r["count"] for r in every} == {"a": 1300, "b": 4}
+
+
+def test_report_lists_every_id_of_large_groups(spark):
+    from tidemark.plans import dedupe
+    from tidemark.spec import RECORDS
+
+    rows = spark.range(1700).selectExpr(
+        "id AS pos", "concat('P', id) AS id", "if(id < 1500, 'same', concat('t', id)) AS title", "concat('s', id) AS slug",
+        "concat('word', id) AS prompt", "'c' AS category")
+    found = dedupe.analyse(rows, RECORDS, Buckets(width=97)).report_ids()
+    titles = sorted((r.title, r.occurrences, r.nth, r.id) for r in found["titles"].collect())
+    assert titles == sorted(("same", 1500, k + 1, f"P{k}") for k in range(1500))
+    # Digits don't count towards fingerprints, so all texts are one group.
+    assert sorted(r.nth for r in found["fingerprints"].collect()) == list(range(1, 1701))
+    assert found["slugs"].count() == 0
+
+
+def test_members_of_salted_keys(spark):
+    rows = spark.range(3000).selectExpr("id AS pos", "id", "if(id % 3 = 0, 'hot', string(id % 50)) AS key")
+    sizes = {r.key: r[1] for r in rows.groupBy("key").count().collect()}
+    got = dups.members(rows, hot_rows=2).collect()
+    assert sorted(r.pos for r in got) == list(range(3000))
+    assert all(r.n == sizes[r.key] for r in got)

@@ -69,6 +69,16 @@ def test_random_titles_with_pins(spark, seed):
     assert run(spark, names, TITLES, buckets, pinned) == model(names, TITLES, pinned)
 
 
+def test_many_numbered_originals_of_one_name(spark):
+    """One name and its numbered forms, in many orders; chains of bases that lose their names."""
+    rng = random.Random(11)
+    names = ["item"] * 150 + [f"item-{k}" for k in range(1, 220)] * 2 + [f"item-{k}-1" for k in range(1, 40)]
+    names += ["x" + "-1" * k for k in range(5)] * 2
+    for order in (lambda n: 0, lambda n: n, lambda n: rng.random()):
+        mixed = sorted(names, key=order)
+        assert run(spark, mixed, SLUGS, Buckets(width=60)) == model(mixed, SLUGS)
+
+
 def test_hot_name_is_split(spark):
     df = spark.range(5000).select(F.col("id").alias("pos"), F.lit("same").alias("name"))
     out = unique_names(df, "name", "pos", SLUGS, buckets=Buckets(width=500))

@@ -90,23 +90,30 @@ def running_sum(
     Group columns must not be null; ``pos`` must be unique within a group, except
     that rows of weight 0 may share a position with others.
     """
-    weight = F.lit(1) if weight is None else weight
-    weight = weight.cast("long")
+    return running_sums(df, group, pos, {name: F.lit(1) if weight is None else weight}, buckets)
+
+
+def running_sums(
+    df: DataFrame, group: Sequence[str], pos: str, weights: dict[str, Column], buckets: Buckets
+) -> DataFrame:
+    """Like ``running_sum``, for several weights in the same shuffles: name -> weight."""
+    weights = {name: weight.cast("long") for name, weight in weights.items()}
     upto_here = (Window.unboundedPreceding, Window.currentRow)
     cell = [*group, "_bucket"]
     cells = df.withColumn("_bucket", buckets.of(F.col(pos)))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cells.groupBy(*cell)
-        .agg(F.sum(weight).alias("_cell_sum"))
-        .select(*cell, F.coalesce(F.sum("_cell_sum").over(before), F.lit(0)).alias("_offset"))
+        .agg(*[F.sum(w).alias(f"_sum_{name}") for name, w in weights.items()])
+        .select(*cell, *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_offset_{name}") for name in weights])
     )
     inside = Window.partitionBy(*cell).orderBy(pos).rowsBetween(*upto_here)
+    parts = [f"_{part}_{name}" for name in weights for part in ("inside", "offset")]
     return (
-        cells.withColumn("_inside", F.sum(weight).over(inside))
+        cells.withColumns({f"_inside_{name}": F.sum(w).over(inside) for name, w in weights.items()})
         .join(offsets, cell)
-        .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_bucket", "_inside", "_offset")
+        .withColumns({name: F.col(f"_inside_{name}") + F.col(f"_offset_{name}") for name in weights})
+        .drop("_bucket", *parts)
     )
 
 

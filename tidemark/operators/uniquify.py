@@ -10,22 +10,22 @@ The result equals that sequential rule, but without a task that sees a whole gro
   the record's ordinal among equal names (``running_sum``, safe for hot names).
 * Otherwise only the *distinct* numbered originals are looked at. Such an original
   either blocks its number for the requests that come later, or loses its name to a
-  request that came first. Both follow from how many requests precede it, which is
-  again a running sum. One sorted pass over (base, number) then fixes the blocked
-  numbers; requests skip them through a running count.
+  request that came first. Which of the two depends on how many smaller numbers of its
+  base are blocked, and on whether the base kept its own name. Both are unknown at
+  first, so they are bounded from below and above, and running sums narrow the bounds of
+  all bases at once until none is open (``_settle``). Requests then skip blocked numbers
+  through a running count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
-from ..session import cut_lineage
-from .ordering import Buckets, dense_buckets, join_per_key, measure_buckets, running_sum
+from ..session import cut_lineage, release
+from .ordering import Buckets, dense_buckets, join_per_key, measure_buckets, running_sum, running_sums
 
 
 @dataclass(frozen=True)
@@ -51,9 +51,6 @@ class NumberedForm:
             F.try_to_number(F.regexp_extract(name, pattern, 2), F.lit("9" * 18)).cast("long"),
         )
 
-    def root(self, name: Column) -> Column:
-        return F.regexp_replace(name, f"({self._suffix})+$", "")
-
     def render(self, base: Column, number: Column) -> Column:
         return F.concat(base, F.lit(self.left), number.cast("string"), F.lit(self.right))
 
@@ -62,41 +59,51 @@ SLUGS = NumberedForm("-", "", 1, "[1-9][0-9]{0,17}")
 TITLES = NumberedForm(" (", ")", 2, "[2-9]|[1-9][0-9]{1,17}")
 
 
-def _blocked_numbers(first: int):
-    """Pass over numbered originals sorted by (root, length of base, base, number).
+def _settle(marks: DataFrame) -> DataFrame:
+    """Numbered originals that requests reach: (name, base, slot, skipped, lost).
 
-    Shorter bases come first, so whether a base lost its own name is known before
-    its numbered forms are read. Memory holds only lost names of the current root.
+    ``marks`` (name, base, slot, before, base_rows, base_pinned) holds the distinct numbered
+    originals: slot is 1 for the first number, ``before`` counts the base's rows in front of
+    the original. With ``skipped`` blocked slots below it, the original meets request number
+    slot - skipped. That request came first, and takes the name, if it is among the base's
+    requests before the original; else the slot is blocked. Every round turns the
+    bounds of ``skipped`` into slots that are surely or possibly blocked, and sums those into
+    tighter bounds; a base's own fate bounds its number of requests by one. The smallest
+    open slot of a base whose base is settled closes in each round, so the rounds end;
+    slots beyond the last request are left out.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        root = base = None
-        lost: set[str] = set()
-        skipped = kept = requests = 0
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.root != root:
-                    root, base = r.root, None
-                    lost.clear()
-                if r.base != base:
-                    base, skipped = r.base, 0
-                    kept = 0 if (r.base_pinned or base in lost) else 1
-                    requests = r.base_rows - kept
-                slot = r.number - (first - 1)
-                hit = slot - skipped  # the request that would take this number
-                if hit > requests:
-                    continue
-                before = max(r.rows_before - kept, 0)  # requests earlier than this original
-                if hit > before:
-                    skipped += 1
-                    out.append((base, "blocked", hit - 1))
-                else:
-                    lost.add(r.name)
-                    out.append((r.name, "lost", 0))
-            yield pd.DataFrame(out, columns=["key", "what", "after"])
-
-    return run
+    state = marks.withColumns({
+        "low": F.lit(0).cast("long"), "high": F.col("slot") - 1, "lost": F.lit(False), "may_lose": F.lit(True),
+    })
+    kept = None
+    while True:
+        fate = state.select(F.col("name").alias("base"), F.col("lost").alias("base_lost"), F.col("may_lose").alias("base_may"))
+        # A base uses up one row for its own name unless it is pinned or loses it.
+        keeps = lambda lost: F.when(F.col("base_pinned") | F.coalesce(lost, F.lit(False)), 0).otherwise(1)
+        limit = lambda own: F.col("slot") - F.greatest(F.col("before") - F.col(own), F.lit(0))
+        bounded = (
+            state.join(fate, "base", "left")
+            .withColumns({"most_kept": keeps(F.col("base_lost")), "least_kept": keeps(F.col("base_may"))})
+            # The name is lost if at least this many slots are skipped.
+            .withColumns({"limit_high": limit("most_kept"), "limit_low": limit("least_kept")})
+        )
+        blocked = {"low": F.col("high") < F.col("limit_low"), "high": F.col("low") < F.col("limit_high")}
+        bounded = bounded.withColumns({f"{bound}_blocked": b.cast("long") for bound, b in blocked.items()})
+        sums = {f"{bound}_sum": F.col(f"{bound}_blocked") for bound in blocked}
+        bounded = running_sums(bounded, ["base"], "slot", sums, dense_buckets())
+        low = F.greatest("low", F.col("low_sum") - F.col("low_blocked"))
+        high = F.least("high", F.col("high_sum") - F.col("high_blocked"))
+        state = cut_lineage(
+            bounded.withColumns({"low": low, "high": high})
+            .withColumns({"lost": F.col("low") >= F.col("limit_high"), "may_lose": F.col("high") >= F.col("limit_low")})
+            .filter(F.col("slot") - F.col("high") <= F.col("base_rows") - F.col("least_kept"))
+            .select(*marks.columns, "low", "high", "lost", "may_lose"),
+            "numbered",
+            replaces=kept,
+        )
+        kept = state
+        if state.filter("low < high or lost <> may_lose").isEmpty():
+            return state.select("name", "base", "slot", F.col("low").alias("skipped"), "lost")
 
 
 def unique_names(
@@ -150,21 +157,19 @@ def unique_names(
         .filter(F.col("mark").isNotNull())
         .select(F.col("mark").alias("name"), "rows_before")
     )
-    sorted_marks = (
-        tangled.join(before, "name")
-        .select(
-            form.root(F.col("base")).alias("root"), "base", "number", "name",
-            "base_rows", "base_pinned", "rows_before",
-        )
-        .repartition("root")
-        .sortWithinPartitions("root", F.length("base"), "base", "number")
-    )
-    per_base = cut_lineage(
-        sorted_marks.mapInPandas(_blocked_numbers(form.first), "key string, what string, after long"), "per-base"
-    )
+    marked = cut_lineage(
+        tangled.join(before, "name").select(
+            "name", "base", (F.col("number") - (form.first - 1)).alias("slot"),
+            F.col("rows_before").alias("before"), "base_rows", "base_pinned",
+        ),
+        "marks",
+        replaces=tangled,
+    )
+    fates = _settle(marked)
+    release(marked)
 
     # Names whose first user does not keep them: lost to a request, or pinned.
-    losers = per_base.filter("what = 'lost'").select("key")
+    losers = fates.filter("lost").select(F.col("name").alias("key"))
     if pinned is not None:
         pinned_first = keys.filter(F.col("first_pinned") & (F.col("base_rows") > 0))
         losers = losers.unionByName(pinned_first.select("key")).distinct()
@@ -180,7 +185,11 @@ def unique_names(
         "key", "pos", "pinned", (F.col("ordinal") - F.col("kept")).alias("request")
     )
     # A blocked number after request v moves every request beyond v by one.
-    gaps = per_base.filter("what = 'blocked'").groupBy("key", "after").agg(F.count(F.lit(1)).alias("step"))
+    after = F.col("slot") - F.col("skipped") - 1
+    gaps = (
+        fates.filter("not lost").groupBy(F.col("base").alias("key"), after.alias("after"))
+        .agg(F.count(F.lit(1)).alias("step"))
+    )
     line = requests.select(
         "key", (F.col("request") * 2).alias("at"), F.lit(0).cast("long").alias("step"),
         "pos", "pinned", "request",

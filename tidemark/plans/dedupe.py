@@ -9,21 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import vocab
 from ..functions import text, variants as V
 from ..operators import dups, gates, nearpairs
-from ..operators.ordering import Buckets, dense_buckets, join_per_key, running_sum
+from ..operators.ordering import Buckets, dense_buckets, join_per_key, measure_buckets, running_sum
 from ..session import cut_lineage
 from ..sources import jsonl, sinks
 from ..spec import RECORDS, RecordSpec
 
 
-#: Ids a report entry lists; the members tables hold all of them.
-REPORT_IDS = 1000
-
-
-def first_with_ids(rows: DataFrame, n: int, ids: int = REPORT_IDS) -> DataFrame:
-    """The ``n`` duplicate groups seen first, in that order, with their first ids."""
-    return dups.group_heads(rows, ids).orderBy("first_pos").limit(n)
-
-
 def report_members(rows: DataFrame, buckets: Buckets, n: int | None = None) -> DataFrame:
     """(key, pos, id, n, first_pos, nth): all members, numbered in input order, of the groups a
     report names: the ``n`` seen first, or all. ``rows`` is read twice."""
@@ -41,6 +32,7 @@ class Duplicates:
     groups: dict[str, DataFrame]
     openings: DataFrame
     pairs: DataFrame
+    buckets: Buckets
 
     @property
     def status(self) -> DataFrame:
@@ -59,20 +51,27 @@ class Duplicates:
             "openings": self.openings.orderBy(F.col("uses").desc(), "opening").limit(n),
         }
 
-    def fingerprints(self) -> DataFrame:
-        """Every group of equal fingerprints: hash, count, first ids; not capped, so not one file."""
-        heads = dups.group_heads(self.keyed["fingerprint"], REPORT_IDS)
-        return heads.select(F.left("key", F.lit(16)).alias("hash"), F.col("n").alias("count"), "ids")
+    def report_ids(self) -> dict[str, DataFrame]:
+        """All ids of the report's entries, one row per id, numbered in input order: of every
+        fingerprint group, and of the title and slug groups that were seen first."""
+        n = vocab.REPORT_DETAILS_MAX
+
+        def listed(kind, label, entries, chars):
+            found = report_members(self.keyed[kind], self.buckets, entries)
+            return found.select(F.left("key", F.lit(chars)).alias(label), F.col("n").alias("occurrences"), "nth", "id")
+
+        return {
+            "fingerprints": listed("fingerprint", "hash", None, 16),
+            "titles": listed("title", "title", n, 80),
+            "slugs": listed("slug", "slug", n, 2**31 - 1),
+        }
 
     def details(self) -> dict[str, DataFrame]:
         """Capped report lists, in order of first appearance; openings by use."""
         n = vocab.REPORT_DETAILS_MAX
 
         sentences = dups.group_heads(self.keyed["first_sentence"], vocab.REPORT_SENTENCE_IDS_MAX, carry="sentence")
-        listed = lambda kind: first_with_ids(self.keyed[kind], n)
         return {
-            "titles": listed("title").select(F.left("key", F.lit(80)).alias("title"), "ids", F.col("n").alias("occurrences")),
-            "slugs": listed("slug").select(F.col("key").alias("slug"), "ids", F.col("n").alias("occurrences")),
             "sentences": sentences.orderBy("first_pos").limit(n).select(
                 "sentence", "ids", F.col("n").alias("occurrences")
             ),
@@ -99,6 +98,7 @@ def analyse(df: DataFrame, spec: RecordSpec = RECORDS, buckets: Buckets | None =
     """Findings over ``df``. Starts jobs: keys and candidate pairs are computed and kept. Keys are made from the texts once and kept as narrow rows."""
     keys = dups.key_columns(spec)
     opening = text.first_words(F.coalesce(F.col(spec.text), F.lit("")))
+    buckets = buckets or measure_buckets(df, spec.pos)
     narrow = cut_lineage(
         df.select(
             F.col(spec.pos).alias("pos"), F.col(spec.id).alias("id"),
@@ -113,6 +113,7 @@ def analyse(df: DataFrame, spec: RecordSpec = RECORDS, buckets: Buckets | None =
         groups={kind: dups.groups(rows) for kind, rows in keyed.items()},
         openings=dups.overused(narrow, "opening"),
         pairs=nearpairs.near_pairs(df, spec, buckets=buckets),
+        buckets=buckets,
     )
 
 
@@ -121,7 +122,7 @@ def run(spark: SparkSession, source: str, target: str) -> str:
     frame = record_frame(jsonl.read_records(spark, source)).persist()
     try:
         found = analyse(frame, buckets=dense_buckets())
-        sinks.write_duplicate_report(found.status, found.details(), found.fingerprints(), found.members(), target)
+        sinks.write_duplicate_report(found.status, found.details(), found.report_ids(), found.members(), target)
         for kind, groups in found.groups.items():
             groups.write.parquet(f"{target}/groups/{kind}")
         found.pairs.write.parquet(f"{target}/pairs")

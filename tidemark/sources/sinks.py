@@ -87,11 +87,12 @@ def write_validation_report(summary: DataFrame, found: DataFrame, path: str, sho
     found.write.parquet(f"{path}/violations")
 
 
-def write_duplicate_report(summary: DataFrame, sections: dict[str, DataFrame], fingerprints: DataFrame, members: dict[str, DataFrame], path: str) -> None:
-    """Summary, one capped detail list per section, all fingerprint groups, and all members in long form."""
+def write_duplicate_report(summary: DataFrame, sections: dict[str, DataFrame], ids: dict[str, DataFrame], members: dict[str, DataFrame], path: str) -> None:
+    """Summary, one capped list per section, the ids of entries and all members in long form."""
     summary.coalesce(1).write.json(f"{path}/summary")
     for name, section in sections.items():
         section.coalesce(1).write.json(f"{path}/{name}")
-    fingerprints.write.json(f"{path}/fingerprints")
+    for name, rows in ids.items():
+        rows.write.json(f"{path}/{name}")
     for name, rows in members.items():
         rows.write.parquet(f"{path}/members/{name}")
