@@ -119,14 +119,18 @@ def unique_names(
     ``name`` must not be null. ``pinned`` rows take their name as it is, even when it
     is taken, and make it taken for others.
     """
-    buckets = buckets or measure_buckets(df, pos)
     fixed = F.lit(False) if pinned is None else pinned
-    rows = df.select(F.col(name).alias("key"), F.col(pos).alias("pos"), fixed.alias("pinned"))
+    # Names and their counts are made once and read several times.
+    rows = cut_lineage(df.select(F.col(name).alias("key"), F.col(pos).alias("pos"), fixed.alias("pinned")), "names")
+    buckets = buckets or measure_buckets(rows, "pos")
     asks = (~F.col("pinned")).cast("long")
-    keys = rows.groupBy("key").agg(
-        F.sum(asks).alias("base_rows"),
-        F.min("pos").alias("first_pos"),
-        F.min_by("pinned", "pos").alias("first_pinned"),
+    keys = cut_lineage(
+        rows.groupBy("key").agg(
+            F.sum(asks).alias("base_rows"),
+            F.min("pos").alias("first_pos"),
+            F.min_by("pinned", "pos").alias("first_pinned"),
+        ),
+        "keys",
     )
 
     # Numbered originals whose base also occurs and can hand out numbers.
