@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark import vocab
 from tidemark.functions import text
-from tidemark.operators import index as idx, search
+from tidemark.operators import index as idx, lookups, search
+from tidemark.session import scratch_dir
 from tidemark.sources.tables import read_table
 
 from . import query, sqltext as q
@@ -176,3 +177,27 @@ def text_keys(spark, folder):
         "doc_id", F.md5(text.slugify(F.col("text"))).alias("slug"), text.first_words(F.col("text")).alias("opening"),
         F.md5(text.token_bag(F.col("text"))).alias("bag"),
     )
+
+
+@query(_search_sql("contains(haystack, 'src1')", "pos"))
+def search_by_postings(spark, folder):
+    """Free text through posting lists written from all documents."""
+    path = scratch_dir(spark, "text-index")
+    lookups.write_text_index(compact(spark, folder), path)
+    return _found(search.page(lookups.search_text(spark, path, search.Query(" SRC1"))))
+
+
+@query("SELECT doc_id AS id, lang AS category, md5(text) AS digest FROM documents WHERE doc_id = 77")
+def point_lookup_by_bucket(spark, folder):
+    path = scratch_dir(spark, "lookup")
+    docs = read_table(spark, f"{folder}/documents.parquet")
+    lookups.write_lookup(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("lang").alias("category"), "text"), path)
+    return lookups.look_up(spark, path, 77).select("id", "category", F.md5("text").alias("digest"))
+
+
+@query(_search_sql("true", "q DESC, pos", offset=96))
+def page_by_rank(spark, folder):
+    """The third page by quality, a range of materialised ranks."""
+    path = scratch_dir(spark, "ranks")
+    lookups.write_ranks(compact(spark, folder), path)
+    return _found(lookups.ranked_page(spark, path, "quality", 2))

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import index as idx, search
+from tidemark.operators import lookups, index as idx, search
 from tidemark.plans import cleanup, dedupe, publish, validate
 from tidemark.sources import jsonl, manifest
 from tidemark.streaming import ingest
@@ -104,6 +104,13 @@ def test_jobs_follow_each_other(spark, folder, tmp_path):
 def test_publish_search_and_lookup(spark, folder, tmp_path):
     out = str(tmp_path / "site")
     publish.run(spark, folder, out)
+    whole = spark.read.parquet(f"{out}/index")
+    first = whole.orderBy("pos").first()
+    wanted = search.Query(first.t[:8])
+    assert lookups.search_text(spark, f"{out}/text", wanted).count() == search.matching(whole, wanted).count() > 0
+    assert lookups.look_up(spark, f"{out}/lookup", first.id).first().pos == first.pos
+    page = lookups.ranked_page(spark, f"{out}/ranks", "az").orderBy("rank")
+    assert [r.pos for r in page.collect()] == [r.pos for r in search.page(whole, "az").collect()]
     index = spark.read.parquet(f"{out}/index")
     assert index.count() == 40
     q = search.Query("  Navigation bar number 1 ", {"category": "ecommerce", "difficulty": None})

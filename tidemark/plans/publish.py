@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab
 from ..functions import variants as V
-from ..operators import index as idx, profile
+from ..operators import index as idx, lookups, profile
 from ..sources import jsonl, manifest, sinks
 
 STRINGS = (
@@ -46,7 +46,11 @@ def run(
     records = typed_records(jsonl.read_records(spark, source)).persist()
     try:
         sinks.write_flat_index(records, f"{target}/flat", version, generated_at)
-        sinks.write_compact_index(idx.compact_items(records), f"{target}/index")
+        compact = idx.compact_items(records)
+        sinks.write_compact_index(compact, f"{target}/index")
+        lookups.write_text_index(compact, f"{target}/text")
+        lookups.write_ranks(compact, f"{target}/ranks")
+        lookups.write_lookup(records, f"{target}/lookup")
         sinks.write_by_category(records, f"{target}/records")
         sinks.write_dimension_and_stats(records, idx.category_dimension(spark), target)
         profile.record_profile(records).write.json(f"{target}/profile")
