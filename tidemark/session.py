@@ -15,13 +15,16 @@ REQUIRED = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+#: Rows may be whole texts, so batches that go to Python are bounded in bytes, not in rows alone.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 _own_folder: list[str] = []
 _scratch: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings that results depend on to a running session."""
-    for key, value in REQUIRED.items():
+    """Apply the settings that results and bounded memory depend on to a running session."""
+    for key, value in {**REQUIRED, **BOUNDS}.items():
         spark.conf.set(key, value)
     return spark
 
