@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import index as idx, profile
+from tidemark.operators import index as idx, profile, sketches
 from tidemark.sources import manifest
 from tidemark.sources.tables import read_table
 
@@ -228,3 +228,36 @@ def dimension_lookup(spark, folder):
     asked = F.col("c_nationkey") + F.when(F.col("c_custkey") % 10 == 0, 100).otherwise(0)
     rows = _table(spark, folder, "customer").select("c_custkey", "c_name", asked.alias("c_nationkey"))
     return idx.with_label(rows, "c_nationkey", names, "nation_label", "NATION_0").drop("c_nationkey")
+
+
+@query(
+    """SELECT p_brand AS brand, facet, value, n, rank, CAST(total AS BIGINT) AS total FROM (
+      SELECT *, row_number() OVER (PARTITION BY p_brand, facet ORDER BY n DESC, value) AS rank,
+        sum(n) OVER (PARTITION BY p_brand, facet) AS total
+      FROM (SELECT p_brand, 'type' AS facet, p_type AS value, count(*) AS n FROM part WHERE p_type <> '' GROUP BY 1, 3
+        UNION ALL SELECT p_brand, 'name', p_name, count(*) FROM part WHERE p_name <> '' GROUP BY 1, 3
+        UNION ALL SELECT p_brand, 'size', CAST(p_size AS VARCHAR), count(*) FROM part WHERE p_size IS NOT NULL GROUP BY 1, 3))
+    WHERE rank <= 5"""
+)
+def top_distributions(spark, folder):
+    """The five most frequent types, names and sizes of each brand."""
+    facets = {"type": F.col("p_type"), "name": F.col("p_name"), "size": F.col("p_size")}
+    return sketches.top_distribution(part(spark, folder), "p_brand", facets, 5).withColumnRenamed("p_brand", "brand")
+
+
+@query(
+    """SELECT count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_returnflag) AS flags,
+      true AS orders_close, true AS parts_close, true AS flags_close FROM lineitem"""
+)
+def sketched_distincts(spark, folder):
+    """Distinct counts merged from one sketch per return flag lie within four standard errors."""
+    lines = _table(spark, folder, "lineitem")
+    columns = {"orders": F.col("l_orderkey"), "parts": F.col("l_partkey"), "flags": F.col("l_returnflag")}
+    kept = sketches.distinct_sketches(lines, columns, ["l_returnflag"])
+    merged = sketches.estimated(sketches.merge_sketches(kept, list(columns)), list(columns))
+    exact = profile.distinct_counts(lines, columns)
+    close = [
+        (F.abs(merged.select(c).scalar() / F.col(c) - 1) <= 4 * sketches.distinct_error()).alias(f"{c}_close")
+        for c in columns
+    ]
+    return exact.select(*columns, *close)
