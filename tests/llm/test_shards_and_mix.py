@@ -96,3 +96,20 @@ def test_mixed_documents_keep_columns(spark):
     words = out.selectExpr("sum(size(filter(split(text, '[ \\t-\\r]+'), w -> w <> '')))").first()[0]
     total = sum(len((t or "").split()) for _, t, *_ in rows_of())
     assert 0.7 * total < words < 1.3 * total
+
+
+def test_copies_of_equal_rows_are_exact(spark, monkeypatch):
+    """1,000 equal rows of which a part is taken come out as often as the mix says."""
+    monkeypatch.setattr("tidemark.llm.mixing.ROWS_PER_COPY_CELL", 64)
+    rows = [(7, "one two", "a", i % 3, "x", "y") for i in range(1000)] + [(None, "six", "a", 1, "x", "y")] * 33
+    rows += [(100 + i, "word " * 40, "b", 1, "x", "y") for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = {}
+    for r in mix(docs).collect():
+        if r.size:
+            want[r.doc_id] = want.get(r.doc_id, 0) + (2 * r.taken + r.size) // (2 * r.size)
+    got = {r.doc_id: r["count"] for r in mixed_documents(docs).groupBy("doc_id").count().collect()}
+    assert got == {k: n for k, n in want.items() if n}
+    # Shares differ by one copy at most.
+    assert want[7] % 1000, "the case must need an uneven share"
+    assert sum(n for n in got.values()) > 0

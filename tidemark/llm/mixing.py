@@ -11,7 +11,7 @@ No task sees a whole source: windows run over (source, cell).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.registry import cells_for, fresh, query, table
 from tidemark.session import cut_lineage
@@ -22,6 +22,8 @@ WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 SEED = "mix-1"
 ROWS_PER_CELL = 50_000
+#: Rows of equal id and text that are numbered in one task.
+ROWS_PER_COPY_CELL = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -167,7 +169,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each repeated as often as it is taken.
 
     A document on the cut is kept if at least half of it is taken; rows of equal id and
-    text share their copies. Columns are those of ``docs``.
+    text share the copies of all of them, so the mix has exactly as many. Columns are those of ``docs``.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     taken = mix(docs, **options)
@@ -177,8 +179,29 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.sum(whole).alias(copies), F.count("*").alias(nth)
     )
     of_text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    joined = docs.join(
-        wanted.filter(F.col(copies) > 0), F.col(id_col).eqNullSafe(F.col(name)) & (of_text == F.col(key))
+    wanted = cut_lineage(wanted.filter(F.col(copies) > 0), "wanted")
+    each, rest = F.call_function("div", F.col(copies), F.col(nth)), F.col(copies) % F.col(nth)
+
+    def rows_of(these: DataFrame) -> DataFrame:
+        return docs.join(these, F.col(id_col).eqNullSafe(F.col(name)) & (of_text == F.col(key)))
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        wide = rows.withColumn(copies, times).filter(F.col(copies) > 0)
+        repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+        return wide.withColumn(nth, repeats).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    # Copies that equal rows can't share evenly: the first rows, in cells, get one more.
+    row, cell, before = (fresh(docs, c) for c in ("_row", "_cell", "_before"))
+    uneven = cut_lineage(rows_of(wanted.filter(rest > 0)).withColumn(row, F.monotonically_increasing_id()), "uneven")
+    uneven = uneven.withColumn(cell, F.call_function("div", F.col(row), F.lit(ROWS_PER_COPY_CELL)))
+    group = [name, key]
+    earlier = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    bases = uneven.groupBy(*group, cell).agg(F.count("*").alias(before))
+    bases = bases.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0))).withColumnsRenamed(
+        {name: f"{name}b", key: f"{key}b", cell: f"{cell}b"}
     )
-    repeats = F.explode(F.sequence(F.lit(1), F.ceil(F.col(copies) / F.col(nth)).cast("int")))
-    return joined.withColumn(nth, repeats).select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.col(name).eqNullSafe(F.col(f"{name}b")) & (F.col(key) == F.col(f"{key}b")) & (F.col(cell) == F.col(f"{cell}b"))
+    place = F.row_number().over(Window.partitionBy(*group, cell).orderBy(row))
+    numbered = uneven.withColumn(row, place).join(bases, same)
+    more = (F.col(before) + F.col(row) <= rest).cast("long")
+    return repeated(rows_of(wanted.filter(rest == 0)), each).unionAll(repeated(numbered, each + more))
