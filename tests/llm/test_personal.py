@@ -4,6 +4,8 @@ import random
 import re
 import time
 
+import numpy as np
+
 from tidemark.llm import personal
 
 PATTERNS = [
@@ -170,3 +172,53 @@ def test_short_parts_of_a_number_are_no_repeats():
     graph, text = personal.Graph(), "+49 30 1234567 then words 30 then words 30 then words 49301234567"
     graph.add(0, text, personal.base_spans(text))
     assert [text[slice(*graph.spans[n][1:])] for n in sorted(graph.repeats)] == ["49301234567"]
+
+
+def test_every_base_span_of_a_token_counts():
+    for n in (1, 3, 4, 9):
+        text = "1.2.3.4;" * n + "a@b.co"
+        graph = personal.Graph()
+        graph.add(0, text, personal.base_spans(text))
+        assert graph.labels == [1]
+
+
+def enumerated(score, edges):
+    """Exact marginals: all labellings, weighed by node scores and tables of edges."""
+    n, k = score.shape
+    every = np.indices((k,) * n).reshape(n, -1)
+    weight = sum(score[i][every[i]] for i in range(n))
+    for i, j, table in edges:
+        weight = weight + table[every[i], every[j]]
+    p = np.exp(weight - weight.max())
+    return np.array([[p[every[i] == x].sum() for x in range(k)] for i in range(n)]) / p.sum()
+
+
+def test_beliefs_against_all_labellings():
+    """Exact where links make no loop; close where they do."""
+    rng = np.random.RandomState(9)
+    for case in range(24):
+        n, loops = rng.randint(2, 7), case % 3 == 2
+        graph = personal.Graph()
+        graph.features = [sorted(rng.choice(personal.N_FEATURES, 4, replace=False).tolist()) for _ in range(n)]
+        graph.labels = [int(rng.randint(1, personal.LABELS)) if rng.rand() < 0.25 else 0 for _ in range(n)]
+        graph.labels[0] = 0
+        for j in range(1, n):  # a tree, of chain and skip edges
+            i = int(rng.randint(0, j))
+            (graph.chain if i == j - 1 else graph.skip if rng.rand() < 0.5 else graph.match).append((i, j))
+        if loops and n > 2:
+            graph.skip.append((0, n - 1))
+        scale = 0.5 if loops else 1.5
+        skip = rng.standard_normal((personal.LABELS, personal.LABELS)) * scale
+        field = personal.Field(
+            rng.standard_normal((personal.N_FEATURES, personal.LABELS)),
+            rng.standard_normal((personal.LABELS, personal.LABELS)) * scale,
+            skip + skip.T,
+        )
+        score = personal.design(graph)[0].astype(float) @ field.nodes
+        for i, label in enumerate(graph.labels):
+            if label:
+                score[i] = np.where(np.arange(personal.LABELS) == label, 0.0, -1e4)
+        edges = [(i, j, field.chain) for i, j in graph.chain] + [(i, j, skip + skip.T) for i, j in graph.skip + graph.match]
+        want, got = enumerated(score, edges), personal.beliefs(graph, field)
+        hidden = [i for i in range(n) if not graph.labels[i]]
+        assert np.abs(want[hidden] - got[hidden]).max() < (0.15 if loops else 2e-3), case

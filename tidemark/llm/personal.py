@@ -160,9 +160,14 @@ class Graph:
         for i, (a, b) in enumerate(bounds):
             while j < len(base) and base[j][2] <= a:
                 j += 1
-            cover = [k for s, k, e in base[j : j + 4] if s < b and e > a]
-            under.append(1 + min(cover) if cover else 0)
-            if len(digits[i]) < 6 and not any(a <= s and e <= b for s, _, e in base[j : j + 4]):
+            # Only the few tokens of a number in groups share a span, so none is seen often.
+            over, n = [], j
+            while n < len(base) and base[n][0] < b:
+                if base[n][2] > a:
+                    over.append(base[n])
+                n += 1
+            under.append(1 + min(k for _, k, _ in over) if over else 0)
+            if len(digits[i]) < 6 and not any(a <= s and e <= b for s, _, e in over):
                 parts_only.add(first_node + i)
         alike = self.whole_numbers(text, bounds, digits, joined, base, first_node)
         places: dict[str, list[int]] = {}
