@@ -3,7 +3,8 @@
 import numpy as np
 
 from tidemark.llm.components import components
-from tidemark.llm.near_vectors import link_vectors
+from tidemark.llm.groups import blocks_of
+from tidemark.llm.near_vectors import link_vectors, shape_for
 from tidemark.llm.neighbours import nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node long, digest string"
@@ -117,3 +118,56 @@ def test_nearest_with_very_different_norms(spark):
         assert len(own) == 20 and all(abs(s[i] - v) <= 1e-9 * np.abs(x[i] * x[q]).sum() for i, v in own.items())
         hits += len(set(own) & set(np.argsort(-s)[:20].tolist()))
     assert hits >= 0.97 * 600
+
+
+def test_blocks_of_a_stream():
+    import pyarrow as pa
+
+    rng = np.random.RandomState(4)
+    keys = np.sort(rng.randint(0, 6, 500))
+    for step in (1, 7, 64, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + step]), pa.array(np.arange(a, min(a + step, 500)))], names=["k", "n"]) for a in range(0, 500, step)]
+        sizes, seen = {}, []
+        for table in blocks_of([batches[0].slice(0, 0), *batches], "k", 16):
+            own = set(table.column("k").to_pylist())
+            assert len(own) == 1 and table.num_rows < step + 32
+            sizes.setdefault(own.pop(), []).append(table.num_rows)
+            seen += table.column("n").to_pylist()
+        assert seen == list(range(500))
+        assert all(n % 16 == 0 for v in sizes.values() for n in v[:-1])
+    assert list(blocks_of([], "k", 16)) == []
+
+
+def test_codes_grow_with_the_nodes():
+    assert shape_for(0) == shape_for(51_282) == (24, 14)
+    p = 1 - np.arccos(0.98) / np.pi
+    for n in (10**6, 10**9, 10**12):
+        tables, bits = shape_for(n)
+        assert n / 2**bits <= 4096 * 2 and (1 - p**bits) ** tables <= 1e-5 and tables <= 300
+
+
+def test_components_whose_squares_do_not_fit(spark):
+    rng = np.random.RandomState(6)
+    rows = []
+    for i in range(120):
+        v = rng.standard_normal(6) + 4 * (np.arange(6) == i % 6)
+        rows.append((i, [float(x) for x in v * (1e200, 1e-200, 1.0)[i % 3]], i % 2))
+    rows += [(1000 + i, [3 * x for x in rows[i][1]], rows[i][2]) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x = np.array([r[1] for r in rows])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in link_vectors(df).collect()}
+    assert got == {r[0]: int(n) for r, n in zip(rows, near.sum(1))} and near.any()
+    # All of one size, small enough for products to fit: scores are those of brute force.
+    small = [(i, [x * 1e-150 for x in v], k) for i, v, k in rows if i % 3 == 2 and i < 1000]
+    found = nearest(spark.createDataFrame(small, df.schema), lambda c: c % 20 == 0, k=5).collect()
+    whole = {i: np.array(v) for i, v, _ in small}
+    for q in {r.query_id for r in found}:
+        best = sorted((-float(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in own] == [i for _, i in best]
+    assert len(found) == 5 * len([i for i in whole if i % 20 == 0])

@@ -23,6 +23,31 @@ def whole_groups(batches, key: str):
         yield held.combine_chunks()
 
 
+def blocks_of(batches, key: str, size: int):
+    """Tables of a stream sorted by ``key``: one key each and a multiple of ``size`` rows,
+    but for the last of a key. Between batches fewer than ``size`` rows are held."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        table = new if held is None else pa.concat_tables([held, new])
+        values, n = table.column(key).to_numpy(), table.num_rows
+        cuts = np.append(first_of(values), n).tolist()
+        held = None
+        for a, b in zip(cuts, cuts[1:]):
+            end = b if b < n else b - (b - a) % size
+            if end > a:
+                yield table.slice(a, end - a).combine_chunks()
+            if end < b:
+                held = table.slice(end)
+    if held is not None:
+        yield held.combine_chunks()
+
+
 def first_of(values):
     """Positions at which a sorted array takes a new value."""
     import numpy as np

@@ -10,6 +10,8 @@ spanning forest of its links, not the links.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.components import components
@@ -18,7 +20,10 @@ from tidemark.llm.registry import query, table
 from tidemark.session import cut_lineage
 
 LEAST = 0.98
-TABLES, BITS = 24, 14
+#: Chance that a link of cosine LEAST is in no bucket of any table.
+LOSS = 6e-6
+#: Bits of a code at least, and the nodes a bucket has on average at most.
+LEAST_BITS, BUCKET_NODES = 14, 4096
 BLOCK = 512
 SEED = 11
 
@@ -31,6 +36,14 @@ def usable(column: Column) -> Column:
     return column.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(column, lambda x: x != 0)
 
 
+def shape_for(nodes: int, least: float = LEAST, loss: float = LOSS) -> tuple[int, int]:
+    """(tables, bits): codes grow with the logarithm of the nodes, so that buckets of unlike
+    vectors keep their size, and tables with them, so that no more links are missed."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(nodes, 1) / BUCKET_NODES)))
+    meet = (1 - math.acos(least) / math.pi) ** bits
+    return math.ceil(math.log(loss) / math.log1p(-meet)), bits
+
+
 def planes(dims: int, tables: int, bits: int, seed: int):
     import numpy as np
 
@@ -50,6 +63,8 @@ def unit(lists, dims: int):
     import numpy as np
 
     x = lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), dims)
+    # Squares of very large or small components don't fit a double.
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -59,8 +74,7 @@ def link_vectors(
     vector_col: str = "embedding",
     label_col: str = "label",
     least: float = LEAST,
-    tables: int = TABLES,
-    bits: int = BITS,
+    loss: float = LOSS,
     block: int = BLOCK,
     seed: int = SEED,
 ) -> DataFrame:
@@ -88,6 +102,8 @@ def link_vectors(
         "nodes",
     )
 
+    tables, bits = shape_for(nodes.count(), least, loss)
+
     def bucket(batches):
         import numpy as np
         import pyarrow as pa

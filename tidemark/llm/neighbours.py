@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.groups import as_lists, first_of, rank_in_group, whole_groups
+from tidemark.llm.groups import as_lists, blocks_of, first_of, rank_in_group, whole_groups
 from tidemark.llm.near_vectors import usable
 from tidemark.llm.registry import query, table
 from tidemark.llm.wordhash import mix
@@ -42,7 +42,7 @@ def prepare_nodes(vectors: DataFrame, id_col: str, vector_col: str, keep_ids: in
     """(nodes: node, vector, raw; members: node, id, nth; rows: id, node).
 
     node is the row number of one of the equal vectors. raw is the norm, as a share of the
-    greatest one, in double precision and the vector of norm 1 in half precision, so norms
+    greatest component of all, in double precision and the vector of norm 1 in half precision, so norms
     may differ by any factor. members has the ``keep_ids`` smallest ids of a node.
     """
     rows = vectors.select(
@@ -52,8 +52,9 @@ def prepare_nodes(vectors: DataFrame, id_col: str, vector_col: str, keep_ids: in
     rows = rows.withColumn("dims", F.size("vector")).join(F.broadcast(common.select("dims")), "dims")
     rows = cut_lineage(rows.withColumn("digest", F.md5(F.to_json(F.struct("vector")).cast("binary"))), "ann-rows")
     nodes = rows.groupBy("digest").agg(F.min("row").alias("node"), F.first("vector").alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    most = nodes.agg(F.max(norm)).first()[0] or 1.0
+    # Greatest components instead of norms: their squares may not fit a double.
+    size = F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double"))))
+    most = nodes.agg(F.max(size)).first()[0] or 1.0
 
     def pack(batches):
         import numpy as np
@@ -62,8 +63,10 @@ def prepare_nodes(vectors: DataFrame, id_col: str, vector_col: str, keep_ids: in
         for batch in batches:
             lists = batch.column(2)
             x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+            sizes = np.abs(x).max(axis=1, keepdims=True)
+            x = x / sizes
             norms = np.linalg.norm(x, axis=1, keepdims=True)
-            shares = (norms / most).astype("<f8")
+            shares = (norms * (sizes / most)).astype("<f8")
             raw = pa.array([n.tobytes() + v.tobytes() for n, v in zip(shares, (x / norms).astype("<f2"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=["digest", "node", "vector", "raw"])
 
@@ -113,7 +116,7 @@ def first_lists(nodes: DataFrame, orders: int, leaf: int, seed: int) -> DataFram
         import numpy as np
         import pyarrow as pa
 
-        for block in whole_groups(batches, "turn"):
+        for block in blocks_of(batches, "turn", leaf):
             node = block.column("node").to_numpy()
             for a in range(0, len(node), 64 * leaf):
                 out = []
