@@ -75,3 +75,54 @@ def test_features_are_the_distinct_runs():
         together, cuts = one.of(["x y z", text, "p q"])
         alone, _ = one.of([text])
         assert together[cuts[1] : cuts[2]].tolist() == alone.tolist() == sorted(set(alone.tolist()))
+
+
+def plain_dual(x, y, cost, steps=60_000):
+    """Projected gradient on the dual of the hinge loss, with a constant last feature."""
+    x = np.hstack([x, np.ones((len(x), 1))]) * y[:, None]
+    gram = x @ x.T
+    rate, a = 1 / np.linalg.eigvalsh(gram)[-1], np.zeros(len(x))
+    for _ in range(steps):
+        a = np.clip(a - rate * (gram @ a - 1), 0, cost)
+    return x.T @ a, a
+
+
+def test_hinge_fit_is_the_optimum():
+    rng = np.random.RandomState(5)
+    for cost in (0.1, 1.0):
+        x = rng.standard_normal((40, 6)) * (rng.rand(40, 6) < 0.6)
+        y = np.where(x @ rng.standard_normal(6) + 0.7 * rng.standard_normal(40) > 0.2, 1.0, -1.0)
+        limits = np.where(y > 0, cost, 2 * cost)
+        rows = [np.flatnonzero(r) for r in x]
+        got = quality.hinge_fit(rows, [r[i] for r, i in zip(x, rows)], y, 6, limits, epochs=20_000)
+        want, _ = plain_dual(x, y, limits)
+
+        def loss(w):
+            return 0.5 * w @ w + (limits * np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))).sum()
+
+        assert loss(got) <= loss(want) * 1.005 + 1e-6 and np.abs(got - want).max() < 0.05
+
+
+def test_class_counts_and_ratios(spark):
+    """Counts of all labelled rows against sets of each text, and the weights made of them."""
+    docs, labels = corpus(200)
+    docs, labels = docs[:200], labels[:200]
+    bits, one = 12, quality.Features(12)
+    grams = {i: one.of([t])[0] for i, t, *_ in docs}
+    used = [(i, q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    counts, sizes = np.zeros((2, 1 << bits)), [0, 0]
+    for i, q in used:
+        counts[q][grams[i]] += 1
+        sizes[q] += 1
+    rows = spark.createDataFrame([(dict((i, t) for i, t, *_ in docs)[i], q) for i, q in used], "text string, label int").repartition(3)
+    got, got_sizes = quality.class_counts(rows, bits)
+    assert (got == counts).all() and list(got_sizes) == sizes
+    share = (counts + 1) / (counts + 1).sum(1, keepdims=True)
+    ratio = np.log(share[1] / share[0])
+    used.sort()
+    sign = np.array([2.0 * q - 1 for _, q in used])
+    cost = np.where(sign > 0, 1.0, max(1.0, sizes[1] / sizes[0]))
+    own = [grams[i] for i, _ in used]
+    weights = quality.hinge_fit(own, [ratio[g] / np.sqrt(len(g)) for g in own], sign, 1 << bits, cost)
+    model = quality.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), bits=bits)
+    assert np.allclose(model.weights, weights[:-1] * ratio, atol=1e-5) and abs(model.bias - weights[-1]) < 1e-9
