@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import profile
 from tidemark.session import scratch_dir
 from tidemark.sources import publication
-from tidemark.sources.tables import read_table
+from tidemark.sources.tables import read_table, stream_table
 from tidemark.streaming import counts, first_seen, ingest
 
 from . import query, sqltext as q
@@ -15,12 +15,7 @@ from .records import LINES, record_lines
 
 
 def _document_stream(spark, folder):
-    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(folder)
-    )
+    return stream_table(spark, f"{folder}/documents.parquet")
 
 
 def _fresh(spark) -> str:
@@ -43,8 +38,7 @@ def stream_unique_fingerprints(spark, folder):
 def stream_unique_events(spark, folder):
     """With a watermark: state of an event is dropped a year after it was last seen."""
     out = _fresh(spark)
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = stream_table(spark, f"{folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     content = F.concat("event_type", F.lit(" of "), F.char((F.col("user_id") % 26 + 97).cast("int")), F.lit("user"))
     unique = ingest.first_by_fingerprint(events, content, "ts", "365 days", spread_by=F.col("event_id")).select("fingerprint")
     ingest.table_sink(unique, f"{out}/rows", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
