@@ -123,3 +123,17 @@ def test_one_row_of_each_class(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _own string")
     got = sorted((tuple(r) for r in one_of_each_group(docs).collect()), key=str)
     assert got == sorted([(1, "a b c d e f", "y"), (None, "only null", "z"), (8, "", "v")], key=str)
+
+
+def test_bags_go_only_to_cells_with_pairs_to_verify(spark, monkeypatch):
+    """Members that meet in buckets, but that no sketch brings near each other, move no bag."""
+    met, plain = [], bag_minhash.cut_lineage
+    monkeypatch.setattr(bag_minhash, "cut_lineage", lambda df, label="cut", **more: (met.append((df.count(), df.columns)) if label == "met" else None) or plain(df, label, **more))
+    monkeypatch.setattr(bag_minhash, "BLOCK_ROWS", 16)
+    rng = random.Random(4)
+    # Only a third of the words are shared: many meet in bands of one row, none is near.
+    common = [f"c{i}" for i in range(70)]
+    rows = [(i, " ".join(common + [f"r{rng.randrange(10**6)}" for _ in range(130)])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_groups(docs, bands=36, rows=1).select("class_id").distinct().count()
+    assert got == 120 and [(n, "bag" in columns) for n, columns in met] == [(0, False)]

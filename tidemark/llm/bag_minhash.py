@@ -14,7 +14,8 @@ compared with one pivot, the member that meets most others in all bands, so that
 of a group share their pivot; only members of other components than the pivot's are, and
 components are merged before the next bands. A group of copies, however large, thus costs
 about one comparison a member. What buckets still hold of several components is compared in
-cells of two blocks of members, in memory: sketches rule pairs out, the others are verified
+cells of two blocks of members, in memory: sketches rule pairs out, and only the members left
+with a pair to look at get their bags for a second turn, which verifies those pairs
 unless the cell has linked their components already. No bucket is capped, no pair becomes a row, and, up
 to the chance of the bands, no link between components is lost. Every pair that counts is
 verified on whole bags.
@@ -40,7 +41,7 @@ TURNS = (1, 3, 12, 48)
 #: Standard errors by which a sketch may miss the least similarity: a chance of 1e-6.
 SLACK = 4.75
 #: Members and bytes of bags of a block, about; a longer bag is a block of its own.
-BLOCK_ROWS, BLOCK_BAGS = 256, 4 << 20
+BLOCK_ROWS, BLOCK_BAGS = 1024, 4 << 20
 #: Members compared with one pivot in one task.
 CHUNK = 256
 
@@ -225,12 +226,14 @@ def linked(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return both.select(*columns, "bag_a", "bag_b").mapInArrow(compare, pairs.schema)
 
 
-def links_in_cells(members: DataFrame, least: float) -> DataFrame:
+def links_in_cells(members: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between components: enough to connect all that the members' buckets link.
 
-    ``members`` (band, key, n, heavy, uid, component, size, sketch, keys, bag) are those of
+    ``members`` (band, key, n, heavy, uid, component, size, sketch, keys) are those of
     buckets of n members, with ``heavy`` bytes of bags. Buckets are cut into blocks by hash,
-    and each two blocks make a cell, so no task holds more than two blocks.
+    and each two blocks make a cell, so no task holds more than two blocks. A member is in as
+    many cells as its buckets have blocks; its bag goes only to those where it has a pair to
+    verify.
     """
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("heavy") / BLOCK_BAGS), F.lit(1)).cast("int")
     cut = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
@@ -238,26 +241,40 @@ def links_in_cells(members: DataFrame, least: float) -> DataFrame:
     celled = cut.withColumn("other", other).select(
         F.xxhash64("band", "key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
         F.when(F.col("part") < F.col("other"), 0).when(F.col("part") > F.col("other"), 1).otherwise(2).alias("side"),
-        "band", "key", "component", "size", "sketch", "keys", "bag",
+        "band", "uid", "component", "size", "sketch", "keys",
     )
 
-    def compare(batches):
+    def cells_of(batches):
         import numpy as np
-        import pyarrow as pa
 
         for cells in whole_groups(batches, "cell"):
             first = np.append(first_of(cells.column("cell").to_numpy()), cells.num_rows)
-            a, b = [], []
-            for k in range(len(first) - 1):
-                found = _links_in_cell(cells.slice(first[k], first[k + 1] - first[k]), least)
-                a += [x for x, _ in found]
-                b += [y for _, y in found]
+            for a, b in zip(first, first[1:]):
+                yield cells.slice(a, b - a)
+
+    def meet(batches):
+        for cell in cells_of(batches):
+            pairs = _chances(cell, least)
+            if pairs:
+                yield from cell.take(sorted({k for _, i, j in pairs for k in (i, j)})).to_batches()
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for cell in cells_of(batches):
+            found = _links_in_cell(cell, least)
+            a, b = ([f[k] for f in found] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return celled.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+    def by_cell(rows):
+        return rows.repartition("cell").sortWithinPartitions("cell")
 
+    met = cut_lineage(by_cell(celled).mapInArrow(meet, celled.schema), "met")
+    return by_cell(met.join(bags, "uid")).mapInArrow(compare, "a long, b long")
 
-def _links_in_cell(cell, least: float) -> list:
+
+def _chances(cell, least: float) -> list:
+    """(-estimate, i, j) of the pairs of rows that are looked at in this cell."""
     import numpy as np
 
     n = cell.num_rows
@@ -281,6 +298,13 @@ def _links_in_cell(cell, least: float) -> list:
         # A pair is looked at in the first bucket it shares.
         own = (keys[rest] == keys[i]).argmax(axis=1) == band[0]
         chances += [(-s, i, j) for s, j in zip(same[own].tolist(), rest[own].tolist())]
+    return chances
+
+
+def _links_in_cell(cell, least: float) -> list:
+    import numpy as np
+
+    component = cell.column("component").to_numpy()
     root: dict = {}
 
     def find(x):
@@ -296,7 +320,7 @@ def _links_in_cell(cell, least: float) -> list:
         return bags[i]
 
     out = []
-    for _, i, j in sorted(chances):
+    for _, i, j in sorted(_chances(cell, least)):
         a, b = find(int(component[i])), find(int(component[j]))
         if a != b and similarity(bag(i), bag(j)) >= least:
             root[a] = b
@@ -396,7 +420,7 @@ def near_groups(
     )
     rest = cut_lineage(rest.select("band", "key", "uid", "component", "size").join(several, ["band", "key"]), "rest")
     sketch = single.select("uid", "sketch", F.col("bands").alias("keys"))
-    links = cut_lineage(links_in_cells(rest.join(sketch, "uid").join(bag, "uid"), least).distinct(), "links")
+    links = cut_lineage(links_in_cells(rest.join(sketch, "uid"), bag, least).distinct(), "links")
     labels = _merged(labels, links)
 
     of_text = nodes.join(labels.select("uid", "component"), "uid", "left").select(
