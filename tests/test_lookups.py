@@ -73,3 +73,16 @@ def test_empty_index(spark, index, tmp_path):
     assert lookups.ranked_page(spark, f"{tmp_path}/ranks").count() == 0
     assert lookups.look_up(spark, f"{tmp_path}/lookup", "id1").count() == 0
     assert lookups.search_text(spark, f"{tmp_path}/text", search.Query("abc")).count() == 0
+
+
+def test_a_bucket_is_no_task_of_its_own(spark, tmp_path):
+    """Wide records of one bucket, a third of them of one id, are dealt over tasks by their bytes."""
+    wide = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id"), F.col("id").alias("pos"), F.repeat(F.lit("x"), 200).alias("text")
+    )
+    lookups.write_lookup(wide, str(tmp_path), per_task=60_000)
+    written = spark.read.parquet(f"{tmp_path}/of=1")
+    sizes = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 1000
+    assert lookups.look_up(spark, str(tmp_path), "hot").first().pos == 0
+    assert lookups.look_up(spark, str(tmp_path), "2999").first().pos == 2999

@@ -13,7 +13,7 @@ folder's name scheme (``of=N/bucket=K``), so readers need nothing else to find t
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
 
 from .. import vocab
 from ..session import cut_lineage, release
@@ -22,6 +22,8 @@ from .search import SORTS, Query, _order, matching
 GRAM = 3
 ROWS_PER_BUCKET = 500_000
 ROWS_PER_BLOCK = 50_000
+#: Bytes of records that one task sorts and writes, about.
+BYTES_PER_TASK = 64 << 20
 
 
 def _buckets_for(rows: int, per_bucket: int) -> int:
@@ -32,6 +34,20 @@ def _bucket(key: Column, n: Column | int) -> Column:
     return F.pmod(F.xxhash64(key), n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: its texts and 8 for each other plain value; nested ones as JSON."""
+    plain, nested = F.lit(0).cast("long"), []
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            plain = plain + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        elif isinstance(kind, (ArrayType, MapType, StructType, VariantType)):
+            nested.append(F.col(f"`{field.name}`"))
+        else:
+            plain = plain + F.lit(8)
+    return plain + F.octet_length(F.to_json(F.struct(*nested))) if nested else plain
+
+
 def _write_shape(df: DataFrame, path: str) -> None:
     """A table of no rows that tells readers the columns, also of an empty collection."""
     df.limit(0).write.parquet(f"{path}/columns")
@@ -96,13 +112,21 @@ def search_text(spark: SparkSession, path: str, query: Query) -> DataFrame:
     return out.drop("of", "cell")
 
 
-def write_lookup(records: DataFrame, path: str, id: str = "id", per_bucket: int = ROWS_PER_BUCKET) -> None:
-    """Records in buckets by hash of the id. Null ids can't be looked up and are left out."""
+def write_lookup(
+    records: DataFrame, path: str, id: str = "id", pos: str = "pos", per_bucket: int = ROWS_PER_BUCKET, per_task: int = BYTES_PER_TASK
+) -> None:
+    """Records in buckets by hash of the id. Null ids can't be looked up and are left out.
+
+    Tasks take ranges of (bucket, id, pos) of about ``per_task`` bytes: a bucket of wide
+    records, or a common id, is several files, each sorted by id. ``pos`` tells records apart.
+    """
     _write_shape(records, path)
-    buckets = _buckets_for(records.count(), per_bucket)
+    named = records.filter(F.col(id).isNotNull())
+    rows, size = named.agg(F.count("*"), F.coalesce(F.sum(_row_bytes(named)), F.lit(0))).first()
+    buckets = _buckets_for(rows, per_bucket)
     (
-        records.filter(F.col(id).isNotNull()).withColumn("bucket", _bucket(F.col(id).cast("string"), buckets))
-        .repartition("bucket").sortWithinPartitions("bucket", id)
+        named.withColumn("bucket", _bucket(F.col(id).cast("string"), buckets))
+        .repartitionByRange(_buckets_for(size, per_task), "bucket", id, pos).sortWithinPartitions("bucket", id)
         .write.option(f"parquet.bloom.filter.enabled#{id}", "true").option("parquet.block.size", 8 << 20)
         .partitionBy("bucket").parquet(f"{path}/of={buckets}")
     )
