@@ -86,3 +86,16 @@ def test_a_bucket_is_no_task_of_its_own(spark, tmp_path):
     assert sum(sizes) == 3000 and max(sizes) < 1000
     assert lookups.look_up(spark, str(tmp_path), "hot").first().pos == 0
     assert lookups.look_up(spark, str(tmp_path), "2999").first().pos == 2999
+
+
+@pytest.mark.parametrize("write", [lookups.write_ranks, lookups.write_text_index])
+def test_index_is_computed_once(spark, index, tmp_path, write):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    write(index.mapInArrow(count, index.schema), str(tmp_path))
+    assert seen.value == 600

@@ -74,6 +74,7 @@ def write_text_index(index: DataFrame, path: str, per_bucket: int = ROWS_PER_BUC
     task's burden; files are sorted by run, and its row groups alone are read.
     """
     _write_shape(index, path)
+    index = cut_lineage(index, "index")
     cells = _buckets_for(index.count(), per_cell)
     rows = index.withColumn("cell", _bucket(F.col("pos"), cells))
     rows.repartition("cell").withColumn("of", F.lit(cells)).write.partitionBy("of", "cell").parquet(f"{path}/rows")
@@ -85,6 +86,7 @@ def write_text_index(index: DataFrame, path: str, per_bucket: int = ROWS_PER_BUC
         .repartition("bucket", spread).sortWithinPartitions("of", "bucket", "gram", "pos")
         .write.partitionBy("of", "bucket").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
     )
+    release(index)
 
 
 def search_text(spark: SparkSession, path: str, query: Query) -> DataFrame:
@@ -149,29 +151,37 @@ def look_up(spark: SparkSession, path: str, value, id: str = "id", pos: str = "p
 def write_ranks(index: DataFrame, path: str, per_block: int = ROWS_PER_BLOCK) -> None:
     """Every sort order of the index, numbered from 0 and cut into blocks of ``per_block`` rows.
 
-    Range partitions of the order are counted; prefix sums of the counts number the rows, so
-    no task sees more than its range. ``pos`` is the last part of each order and must be unique.
+    The index is computed once. Range partitions of the order are sorted and counted, and
+    prefix sums of the counts number the rows, so no task sees more than its range; blocks are
+    written from there, as ranges are stretches of them. ``pos`` is the last part of each order
+    and must be unique.
     """
     _write_shape(index, path)
+    index = cut_lineage(index, "index")
     n = index.count()
+    # Rows of a sorted partition are numbered as they come; the partition's own number is in the higher bits.
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     for sort in SORTS:
         order = _order(sort, "q", "t", "pos")
         cut = cut_lineage(
-            index.repartitionByRange(_buckets_for(n, per_block), *order).withColumn("part", F.spark_partition_id()), "ranges"
-        )
+            index.repartitionByRange(_buckets_for(n, per_block), *order).sortWithinPartitions(*order)
+            .withColumns({"part": F.spark_partition_id(), "nth": nth}),
+            "ranges",
+        )
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         bases = cut.groupBy("part").agg(F.count("*").alias("n")).select(
             "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
         )
-        nth = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-        ranked = cut.withColumn("nth", nth).join(bases, "part").withColumn("rank", F.col("base") + F.col("nth") - 1)
+        # One row per range, that is per block: few enough to be broadcast.
+        ranked = cut.join(F.broadcast(bases), "part").withColumn("rank", F.col("base") + F.col("nth"))
         block = F.call_function("div", F.col("rank"), F.lit(per_block))
         (
             ranked.drop("part", "nth", "base").withColumn("block", block)
-            .repartition("block").sortWithinPartitions("block", "rank")
+            .sortWithinPartitions("block", "rank")
             .write.partitionBy("block").parquet(f"{path}/sort={sort}/of={per_block}")
         )
         release(cut)
+    release(index)
 
 
 def ranked_page(
