@@ -1,6 +1,7 @@
 """Quality model: held-out accuracy, label hygiene and degenerate input."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -126,3 +127,19 @@ def test_class_counts_and_ratios(spark):
     weights = quality.hinge_fit(own, [ratio[g] / np.sqrt(len(g)) for g in own], sign, 1 << bits, cost)
     model = quality.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), bits=bits)
     assert np.allclose(model.weights, weights[:-1] * ratio, atol=1e-5) and abs(model.bias - weights[-1]) < 1e-9
+
+
+def test_fit_holds_the_sample_once(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(4000))) for i in range(500)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, quality int")
+    tracemalloc.start()
+    model = quality.fit(d, lab)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    grams = sum(len(quality.Features().of([t])[0]) for i, t in docs if zlib.crc32(str(i).encode()) % 5)
+    # The sample and a dozen arrays of 2**18; the sample's values would take 8 bytes an n-gram more.
+    assert model.weights.any() and most < 4 * grams + 12 * 8 * 2**18
+    x = quality.Scaled([np.array([1, 3]), np.array([], np.int32)], np.arange(4.0))
+    assert [v.tolist() for v in x] == [[1 / np.sqrt(2), 3 / np.sqrt(2)], []]

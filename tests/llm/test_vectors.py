@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from tidemark.llm import components as components_module
 from tidemark.llm.components import components
 from tidemark.llm.groups import blocks_of
 from tidemark.llm.near_vectors import link_vectors, shape_for
@@ -72,6 +73,23 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_component_queries_are_few_and_short(spark, monkeypatch):
+    plans, cut = [], components_module.cut_lineage
+
+    def noted(df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return cut(df, *args, **options)
+
+    monkeypatch.setattr(components_module, "cut_lineage", noted)
+    stars = [(100 * i + k, 100 * i) for i in range(20) for k in range(30)]
+    got = components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert {(r.node, r.component) for r in got} == set(stars) and len(plans) == 1
+    chain = [(i, i + 1) for i in range(40)]
+    got = components(spark.createDataFrame(chain, "a long, b long")).collect()
+    assert {(r.node, r.component) for r in got} == {(i, 0) for i in range(41)}
+    assert len(plans) > 2 and max(plans) <= 4
+
+
 def test_nearest_equals_brute_force(spark):
     rows = rows_of()
     got = nearest(spark.createDataFrame(rows, SCHEMA), lambda c: c % 20 == 0, k=5).collect()

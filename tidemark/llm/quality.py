@@ -135,6 +135,23 @@ def class_counts(rows: DataFrame, bits: int):
     return counts, sizes
 
 
+class Scaled:
+    """For each row of n-grams their ratios over the row's length, made when asked for: as
+    arrays of their own they would be twice the rows, all on the driver."""
+
+    def __init__(self, rows: list, ratio):
+        self.rows, self.ratio = rows, ratio
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int):
+        import numpy as np
+
+        row = self.rows[i]
+        return self.ratio[row] / max(np.sqrt(len(row)), 1.0)
+
+
 def hinge_fit(rows: list, values: list, labels, dims: int, cost, epochs: int = 12, seed: int = 7):
     """Dual coordinate descent for the L1-loss linear SVM; the last weight is the bias."""
     import numpy as np
@@ -237,17 +254,21 @@ def fit(
         .toArrow()
     )
     order = np.argsort(sample.column("id").to_numpy(), kind="stable")
-    lists = sample.column("grams").combine_chunks()
-    flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     label = sample.column("label").to_numpy()[order]
-    rows = [flat[cuts[i] : cuts[i + 1]] for i in order]
-    values = [ratio[r] / max(np.sqrt(len(r)), 1.0) for r in rows]
+    # Views of the batches as they came, so the sample is held once.
+    rows = []
+    for lists in sample.column("grams").chunks:
+        flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        rows += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+    rows = [rows[i] for i in order]
+    values = Scaled(rows, ratio)
     sign = np.where(label == 1, 1.0, -1.0)
     cost = np.where(label == 1, 1.0, max(1.0, (label == 1).sum() / max((label == 0).sum(), 1)))
 
     def part(which):
         at = np.flatnonzero(which)
-        return hinge_fit([rows[i] for i in at], [values[i] for i in at], sign[at], 1 << bits, cost[at])
+        own = [rows[i] for i in at]
+        return hinge_fit(own, Scaled(own, ratio), sign[at], 1 << bits, cost[at])
 
     halves, margins = np.arange(len(rows)) % 2 == 0, np.zeros(len(rows))
     for half in (halves, ~halves):
