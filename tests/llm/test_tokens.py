@@ -2,15 +2,18 @@
 
 import base64
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
+from tidemark.llm import byte_merges
 from tidemark.llm.byte_merges import Merges, encode_texts, one_by_one, public_ranks, read_merges, replay
-from tidemark.llm.pieces import PieceCache
+from tidemark.llm.pieces import PieceCache, blocks
 from tidemark.llm.token_files import read_token_files, write_token_files
 from tidemark.session import scratch_dir
 
@@ -118,3 +121,17 @@ def test_ranks_that_merging_cannot_learn():
     assert replay(words, merges, rank_of) == want
 
 
+def test_byte_merges_hold_few_words():
+    """However many distinct words a worker meets, what it keeps and holds meanwhile stays small."""
+    ranks, pattern = public_ranks()
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("aeioustrnl", k=8))
+    batches = [pa.record_batch({"text": [" ".join(word() for _ in range(1000)) for _ in range(30)]}) for _ in range(10)]
+    cache = PieceCache(byte_merges.corpus_encoder(read_merges(ranks), pattern), byte_merges.KEPT_WORDS)
+    made = 0
+    tracemalloc.start()
+    for block in blocks(batches, "text", byte_merges.BLOCK_BYTES):
+        made += len(cache.encode(block.column("text").to_pylist()))
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert made == 300 and kept < 40e6 and most < 200e6

@@ -35,7 +35,7 @@ from tidemark.session import cut_lineage, release
 WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 36, 5
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Points made of each process in its 1st, 2nd, ... turn; part of the definition.
 TURNS = (1, 3, 12, 48)
 #: Standard errors by which a sketch may miss the least similarity: a chance of 1e-6.

@@ -20,9 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm.pieces import PieceCache, blocks
 from tidemark.llm.registry import once_per_worker, query, table, text_of
 
-BLOCK_BYTES = 4 << 20
-#: Encodings a worker keeps from block to block; later words are replayed where they occur.
-KEPT_WORDS = 400_000
+BLOCK_BYTES = 2 << 20
+#: Encodings of words, and of pieces, a worker keeps from block to block; an entry takes about 200 bytes.
+#: Later words are replayed where they occur.
+KEPT_WORDS = 100_000
+#: Distinct words replayed at once, in bytes; each takes some 80 bytes meanwhile.
+REPLAY_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -182,7 +185,13 @@ def corpus_encoder(merges: Merges, pattern: str):
     def encode(pieces: list[str]) -> list[bytes]:
         found = [[p] if (p[1:] if p[:1] == " " else p).isalpha() else find(p) for p in pieces]
         new = list({w for ws in found for w in ws if w not in kept})
-        own = dict(zip(new, replay([w.encode("utf-8", "surrogatepass") for w in new], merges, rank_of)))
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        own, size, first = {}, 0, 0
+        for i, w in enumerate(raw):
+            size += len(w)
+            if size >= REPLAY_BYTES or i == len(raw) - 1:
+                own.update(zip(new[first : i + 1], replay(raw[first : i + 1], merges, rank_of)))
+                size, first = 0, i + 1
         room = max(0, KEPT_WORDS - len(kept))
         kept.update((w, own[w]) for w in new[:room])
 
@@ -224,7 +233,7 @@ def encode_texts(
         import pyarrow as pa
 
         encoder = once_per_worker(key, lambda: corpus_encoder(merges.value, pattern))
-        cache, tokens = PieceCache(encoder), merges.value.tokens
+        cache, tokens = PieceCache(encoder, KEPT_WORDS), merges.value.tokens
         for block in blocks(batches, text_col, BLOCK_BYTES):
             ids = cache.encode(block.column(text_col).to_pylist())
             at = 0

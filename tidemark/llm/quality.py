@@ -25,7 +25,7 @@ FOLDS = 5
 #: Labelled rows of each class that the hinge-loss model is fitted on, at most.
 SAMPLE_PER_CLASS = 3000
 THRESHOLD = 0.3
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)

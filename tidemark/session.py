@@ -15,8 +15,9 @@ REQUIRED = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-#: Rows may be whole texts, so batches that go to Python are bounded in bytes, not in rows alone.
-BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: Rows may be whole texts, so batches that go to Python are bounded in bytes, not in rows alone, and
+#: those read from Parquet have few rows: their arrays are single objects on an executor's heap.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
 
 _own_folder: list[str] = []
 _scratch: list[tuple[SparkSession, str]] = []
